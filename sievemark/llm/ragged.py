@@ -20,8 +20,8 @@ _rng = np.random.default_rng(20240607)
 _BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_VALUE_LOWER = _BYTE_VALUE.copy()
 _BYTE_VALUE_LOWER[65:91] = _BYTE_VALUE[97:123]
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 #: The separators of words: space and the bytes 0x09 to 0x0D.
@@ -79,8 +79,8 @@ class Hasher:
     def __init__(self, data: np.ndarray, lower: bool = False):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_BYTE_VALUE_LOWER if lower else _BYTE_VALUE)[data] * powers(_BASE, n), out=self.sums[1:])
-        self.back = powers(_INVERSE, n + 1)
+        np.cumsum((_BYTE_VALUE_LOWER if lower else _BYTE_VALUE)[data] * powers(BASE, n), out=self.sums[1:])
+        self.back = powers(INVERSE, n + 1)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
