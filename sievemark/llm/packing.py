@@ -153,7 +153,7 @@ def pack(docs: DataFrame, vocabulary: str, room: int = 4096, end_id: int = 2, gr
     groups = max(1, -(-cut.count() // group_pieces))
     id_type = cut.schema[id_col].dataType.simpleString()
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["tie", "start"], kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(frame["length"].to_numpy(), room)
         frame["sequence_id"] = (int(key[0]) << 32) + bins

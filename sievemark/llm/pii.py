@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from . import native
 from .common import materialize
 
-#: The base patterns. Possessive repeats where nothing that follows could use what they give back.
+#: The base patterns. Possessive repeats where nothing that follows could use what they give back; a match
+#: can only begin where a run of its signs does (or where the match before it ended), which keeps long runs linear.
 BASE = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
