@@ -9,8 +9,9 @@ from .tables import pick
 
 
 def term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """key, term, tf (share of the key's tokens)."""
-    each = df.select(key, F.size(tokens).alias("size"), F.explode(tokens).alias("term"))
+    """key, term, tf (share of the key's tokens). The tokens are bound once, so that no row cuts its whole text again."""
+    sized = F.flatten(F.transform(F.array(tokens), lambda ts: F.transform(ts, lambda term: F.struct(F.size(ts).alias("size"), term.alias("term")))))
+    each = df.select(key, F.inline(sized))
     return each.groupBy(key, "term").agg((F.count("*") / F.max("size")).alias("tf"))
 
 

@@ -192,7 +192,7 @@ def threshold_sweep_exact(t):
 
 @query("""
 WITH m AS (SELECT o_custkey % 50 AS config, avg(CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END) AS p, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS r, count(*) AS n FROM orders GROUP BY 1),
-f AS (SELECT *, bool_or(p >= 0.55) OVER () AS some FROM m), k AS (SELECT * FROM f WHERE p >= 0.55 OR NOT some), h AS (SELECT config, p, r, n, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS hm FROM k)
+f AS (SELECT *, bool_or(p >= 0.55) OVER () AS above FROM m), k AS (SELECT * FROM f WHERE p >= 0.55 OR NOT above), h AS (SELECT config, p, r, n, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS hm FROM k)
 SELECT config, n, round(p, 6) AS p, round(r, 6) AS r, round(hm, 6) AS harmonic FROM h ORDER BY round(hm, 9) DESC, round(p, 9) DESC, n DESC, config LIMIT 1""")
 def select_config(t):
     """Best configuration above a floor of precision (all of them where none is), by harmonic mean and further keys."""

@@ -78,7 +78,7 @@ def n_way_join(t):
 
 @query("""
 WITH c AS (SELECT s.s_suppkey, p.p_partkey, p.p_size, p.p_size % 5 = s.s_suppkey % 5 AND p.p_retailprice > 1000 AS strict FROM supplier s JOIN part p ON s.s_nationkey = p.p_size % 25),
-m AS (SELECT *, max(CASE WHEN strict THEN 1 ELSE 0 END) OVER (PARTITION BY s_suppkey) AS some FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY p_size DESC, p_partkey) AS k FROM m WHERE strict OR some = 0)
+m AS (SELECT *, max(CASE WHEN strict THEN 1 ELSE 0 END) OVER (PARTITION BY s_suppkey) AS found FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY p_size DESC, p_partkey) AS k FROM m WHERE strict OR found = 0)
 SELECT s_suppkey, p_partkey, p_size, strict FROM r WHERE k <= 3""")
 def candidates_with_fallback(t):
     pairs = t.supplier.join(t.part, F.col("s_nationkey") == F.col("p_size") % 25)
