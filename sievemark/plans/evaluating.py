@@ -175,7 +175,7 @@ def threshold_sweep(t):
 
 @query(f"""
 WITH x AS ({_LABELLED}), s AS ({_SWEEP}), m AS (SELECT threshold, count(*) FILTER (WHERE pred = 1 AND gold = 1)::DOUBLE / greatest(count(*) FILTER (WHERE gold = 1), 1) AS recall, count(*) FILTER (WHERE pred = 0)::DOUBLE / count(*) AS reduction FROM s GROUP BY 1),
-tiers AS (SELECT unnest([0.01, 0.05, 0.1, 0.2]) AS tier), r AS (SELECT tier, threshold, recall, reduction, row_number() OVER (PARTITION BY tier ORDER BY reduction DESC, threshold) AS k FROM tiers JOIN m ON 1 - recall < tier)
+tiers AS (SELECT unnest([0.01, 0.05, 0.1, 0.2]::DOUBLE[]) AS tier), r AS (SELECT tier, threshold, recall, reduction, row_number() OVER (PARTITION BY tier ORDER BY reduction DESC, threshold) AS k FROM tiers JOIN m ON 1 - recall < tier)
 SELECT tier, threshold, round(recall, 6) AS recall, round(reduction, 6) AS reduction FROM r WHERE k = 1""")
 def frontier_by_tier(t):
     """The largest reduction within each allowed loss of recall."""

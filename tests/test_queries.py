@@ -1,6 +1,7 @@
 """Every registered query of the library's own operators against its SQL in DuckDB."""
 
 import math
+from decimal import Decimal
 
 import pytest
 
@@ -10,6 +11,8 @@ from sievemark.plans import registry
 def plain(value):
     if hasattr(value, "tolist"):
         value = value.tolist()
+    if isinstance(value, Decimal):
+        value = float(value)
     if isinstance(value, float):
         return None if math.isnan(value) else round(value, 6) + 0.0
     if isinstance(value, (list, tuple)):
