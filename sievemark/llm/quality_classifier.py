@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,14 +143,14 @@ def classify(docs: DataFrame, threshold: float = 0.5, max_rows: int = TRAIN_ROWS
             f, v, owner = hashed(data, offsets, x)
             order = np.argsort(owner, kind="stable")
             bounds = np.searchsorted(owner[order], np.arange(len(x) + 1)).astype(np.int32)
-            listed = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(a[order])) for a in (f, v)]
+            listed = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(a[order].astype(kind))) for a, kind in ((f, np.int32), (v, np.float32))]
             yield pa.RecordBatch.from_arrays([ids, *listed, pa.array(packed(votes(x)))], ["doc_id", "ids", "vals", "pattern"])
 
     chosen = docs.filter(F.xxhash64("doc_id") <= F.lit(by_hash)) if by_hash is not None else docs.limit(0)
-    sample = chosen.mapInArrow(featurise, f"doc_id {id_type}, ids array<long>, vals array<double>, pattern long").orderBy(F.xxhash64("doc_id"), "pattern").limit(max_rows).toPandas()
-    join = lambda c, kind: np.concatenate([np.zeros(0, kind), *sample[c]]).astype(kind)
-    owner = np.repeat(np.arange(len(sample)), sample["ids"].map(len).to_numpy().astype(int)) if len(sample) else np.zeros(0, int)
-    weights = train(join("ids", np.int64), join("vals", np.float64), owner, sample["pattern"].map(of_code).to_numpy().astype(float)).astype(np.float32)
+    sample = chosen.mapInArrow(featurise, f"doc_id {id_type}, ids array<int>, vals array<float>, pattern long").orderBy(F.xxhash64("doc_id"), "pattern").limit(max_rows).drop("doc_id").toArrow()  # at most max_rows rows
+    flat = lambda c: sample[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(sample)), pc.list_value_length(sample["ids"]).to_numpy())
+    weights = train(flat("ids"), flat("vals"), owner, np.array([of_code[c] for c in sample["pattern"].to_pylist()], float)).astype(np.float32)
 
     def score(batches):
         for (ids,), data, offsets, x in _each(batches, ["doc_id"]):
