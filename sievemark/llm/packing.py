@@ -22,7 +22,8 @@ from .common import materialize
 
 #: Pieces of one randomised group, on average.
 GROUP_PIECES = 6_000
-KEPT_WORDS = 1_500_000
+#: Words kept between batches, and words handed to the tokenizer at once (its results take about a kilobyte each).
+KEPT_WORDS, BATCH_WORDS = 600_000, 2_000
 
 
 class Tournament:
@@ -76,6 +77,9 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -107,10 +111,12 @@ class Encoder:
         new = np.flatnonzero(~have)
         if len(new):
             raw = data.tobytes()
-            found = self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(s[new].tolist(), e[new].tolist())], add_special_tokens=False)
             at[new] = self.n + np.arange(len(new))
             self.known.add(keys[new], at[new])
-            self._keep([x.ids for x in found])
+            for i in range(0, len(new), BATCH_WORDS):
+                some = new[i : i + BATCH_WORDS]
+                found = self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(s[some].tolist(), e[some].tolist())], add_special_tokens=False)
+                self._keep([x.ids for x in found])
         at = at[back]
         size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])

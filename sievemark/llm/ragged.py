@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BIG = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(20240607)
