@@ -8,6 +8,7 @@ expectation-maximisation (forward and backward sums give each piece's expected c
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +25,8 @@ TRAIN_ROWS, ROUNDS = 1_200, 3
 PIECE_CHARS, WORD_CHARS, UNKNOWN = 8, 32, 1e-8
 #: Words whose agreement makes a prediction certain: the score is the posterior of a text of so many words at most.
 SCORE_WORDS = 12
+#: Words whose probabilities a worker keeps between batches, and words scored at once.
+KEPT_WORDS, LATTICE_WORDS = 500_000, 20_000
 
 BEGIN = 0x2581
 
@@ -118,21 +121,70 @@ class Lattice:
         return out
 
 
+def letter_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct lower-cased words of letters (parts of WORD_CHARS at most); for each part of a piece its word and its piece."""
+    raw = data.tobytes()
+    texts = [raw[a:b].decode().strip().lower().lstrip("'") for a, b in zip(starts.tolist(), ends.tolist())]
+    parts = [[w[i : i + WORD_CHARS] for i in range(0, len(w), WORD_CHARS)] if w.isalpha() else [] for w in texts]
+    places: dict[str, int] = {}
+    flat = np.array([places.setdefault(x, len(places)) for p in parts for x in p], np.int64)
+    return list(places), flat, np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
 def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct lower-cased words of letters (parts of WORD_CHARS at most), and for each occurrence its word and its text."""
+    """As letter_parts of all pre-tokens: distinct words, and for each occurrence its word and its text."""
     starts, first = pretokens.cut(data, offsets)
     keys, s, e, back = pretokens.distinct(data, starts)
-    raw = data.tobytes()
-    texts = [raw[a:b].decode().strip().lower() for a, b in zip(s.tolist(), e.tolist())]
-    parts = [[w[i : i + WORD_CHARS] for i in range(0, len(w), WORD_CHARS)] if w.isalpha() else [] for w in (t.lstrip("'") for t in texts)]
-    places: dict[str, int] = {}
-    numbered = [[places.setdefault(x, len(places)) for x in p] for p in parts]
-    size = np.array([len(p) for p in numbered], np.int64)
-    flat = np.array([i for p in numbered for i in p], np.int64)
+    words, flat, piece = letter_parts(data, s, e)
+    size = np.bincount(piece, minlength=len(keys))
     begin = np.cumsum(size) - size
     n = size[back]
     word = flat[np.repeat(begin[back] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if n.sum() else flat[:0]
-    return list(places), word, np.repeat(ragged.owners(first), n)
+    return words, word, np.repeat(ragged.owners(first), n)
+
+
+class Scorer:
+    """Log probabilities of texts under each language; those of words met before are kept."""
+
+    def __init__(self, p: np.ndarray, path: str):
+        self.p, self.path = p, path
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pretokens.Known(1 << 40)
+        self.logs, self.parts = np.zeros((0, self.p.shape[1])), np.zeros(0, np.int64)
+
+    def _add(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        words, flat, piece = letter_parts(data, starts, ends)
+        logs = np.concatenate([self.logs[:0], *(Lattice(words[i : i + LATTICE_WORDS], self.path).words(self.p) for i in range(0, len(words), LATTICE_WORDS))])
+        own = np.column_stack([np.bincount(piece, logs[flat, k], len(keys)) for k in range(self.p.shape[1])])
+        self.known.add(keys, len(self.logs) + np.arange(len(keys)))
+        self.logs, self.parts = np.vstack([self.logs, own]), np.append(self.parts, np.bincount(piece, minlength=len(keys)))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums [text, language] over each text's words, and the number of its words."""
+        starts, first = pretokens.cut(data, offsets)
+        keys, s, e, back = pretokens.distinct(data, starts)
+        if len(self.logs) + len(keys) > KEPT_WORDS:
+            self.forget()
+        new = np.flatnonzero(~self.known.find(keys)[1])
+        if len(new):
+            self._add(data, keys[new], s[new], e[new])
+        at, n, owner = self.known.find(keys)[0], len(offsets) - 1, ragged.owners(first)
+        total = np.column_stack([np.bincount(owner, self.logs[at, k][back], n) for k in range(self.p.shape[1])])
+        return total, ragged.sums(self.parts[at][back], first)
+
+
+_scorers: dict[tuple, Scorer] = {}
+
+
+def scorer(p: np.ndarray, path: str) -> Scorer:
+    """The worker's scorer of these probabilities; only the last one is kept."""
+    key = (path, p.shape, hashlib.sha256(p.tobytes()).digest())
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(p.astype(np.float64), path)
+    return _scorers[key]
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -165,7 +217,9 @@ def learn(docs: DataFrame, vocabulary: str, train_rows: int = TRAIN_ROWS, rounds
                 pair, n = np.unique(word * len(langs) + lang, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in (pair // len(langs)).tolist()], pa.string()), pa.array((pair % len(langs)).astype(np.int32)), pa.array(n)], ["word", "lang", "n"])
 
-    table = materialize(sample.mapInArrow(count, "word string, lang int, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
+    counted = sample.mapInArrow(count, "word string, lang int, n long")
+    spread = docs.sparkSession.sparkContext.defaultParallelism  # the bounded sample's words, as even shares of every round
+    table = materialize(counted.repartition(spread, "word").groupBy("word", "lang").agg(F.sum("n").alias("n")))
     size = n_pieces(vocabulary)
     p = np.full((size + 1, len(langs)), 1.0 / size)
     p[-1] = UNKNOWN
@@ -198,17 +252,14 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str) -
     given = spark.sparkContext.broadcast(p.astype(np.float32))  # pieces x languages
 
     def run(batches):
-        table = given.value.astype(np.float64)
+        score_of = scorer(given.value, vocabulary) if langs else None
         for b in batches:
             texts = ragged.texts_of(b.column(1))
             for lo, hi, data, offsets in ragged.slices(texts):
                 n = hi - lo
                 best, score = np.full(n, len(langs)), np.zeros(n)
                 if langs and len(data):
-                    words, word, owner = letter_words(data, offsets)
-                    logs = np.concatenate([np.zeros((0, len(langs))), *(Lattice(words[i : i + 20_000], vocabulary).words(table) for i in range(0, len(words), 20_000))])
-                    total = np.column_stack([np.bincount(owner, logs[word, k], n) for k in range(len(langs))])
-                    seen = np.bincount(owner, minlength=n)
+                    total, seen = score_of(data, offsets)
                     spread = (total - total.max(1, keepdims=True)) * np.minimum(1, SCORE_WORDS / np.maximum(seen, 1))[:, None]
                     post = np.exp(spread) / np.exp(spread).sum(1, keepdims=True)
                     some = has_letter(data, offsets)
