@@ -128,7 +128,7 @@ def letter_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     parts = [[w[i : i + WORD_CHARS] for i in range(0, len(w), WORD_CHARS)] if w.isalpha() else [] for w in texts]
     places: dict[str, int] = {}
     flat = np.array([places.setdefault(x, len(places)) for p in parts for x in p], np.int64)
-    return list(places), flat, np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    return list(places), flat, np.repeat(np.arange(len(parts)), np.array([len(p) for p in parts], np.int64))
 
 
 def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -3,10 +3,11 @@
 import importlib.util
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 
-from sievemark.llm import bpe_codec, fingerprints, language_id, near_dedup, packing, pii, quality_classifier, quality_rules, secret_scan, token_counts
+from sievemark.llm import bpe_codec, fingerprints, language_id, near_dedup, packing, pii, quality_classifier, quality_rules, ragged, secret_scan, token_counts
 
 
 def test_language_of_held_out_texts(both, texts):
@@ -111,3 +112,18 @@ def test_pipeline_stages_take_effect(spark, sf_dir, documents):
     before, after = map(text, seen["secret_scan"])
     assert set(before) == set(after) and not [s for t in after.values() for s in secrets(t) if s[0] != "assign"]
     assert C.run(spark, sf_dir).count() >= len(after)
+
+
+def test_kept_word_scores_equal_direct_sums():
+    path = P.path("piece_bpe_32k.model")
+    p = np.random.default_rng(1).random((language_id.n_pieces(path) + 1, 3))
+    scorer = language_id.Scorer(p / p.sum(0), path)
+    for texts in (["", "Hello hello world's 12 x" + "ab" * 40, "123 !!"], ["hello again", "été"]):
+        ((lo, hi, data, offsets),) = ragged.slices(pa.array(texts))
+        words, word, owner = language_id.letter_words(data, offsets)
+        logs = language_id.Lattice(words, path).words(scorer.p)
+        total, seen = scorer(data, offsets)
+        assert np.allclose(total, np.column_stack([np.bincount(owner, logs[word, k], hi - lo) for k in range(3)]))
+        assert (seen == np.bincount(owner, minlength=hi - lo)).all()
+    ((_, _, data, offsets),) = ragged.slices(pa.array(["", ""]))
+    assert [len(x) for x in language_id.letter_words(data, offsets)] == [0, 0, 0]
