@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ragged
+
 #: A side is broadcast only when its counted rows stay under this bound; beyond it the same join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -45,3 +50,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def semi_join(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     """Rows of df whose key is among ids (unique values, n_ids of them): broadcast while small, shuffled beyond."""
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, key, "left_semi")
+
+
+def kept_rows(docs: DataFrame, judge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of docs, with all columns as they are, for whose texts judge(bytes, offsets) is true: one pass without a shuffle."""
+    at, names = docs.columns.index("text"), docs.columns
+
+    def run(batches):
+        for b in batches:
+            kept = [judge(data, offsets) for _, _, data, offsets in ragged.slices(ragged.texts_of(b.column(at)))]
+            if kept:
+                yield pa.RecordBatch.from_arrays(b.columns, names).filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged, textstats
-from .common import materialize
+from .common import kept_rows, materialize
 
 #: Most documents that the scorer is trained on (those with the smallest hashes of their ids), and hashed features.
 TRAIN_ROWS, DIMENSIONS = 6_000, 1 << 15
@@ -116,13 +116,8 @@ def _each(batches, cols):
             yield [b.column(i).slice(lo, hi - lo) for i in range(len(cols))], data, offsets, textstats.features(textstats.text_counts(data, offsets))
 
 
-def classify(docs: DataFrame, threshold: float = 0.5, max_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, votes_junk, votes_fine, posterior (of the weak-label model), score, kept (score >= threshold).
-
-    Null or empty texts get the labellers' votes for an empty text. Null ids, repeated rows and other columns are
-    allowed: one row out for each row; an empty table gives an empty result. All documents are counted and scored,
-    whole; only the scorer's weights come from at most max_rows documents.
-    """
+def _learn(docs: DataFrame, max_rows: int) -> tuple[dict[int, float], np.ndarray]:
+    """Posterior of each vote pattern, and the scorer's weights."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -150,15 +145,35 @@ def classify(docs: DataFrame, threshold: float = 0.5, max_rows: int = TRAIN_ROWS
     sample = chosen.mapInArrow(featurise, f"doc_id {id_type}, ids array<int>, vals array<float>, pattern long").orderBy(F.xxhash64("doc_id"), "pattern").limit(max_rows).drop("doc_id").toArrow()  # at most max_rows rows
     flat = lambda c: sample[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(sample)), pc.list_value_length(sample["ids"]).to_numpy())
-    weights = train(flat("ids"), flat("vals"), owner, np.array([of_code[c] for c in sample["pattern"].to_pylist()], float)).astype(np.float32)
+    return of_code, train(flat("ids"), flat("vals"), owner, np.array([of_code[c] for c in sample["pattern"].to_pylist()], float)).astype(np.float32)
+
+
+def _scores(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray, x: np.ndarray) -> np.ndarray:
+    f, v, own = hashed(data, offsets, x)
+    total = np.bincount(own, v * weights[f], len(x)) + weights[-1]
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def classify(docs: DataFrame, threshold: float = 0.5, max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, votes_junk, votes_fine, posterior (of the weak-label model), score, kept (score >= threshold).
+
+    Null or empty texts get the labellers' votes for an empty text. Null ids, repeated rows and other columns are
+    allowed: one row out for each row; an empty table gives an empty result. All documents are counted and scored,
+    whole; only the scorer's weights come from at most max_rows documents.
+    """
+    of_code, weights = _learn(docs, max_rows)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches):
         for (ids,), data, offsets, x in _each(batches, ["doc_id"]):
-            f, v, own = hashed(data, offsets, x)
-            total = np.bincount(own, v * weights[f], len(x)) + weights[-1]
-            said = votes(x)
-            value = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+            said, value = votes(x), _scores(weights, data, offsets, x)
             post = pd.Series(packed(said)).map(of_code).to_numpy(dtype=float)
             yield pa.RecordBatch.from_arrays([ids, pa.array((said == JUNK).sum(1)), pa.array((said == FINE).sum(1)), pa.array(post), pa.array(value), pa.array(value >= threshold)], ["doc_id", "votes_junk", "votes_fine", "posterior", "score", "kept"])
 
-    return docs.mapInArrow(score, f"doc_id {id_type}, votes_junk long, votes_fine long, posterior double, score double, kept boolean")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(score, f"doc_id {id_type}, votes_junk long, votes_fine long, posterior double, score double, kept boolean")
+
+
+def keep(docs: DataFrame, threshold: float = 0.5, max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs that classify() keeps, with all their columns."""
+    weights = _learn(docs, max_rows)[1]
+    return kept_rows(docs, lambda data, offsets: _scores(weights, data, offsets, textstats.features(textstats.text_counts(data, offsets))) >= threshold)

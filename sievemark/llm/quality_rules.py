@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textstats
+from .common import kept_rows
 
 #: Most labelled documents that the trees are grown on (those with the smallest hashes of their ids).
 TRAIN_ROWS = 20_000
@@ -115,6 +116,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Trees
     return weighted
 
 
+def _judged(trees: Trees | None, counts: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """base_failed and score of each text."""
+    return _failed(counts["n_words"], counts["n_repeat_words"]), trees.score(textstats.features(counts)) if trees else np.ones(len(counts["n_words"]))
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = TRAIN_ROWS) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
@@ -128,10 +134,20 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows:
     def score(batches):
         for frame in batches:
             counts = {c: frame[c].to_numpy() for c in textstats.COUNTS}
-            failed = _failed(counts["n_words"], counts["n_repeat_words"])
-            value = trees.score(textstats.features(counts)) if trees else np.ones(len(frame))
+            failed, value = _judged(trees, counts)
             yield pd.concat([frame[["doc_id", *textstats.COUNTS[:5]]], pd.DataFrame({"base_failed": failed, "kept": ~failed & (value >= threshold), "score": value}, index=frame.index)], axis=1)
 
     found = textstats.counted(docs)
     schema = T.StructType([*found.schema.fields[:6], T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("score", T.DoubleType())])
     return found.mapInPandas(score, schema)
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+    trees = fit(docs, labels, max_rows)
+
+    def fine(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        failed, value = _judged(trees, textstats.text_counts(data, offsets))
+        return ~failed & (value >= threshold)
+
+    return kept_rows(docs, fine)

@@ -7,6 +7,7 @@ word of a batch takes a fixed number of numpy passes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Hand freed memory back to the system: a worker stays for the tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """The column as strings without nulls (null: empty text)."""
     if isinstance(column, pa.ChunkedArray):
@@ -59,7 +70,10 @@ def texts_of(column: pa.Array) -> pa.Array:
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of stretches of rows of about limit bytes; a longer text stands alone."""
+    """(first row, end row, bytes, offsets) of stretches of rows of about limit bytes; a longer text stands alone.
+
+    Memory freed meanwhile goes back to the system at the end.
+    """
     n = len(texts)
     if not n:
         return
@@ -71,6 +85,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    release()
 
 
 class Hasher:
