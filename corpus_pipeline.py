@@ -13,34 +13,22 @@ from pyspark.sql import functions as F
 from sievemark.llm import near_dedup, packing, quality_classifier, quality_rules, secret_scan
 from sievemark.llm.common import materialize, read_table
 
-ROW = "pipeline_row"
-
-
-def _keep(docs: DataFrame, judge) -> DataFrame:
-    """The rows of docs that judge(docs) keeps; judged by a row number, so that repeated and null ids are told apart."""
-    numbered = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    judged = judge(numbered.select(F.col(ROW).alias("doc_id"), "text"), numbered.select("doc_id", ROW))
-    kept = judged.filter("kept").select(F.col("doc_id").alias(ROW))
-    return numbered.join(kept, ROW, "left_semi").select(*docs.columns)
-
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rejects go."""
-    return _keep(docs, lambda rows, ids: quality_classifier.classify(rows))
+    return quality_classifier.keep(docs)
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the trees reject go; the trees learn from the labels of what is left."""
-    labels = read_table(spark, sf_dir, "labels")
-    return _keep(docs, lambda rows, ids: quality_rules.judge(rows, ids.join(labels, "doc_id").select(F.col(ROW).alias("doc_id"), "quality")))
+    return quality_rules.keep(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one of the smallest doc_id (of equal rows, one)."""
-    whole = materialize(docs)
-    judged = near_dedup.near_duplicates(whole.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
-    unnamed = whole.filter("doc_id IS NULL")
-    return whole.join(judged.filter("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(unnamed)
+    judged = near_dedup.near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
+    unnamed = docs.filter("doc_id IS NULL")
+    return docs.join(judged.filter("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(unnamed)
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
