@@ -127,3 +127,14 @@ def test_kept_word_scores_equal_direct_sums():
         assert (seen == np.bincount(owner, minlength=hi - lo)).all()
     ((_, _, data, offsets),) = ragged.slices(pa.array(["", ""]))
     assert [len(x) for x in language_id.letter_words(data, offsets)] == [0, 0, 0]
+
+
+def test_kept_rows_are_those_judged_kept(spark, sf_dir, documents):
+    from sievemark.llm import quality_classifier, quality_rules
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    for kept, judged in ((quality_classifier.keep(documents), quality_classifier.classify(documents)), (quality_rules.keep(documents, labels), quality_rules.judge(documents, labels))):
+        assert kept.schema == documents.schema
+        assert ids(kept) == ids(judged.filter("kept")) != []
+        assert sorted(map(repr, kept.collect())) == sorted(map(repr, documents.join(judged.filter("kept"), "doc_id", "left_semi").select(*documents.columns).collect()))
