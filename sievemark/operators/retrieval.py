@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as St
 
 from .tables import pick
 
@@ -45,5 +51,30 @@ def band_values(bits: Column, bands: int, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), value(b).alias("value")))
 
 
+@lru_cache(8)
+def planes(n: int, dims: int) -> np.ndarray:
+    """n planes of +1 and -1 [dimension, plane]: +1 where the MD5 of "plane|dimension" begins with 8 to f."""
+    signs = [[1.0 if hashlib.md5(f"{p}|{d}".encode()).hexdigest()[0] >= "8" else -1.0 for p in range(n)] for d in range(dims)]
+    return np.array(signs).reshape(dims, n)
+
+
+def projected_words(vector: Column, words: int, width: int) -> Column:
+    """words numbers of width bits each (64 at most): the sides of words * width planes, laid over all dimensions (0 counts as set). Null stays null."""
+
+    def run(vectors: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(vectors), dtype=object)
+        sizes = vectors.map(lambda v: -1 if v is None else len(v)).to_numpy()
+        powers = np.uint64(1) << np.arange(width - 1, -1, -1, dtype=np.uint64)
+        for dims in np.unique(sizes[sizes >= 0]):
+            at = np.flatnonzero(sizes == dims)
+            bits = np.array([vectors.iloc[i] for i in at], float).reshape(len(at), dims) @ planes(words * width, int(dims)) >= 0
+            values = (bits.reshape(len(at), words, width) * powers).sum(2, dtype=np.uint64).view(np.int64)
+            for i, v in zip(at, values):
+                out.iat[i] = v
+        return out
+
+    return F.pandas_udf(run, St.ArrayType(St.LongType()))(vector)
+
+
 def top_k(scored: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
     return pick(scored, key, F.desc(score), F.asc(tie), n=k)

