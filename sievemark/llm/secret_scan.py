@@ -1,6 +1,6 @@
 """Secrets by corpus-wide ownership, in DataFrame expressions.
 
-Base patterns give spans that always stay. Wider patterns (private key headers, vendor tokens, long mixed
+Base patterns give spans that always stay. Wider patterns (private keys, vendor tokens, long mixed
 strings) give further candidates. The hash of every candidate's value is counted over the distinct owners
 (sources) and documents that hold it: what many owners share is a copied example, what one or a few hold looks
 live and is added.
@@ -20,10 +20,11 @@ BASE = {
     "access": r"AKIA[A-Z0-9]++",
     "hex": r"(?<![0-9a-f])[0-9a-f]{16,}+",
 }
+#: A private key reaches to its first END line, to the next BEGIN line where that comes first (a key cut off), or else over its header line alone.
 WIDER = {
-    "private_key": r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----",
-    "vendor_token": r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{20,255}+|xox[abprs]-[A-Za-z0-9-]{10,255}+|sk-[A-Za-z0-9_-]{20,255}+|eyJ[A-Za-z0-9_-]{8,2000}+\.[A-Za-z0-9_-]{8,2000}+\.[A-Za-z0-9_-]{8,500}+)",
-    "mixed": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,39}[0-9])(?=[A-Z0-9+/_=-]{0,39}[a-z])(?=[a-z0-9+/_=-]{0,39}[A-Z])[A-Za-z0-9+/_=-]{24,512}+(?![A-Za-z0-9+/_=-])",
+    "private_key": r"-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*+(?<=PRIVATE KEY)-----)?+",
+    "vendor_token": r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
+    "mixed": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}+",
 }
 KINDS = [*BASE, *WIDER]
 #: From so many distinct owners on, a value counts as a copied example.
@@ -37,15 +38,16 @@ def _value(s: Column) -> Column:
 
 
 def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns keep, base and wider: arrays of struct(kind, start, end, value: hash); wider spans that touch a base span are left out."""
+    """The columns keep, base and wider: arrays of struct(kind, start, end, value: hash); wider spans that touch a base span are left out, private keys only within one."""
     text = F.col("clean")
     plain = docs.select(*keep, native.clean(F.col(text_col).cast("string")).alias("clean"))
     needs = {"access": text.contains("AKIA"), "private_key": text.contains("PRIVATE KEY"), "vendor_token": text.rlike("gh[pousr]_|xox[abprs]-|sk-|eyJ"), "mixed": text.rlike("[A-Za-z0-9+/_=-]{24}")}
     found = plain.select("*", *(native.find(text, k, p, needs.get(k)).alias(f"found_{k}") for k, p in (BASE | WIDER).items()))
-    enough = {"assign": lambda s: F.length(_value(s)) >= 12, "access": lambda s: F.length(s["text"]) >= 18}
+    enough = {"assign": lambda s: F.length(_value(s)) >= 12, "access": lambda s: F.length(s["text"]) >= 18, "mixed": lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[a-z]") & s["text"].rlike("[A-Z]")}
     spans = lambda k: F.transform(F.filter(f"found_{k}", enough.get(k, lambda s: F.lit(True))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(_value(s)).alias("value")))
     found = found.select(*keep, F.concat(*map(spans, BASE)).alias("base"), F.concat(*map(spans, WIDER)).alias("wider"))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    touches = lambda s, b: F.when(s["kind"] == "private_key", (b["start"] <= s["start"]) & (s["end"] <= b["end"])).otherwise((b["start"] < s["end"]) & (s["start"] < b["end"]))
+    apart = lambda s: ~F.exists("base", lambda b: touches(s, b))
     return found.withColumn("wider", F.filter("wider", apart))
 
 
