@@ -205,6 +205,22 @@ def simhash_neighbours(t):
     return w.join(q, (F.col("q") != F.col("vec_id")) & (distance <= 9)).select("q", "vec_id", distance.alias("distance"))
 
 
+#: Planes of the projected code, and the distance that keeps 0.97 to 0.98 of the true ten nearest on sf0.001 and sf0.01 (0.03 and 0.12 with 32 signs).
+SIMHASH_PLANES, SIMHASH_DISTANCE = 256, 117
+
+
+@query(f"""
+WITH {_VEC}, {_PLANES.format(n=SIMHASH_PLANES)}
+SELECT a.vec_id AS q, b.vec_id AS vec_id, count(*) FILTER (WHERE a.up <> b.up) AS distance FROM side a JOIN side b ON a.p = b.p AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1, 2 HAVING distance <= {SIMHASH_DISTANCE}""")
+def projected_simhash_neighbours(t):
+    """As simhash_neighbours, with one bit for each of 256 random planes over all dimensions, packed in four numbers."""
+    words = SIMHASH_PLANES // 64
+    w = t.embeddings.select("vec_id", R.projected_words(F.col("embedding"), words, 64).alias("code"))
+    q = w.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("code").alias("qc"))
+    distance = sum((F.bit_count(F.get("code", F.lit(i)).bitwiseXOR(F.get("qc", F.lit(i)))) for i in range(words)), F.lit(0)).cast("long")
+    return w.join(q, (F.col("q") != F.col("vec_id")) & (distance <= SIMHASH_DISTANCE)).select("q", "vec_id", distance.alias("distance"))
+
+
 _NB = f"""WITH x AS (SELECT d.doc_id, l.quality AS role, {_TERMS.format(c='d.text')} AS ts FROM documents d JOIN labels l USING (doc_id)), tr AS (SELECT * FROM x WHERE doc_id % 5 <> 0), te AS (SELECT * FROM x WHERE doc_id % 5 = 0),
 p AS (SELECT role, count(*) AS docs FROM tr GROUP BY 1), c AS (SELECT role, term, count(*) AS n FROM (SELECT role, unnest(ts) AS term FROM tr) GROUP BY 1, 2), z AS (SELECT role, sum(n) AS total FROM c GROUP BY 1), vocab AS (SELECT count(DISTINCT term) AS v FROM c),
 tt AS (SELECT doc_id, term, count(*) AS k FROM (SELECT doc_id, unnest(ts) AS term FROM te) GROUP BY 1, 2),
