@@ -39,7 +39,7 @@ def predict(model: Model, rows: DataFrame, key: str, tokens: str) -> DataFrame:
 
 
 def cross_validated(rows: DataFrame, key: str, role: str, tokens: str, fold: str) -> DataFrame:
-    """key, fold, role, score of every row by the model of the other folds: one count of everything, less the fold's own."""
+    """key, fold, role, score, margin of every row by the model of the other folds: one count of everything, less the fold's own."""
     rows = rows.select(key, F.col(fold).alias("fold"), F.col(role).alias("own"), F.col(tokens).alias("ts"))
     terms = rows.select(key, "fold", "own", F.explode("ts").alias("term")).groupBy(key, "fold", "own", "term").agg(F.count("*").alias("k"))
     held = terms.groupBy("fold", F.col("own").alias("role"), "term").agg(F.sum("k").alias("n_held"))
@@ -61,4 +61,4 @@ def cross_validated(rows: DataFrame, key: str, role: str, tokens: str, fold: str
     scored = sizes.join(F.broadcast(grid), "fold").join(gains, [key, "fold", "role"], "left")
     scored = scored.withColumn("score", F.coalesce("gain", F.lit(0.0)) - F.col("size") * F.col("floor") + F.col("prior"))
     w = Window.partitionBy(key).orderBy(F.desc(F.round("score", 6)), "role")
-    return scored.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select(key, "fold", "role", "score")
+    return scored.withColumn("rank", F.row_number().over(w)).withColumn("margin", F.col("score") - F.lead("score").over(w)).filter("rank = 1").select(key, "fold", "role", "score", "margin")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,3 +43,9 @@ def predict(model: Model, rows: DataFrame, key: str, tokens: str) -> DataFrame:
     """key, role, score of the centroid with the highest cosine; ties go to the smaller role. Rows without a known term have none."""
     scored = _weighted(rows, key, tokens, model.idf).join(model.centroids, "term").groupBy(key, "role").agg(F.sum(F.col("weight") * F.col("mean")).alias("score"))
     return tables.pick(scored, key, F.desc(F.round("score", 9)), F.asc("role"))
+
+
+def cross_validated(rows: DataFrame, key: str, role: str, tokens: str, fold: str, folds: int) -> DataFrame:
+    """key, role, score of every row by the model of the other folds (fold: 0 to folds - 1)."""
+    parts = [predict(fit(rows.filter(F.col(fold) != i), key, role, tokens), rows.filter(F.col(fold) == i), key, tokens) for i in range(folds)]
+    return reduce(DataFrame.unionByName, parts)
