@@ -70,17 +70,34 @@ g AS (SELECT r.item_id, min(rank) FILTER (WHERE contains(d.text, b.text)) AS hit
 SELECT count(*) AS queries, round(avg(CASE WHEN hit <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_1, round(avg(CASE WHEN hit <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_10, round(avg(coalesce(1.0 / hit, 0)), 6) AS mrr FROM g""")
 def retrieval_scores(t):
     """Hit@K and mean reciprocal rank; a document that holds the item's whole text counts as right."""
+    return _hit_scores(_first_hits(t))
+
+
+def _first_hits(t):
     words = lambda c: F.array_distinct(T.keywords(F.col(c)))
     q = t.benchmark.select("item_id", words("text").alias("ws")).select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     d = t.documents.select("doc_id", F.explode(words("text")).alias("w"))
     scored = d.join(q, "w").groupBy("item_id", "doc_id").agg((F.count("*") / (F.sqrt(F.max("n")) + 1e-9)).alias("score"))
     top = J.ranked(scored, ["item_id"], F.desc(F.round("score", 9)), F.asc("doc_id")).filter("rank <= 10")
     right = top.join(t.documents.select("doc_id", F.col("text").alias("doc")), "doc_id").join(t.benchmark, "item_id").withColumn("right", F.contains("doc", "text"))
-    first = right.groupBy("item_id").agg(F.min(F.when(F.col("right"), F.col("rank"))).alias("hit"))
+    return right.groupBy("item_id").agg(F.min(F.when(F.col("right"), F.col("rank"))).alias("hit"))
+
+
+def _hit_scores(first):
     at = lambda k: F.round(F.avg(F.coalesce((F.col("hit") <= k).cast("double"), F.lit(0.0))), 6)
     return first.agg(F.count("*").alias("queries"), at(1).alias("hit_at_1"), at(10).alias("hit_at_10"), F.round(F.avg(F.coalesce(1 / F.col("hit"), F.lit(0.0))), 6).alias("mrr"))
 
 
+@query(f"""
+WITH q AS (SELECT item_id, unnest({_WORDS.format(c='text')}) AS w, len({_WORDS.format(c='text')}) AS n FROM benchmark), d AS (SELECT doc_id, unnest({_WORDS.format(c='text')}) AS w FROM documents),
+s AS (SELECT item_id, doc_id, count(*) / (sqrt(max(n)) + 1e-9) AS score FROM q JOIN d USING (w) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
+g AS (SELECT r.item_id, min(rank) FILTER (WHERE contains(d.text, b.text)) AS hit FROM r JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE rank <= 10 GROUP BY 1)
+SELECT count(*) AS queries, round(avg(CASE WHEN hit <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_1, round(avg(CASE WHEN hit <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_10, round(avg(coalesce(1.0 / hit, 0)), 6) AS mrr FROM benchmark LEFT JOIN g USING (item_id)""")
+def retrieval_scores_of_all(t):
+    """As retrieval_scores, over all items: one without a candidate counts as not found."""
+    return _hit_scores(t.benchmark.select("item_id").join(_first_hits(t), "item_id", "left"))
+
+
 @query(f"""
 WITH u AS (SELECT 'q' || item_id AS id, text FROM benchmark UNION ALL SELECT 'd' || doc_id, text FROM documents), k AS (SELECT id, {_TERMS.format(c='text')} AS ts FROM u), e AS (SELECT id, len(ts) AS n, unnest(ts) AS term FROM k),
 c AS (SELECT id, term, count(*)::DOUBLE / max(n) AS tf FROM e GROUP BY 1, 2), f AS (SELECT term, ln((1 + (SELECT count(*) FROM u)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM c GROUP BY 1),

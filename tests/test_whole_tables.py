@@ -19,3 +19,9 @@ def test_every_labelled_document_is_predicted(name, spark, sf_dir):
     labelled = documents.join(labels, "doc_id", "left_semi").filter("doc_id IS NOT NULL").select("doc_id", T.terms(documents["text"]).alias("ts")).filter("size(ts) > 0")
     found = [r["doc_id"] for r in registry.queries()[name](spark, sf_dir).collect()]
     assert sorted(found) == sorted(r["doc_id"] for r in labelled.collect())
+
+
+def test_items_without_a_candidate_count_as_not_found(spark, tmp_path):
+    spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "beta gamma"), (2, ""), (3, None), (4, "unheard words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert tuple(registry.queries()["retrieval_scores_of_all"](spark, str(tmp_path)).first()) == (4, 0.25, 0.25, 0.25)
