@@ -22,7 +22,7 @@ from .common import materialize
 #: About so many training texts of each language at most, chosen by the hash of the id; rounds of expectation-maximisation.
 TRAIN_ROWS, ROUNDS = 1_200, 3
 #: Longest piece and longest word part in code points (longer words are scored in parts), and the probability of an unknown sign.
-PIECE_CHARS, WORD_CHARS, UNKNOWN = 8, 32, 1e-8
+PIECE_CHARS, WORD_CHARS, UNKNOWN = 16, 32, 1e-8
 #: Words whose agreement makes a prediction certain: the score is the posterior of a text of so many words at most.
 SCORE_WORDS = 12
 #: Words whose probabilities a worker keeps between batches, and words scored at once.
