@@ -2,7 +2,8 @@
 
 Each language has a probability for every piece of a public vocabulary. A word's probability is the sum over all
 ways to cut it into pieces, by a forward algorithm that steps through all distinct words of a batch at once; a
-text's is the product over its words. The piece probabilities come from a bounded sample of labelled texts by
+text's is the product over its words. Pieces are found
+in a tree of their signs, sign by sign, at all places at once. The piece probabilities come from a bounded sample of labelled texts by
 expectation-maximisation (forward and backward sums give each piece's expected count).
 """
 
@@ -13,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens, ragged
@@ -25,41 +26,53 @@ TRAIN_ROWS, ROUNDS = 1_200, 3
 PIECE_CHARS, WORD_CHARS, UNKNOWN = 16, 32, 1e-8
 #: Words whose agreement makes a prediction certain: the score is the posterior of a text of so many words at most.
 SCORE_WORDS = 12
+#: Most languages of one model (its size is pieces x languages); more are refused.
+MOST_LANGS = 2_000
 #: Words whose probabilities a worker keeps between batches, and words scored at once.
 KEPT_WORDS, LATTICE_WORDS = 500_000, 20_000
 
 BEGIN = 0x2581
 
 
-class PointHasher:
-    """Hashes of ranges of one array of code points."""
+class Pieces:
+    """A vocabulary's distinct lower-cased letter pieces, and the tree of their signs.
 
-    def __init__(self, points: np.ndarray):
-        self.sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(ragged.mix(points.astype(np.uint64) + np.uint64(7)) * ragged.powers(ragged.BASE, len(points)), out=self.sums[1:])
-        self.back = ragged.powers(ragged.INVERSE, len(points) + 1)
+    keys: node * 2^21 + code point of each edge, sorted; child: the node it leads to; number: a node's piece, or -1.
+    """
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return ragged.mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+        self.names = sorted(p for p in found if len(p) <= PIECE_CHARS and p.lstrip(chr(BEGIN)).isalpha()) + [chr(BEGIN)]
+        edges: dict[int, int] = {}
+        ends = {}
+        for i, name in enumerate(self.names):
+            node = 0
+            for c in name:
+                node = edges.setdefault((node << 21) + ord(c), len(edges) + 1)
+            ends[node] = i
+        self.number = np.full(len(edges) + 1, -1)
+        self.number[list(ends)] = list(ends.values())
+        self.keys, child = np.array(list(edges)), np.array(list(edges.values()))
+        order = np.argsort(self.keys)
+        self.keys, self.child = self.keys[order], child[order]
+
+    def step(self, node: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The node that each sign leads to from each node, or -1."""
+        key = (node << 21) + points
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[i] == key, self.child[i], -1)
 
 
 @lru_cache(2)
-def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the vocabulary's distinct lower-cased letter pieces, and their numbers."""
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    kept = sorted(p for p in found if len(p) <= PIECE_CHARS and p.lstrip(chr(BEGIN)).isalpha()) + [chr(BEGIN)]
-    points = np.array([ord(c) for p in kept for c in p], np.uint32)
-    ends = np.cumsum([len(p) for p in kept])
-    keys = PointHasher(points)(ends - np.array([len(p) for p in kept]), ends)
-    order = np.argsort(keys)
-    return keys[order], order
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
 
 
 def n_pieces(path: str) -> int:
-    return len(pieces(path)[0])
+    return len(pieces(path).names)
 
 
 class Lattice:
@@ -69,18 +82,24 @@ class Lattice:
         self.order = np.array(sorted(range(len(words)), key=lambda i: -len(words[i])), np.int64)
         marked = [chr(BEGIN) + words[i] for i in self.order]
         self.size = np.array([len(w) for w in marked], np.int64)
-        points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+        points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.int64)
         begin = np.cumsum(self.size) - self.size
-        keys, numbers = pieces(path)
-        hashes = PointHasher(points)
+        left = np.repeat(begin + self.size, self.size) - np.arange(len(points))  # signs from each place to its word's end
+        tree, start = pieces(path), np.arange(len(points))
+        node, found = np.zeros(len(points), np.int64), []
+        for length in range(1, PIECE_CHARS + 1):
+            node = tree.step(node, points[start + length - 1])
+            start, node = start[node >= 0], node[node >= 0]
+            at = np.full(len(points), -1)
+            at[start] = tree.number[node]
+            found.append(at)
+            start, node = start[left[start] > length], node[left[start] > length]
         self.most = int(self.size.max(initial=0))
         self.steps: dict[tuple[int, int], np.ndarray] = {}
         for end in range(1, self.most + 1):
             n = int(np.searchsorted(-self.size, -end, "right"))
             for length in range(1, min(end, PIECE_CHARS) + 1):
-                own = hashes(begin[:n] + end - length, begin[:n] + end)
-                i = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                at = np.where(keys[i] == own, numbers[i], -1)
+                at = found[length - 1][begin[:n] + end - length]
                 if length == 1 or (at >= 0).any():
                     self.steps[end, length] = at
 
@@ -134,9 +153,9 @@ def letter_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
 def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """As letter_parts of all pre-tokens: distinct words, and for each occurrence its word and its text."""
     starts, first = pretokens.cut(data, offsets)
-    keys, s, e, back = pretokens.distinct(data, starts)
+    names, s, e, back = pretokens.distinct(data, starts)
     words, flat, piece = letter_parts(data, s, e)
-    size = np.bincount(piece, minlength=len(keys))
+    size = np.bincount(piece, minlength=len(names))
     begin = np.cumsum(size) - size
     n = size[back]
     word = flat[np.repeat(begin[back] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if n.sum() else flat[:0]
@@ -154,23 +173,27 @@ class Scorer:
         self.known = pretokens.Known(1 << 40)
         self.logs, self.parts = np.zeros((0, self.p.shape[1])), np.zeros(0, np.int64)
 
-    def _add(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _add(self, data: np.ndarray, names: pretokens.Names, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Score new words; their places in self.logs and self.parts."""
         words, flat, piece = letter_parts(data, starts, ends)
         logs = np.concatenate([self.logs[:0], *(Lattice(words[i : i + LATTICE_WORDS], self.path).words(self.p) for i in range(0, len(words), LATTICE_WORDS))])
-        own = np.column_stack([np.bincount(piece, logs[flat, k], len(keys)) for k in range(self.p.shape[1])])
-        self.known.add(keys, len(self.logs) + np.arange(len(keys)))
-        self.logs, self.parts = np.vstack([self.logs, own]), np.append(self.parts, np.bincount(piece, minlength=len(keys)))
+        own = np.column_stack([np.bincount(piece, logs[flat, k], len(names)) for k in range(self.p.shape[1])])
+        at = len(self.logs) + np.arange(len(names))
+        self.known.add(names, at)
+        self.logs, self.parts = np.vstack([self.logs, own]), np.append(self.parts, np.bincount(piece, minlength=len(names)))
+        return at
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sums [text, language] over each text's words, and the number of its words."""
         starts, first = pretokens.cut(data, offsets)
-        keys, s, e, back = pretokens.distinct(data, starts)
-        if len(self.logs) + len(keys) > KEPT_WORDS:
+        names, s, e, back = pretokens.distinct(data, starts)
+        if len(self.logs) + len(names) > KEPT_WORDS:
             self.forget()
-        new = np.flatnonzero(~self.known.find(keys)[1])
+        at, have = self.known.find(names)
+        new = np.flatnonzero(~have)
         if len(new):
-            self._add(data, keys[new], s[new], e[new])
-        at, n, owner = self.known.find(keys)[0], len(offsets) - 1, ragged.owners(first)
+            at[new] = self._add(data, names[new], s[new], e[new])
+        n, owner = len(offsets) - 1, ragged.owners(first)
         total = np.column_stack([np.bincount(owner, self.logs[at, k][back], n) for k in range(self.p.shape[1])])
         return total, ragged.sums(self.parts[at][back], first)
 
@@ -195,18 +218,31 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ragged.flag_counts(pretokens.classes()[points] == pretokens.LETTER, bounds) > 0
 
 
+def share_of(rows: int, train_rows: int) -> float:
+    """The share of a language's rows that gives train_rows of them."""
+    return min(1.0, train_rows / rows)
+
+
+def chance(doc_id: Column) -> Column:
+    """A number from 0 to 1 (exclusive) by the id's hash, in steps of 2^-53."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(3)), 11) / F.lit(2.0**53)
+
+
 def learn(docs: DataFrame, vocabulary: str, train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities [piece, language] from docs (doc_id, text, lang), all of them labelled.
 
     About train_rows texts of each language are used at most, chosen by the hash of their ids, whole. The texts
     stay in the cluster; only expected counts (pieces x languages) come back each round.
     """
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row a language
+    found = docs.groupBy("lang").count().limit(MOST_LANGS + 1).collect()  # one row a language
+    if len(found) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages: piece probabilities of all of them have no place in a task")
+    counts = {r["lang"]: r["count"] for r in found}
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((0, 0))
-    limit = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, train_rows / n) * 1_000_000)))), F.col("lang"))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < limit).select("lang", F.col("text").cast("string").alias("text"))
+    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, share_of(n, train_rows)))), F.col("lang"))
+    sample = docs.filter(chance(F.col("doc_id")) < share).select("lang", F.col("text").cast("string").alias("text"))
 
     def count(batches):
         for b in batches:

@@ -65,10 +65,6 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
     return bins, offsets
 
 
-def _room(have: np.ndarray, need: int) -> np.ndarray:
-    return have if need <= len(have) else np.concatenate([have, np.zeros(max(need - len(have), len(have)), have.dtype)])
-
-
 class Encoder:
     """Ids of whole texts from the tokenizers library, word by word.
 
@@ -86,41 +82,29 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = pretokens.Known(1 << 40)
-        self.flat, self.used, self.begin, self.size, self.n = np.zeros(1 << 16, np.uint32), 0, np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-
-    def _keep(self, ids: list[list[int]]) -> None:
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
-        self.flat = _room(self.flat, self.used + total)
-        self.begin, self.size = _room(self.begin, self.n + len(ids)), _room(self.size, self.n + len(ids))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.begin[self.n : self.n + len(ids)] = self.used + np.cumsum(size) - size
-        self.size[self.n : self.n + len(ids)] = size
-        self.used, self.n = self.used + total, self.n + len(ids)
+        self.known, self.kept = pretokens.Known(1 << 40), ragged.Lists(np.uint32)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's begin (one more at the end)."""
         starts, ends, first = ragged.words(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        keys, s, e, back = pretokens.distinct(data, starts, ends=ends)
-        if self.n + len(keys) > KEPT_WORDS:
+        names, s, e, back = pretokens.distinct(data, starts, ends)
+        if len(self.kept) + len(names) > KEPT_WORDS:
             self.forget()
-        at, have = self.known.find(keys)
+        at, have = self.known.find(names)
         new = np.flatnonzero(~have)
         if len(new):
             raw = data.tobytes()
-            at[new] = self.n + np.arange(len(new))
-            self.known.add(keys[new], at[new])
+            at[new] = len(self.kept) + np.arange(len(new))
+            self.known.add(names[new], at[new])
             for i in range(0, len(new), BATCH_WORDS):
                 some = new[i : i + BATCH_WORDS]
                 found = self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(s[some].tolist(), e[some].tolist())], add_special_tokens=False)
-                self._keep([x.ids for x in found])
-        at = at[back]
-        size = self.size[at]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.begin[at] - ends[:-1], size)], ends[first]
+                size = np.array([len(x.ids) for x in found], np.int64)
+                self.kept.add(np.fromiter(chain.from_iterable(x.ids for x in found), np.uint32, size.sum()), size)
+        ids, ends = self.kept.take(at[back])
+        return ids, ends[first]
 
 
 @lru_cache(2)
@@ -151,13 +135,15 @@ def pieces(docs: DataFrame, vocabulary: str, room: int = 4096, end_id: int = 2,
 def pack(docs: DataFrame, vocabulary: str, room: int = 4096, end_id: int = 2, group_pieces: int = GROUP_PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null text is an empty document of one id (end_id). Null ids and repeated rows are packed like any other row;
-    other columns are left out; an empty table gives an empty result. Documents longer than room are cut at its
+    Null text is an empty document of one id (end_id). Null ids and repeated rows are packed like any other row,
+    spread over the groups; other columns are left out; an empty table gives an empty result. Documents longer than room are cut at its
     multiples. A group's bins never meet another's, so sequence_id = group * 2^32 + bin is unique.
     """
-    cut = materialize(pieces(docs, vocabulary, room, end_id, id_col, text_col))
+    # The tie is written with the pieces: it tells equal rows apart and stays when a task is run again.
+    tie = F.xxhash64(F.monotonically_increasing_id(), "start", "ids_crc32")
+    cut = materialize(pieces(docs, vocabulary, room, end_id, id_col, text_col).withColumnRenamed(id_col, "id").withColumn("tie", tie))
     groups = max(1, -(-cut.count() // group_pieces))
-    id_type = cut.schema[id_col].dataType.simpleString()
+    id_type = cut.schema["id"].dataType.simpleString()
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["tie", "start"], kind="stable", ignore_index=True)
@@ -166,6 +152,6 @@ def pack(docs: DataFrame, vocabulary: str, room: int = 4096, end_id: int = 2, gr
         frame["offset"] = offsets
         return frame[["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    dealt = cut.withColumnRenamed(id_col, "id").withColumn("tie", F.xxhash64("id", "start", "ids_crc32")).withColumn("pack_group", F.pmod("tie", F.lit(groups)))
+    dealt = cut.withColumn("pack_group", F.pmod("tie", F.lit(groups)))
     packed = dealt.groupBy("pack_group").applyInPandas(run, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

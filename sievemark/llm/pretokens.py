@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .ragged import Hasher
+from . import ragged
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
@@ -66,11 +66,31 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.searchsorted(starts, offsets)
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, lower: bool = False, ends: np.ndarray | None = None):
-    """Hashes of the distinct pieces (sorted), an example's start and end of each, and for each piece its index there."""
+class Names:
+    """Keys of pieces with the lanes that tell two pieces of one key apart."""
+
+    def __init__(self, keys: np.ndarray, lanes: np.ndarray):
+        self.keys, self.lanes = keys, lanes
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __getitem__(self, at: np.ndarray) -> Names:
+        return Names(self.keys[at], self.lanes[at])
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> tuple[Names, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the distinct pieces (by key), an example's start and end of each, and for each piece its index there."""
     ends = np.append(starts[1:], len(data)) if ends is None else ends
-    keys, first, back = np.unique(Hasher(data, lower)(starts, ends), return_index=True, return_inverse=True)
-    return keys, starts[first], ends[first], back
+    lanes = ragged.lanes(data, starts, ends)
+    keys = ragged.key(lanes)
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    if not np.array_equal(lanes[first].take(back, 0), lanes):  # two pieces of one key: number the pairs of lanes themselves
+        order = np.lexsort((lanes[:, 0], lanes[:, 1], keys))
+        fresh = np.append(True, (lanes[order[1:]] != lanes[order[:-1]]).any(1))
+        first, back = order[fresh], np.empty(len(order), np.int64)
+        back[order] = np.cumsum(fresh) - 1
+    return Names(keys[first], lanes[first]), starts[first], ends[first], back
 
 
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,9 +102,10 @@ def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 
 class Known:
-    """Values of distinct pieces by hash, kept between batches of a worker and emptied beyond a bound.
+    """Values of distinct pieces, kept between batches of a worker and emptied beyond a bound.
 
-    The keys lie in sorted runs; a run is merged into the one before it once it is half as long, so that adding stays cheap.
+    The names lie in runs sorted by key; a run is merged into the one before it once it is half as long, so that adding
+    stays cheap. Of two pieces of one key at most one is found; the other counts as unknown.
     """
 
     def __init__(self, most: int = 2_000_000):
@@ -93,25 +114,27 @@ class Known:
     def __len__(self) -> int:
         return sum(len(k) for k, _ in self.runs)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and which keys are known."""
-        values, have = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    def find(self, names: Names) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and which names are known."""
+        values, have = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
         for known, kept in self.runs:
-            i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit = known[i] == keys
+            i = np.minimum(np.searchsorted(known.keys, names.keys), len(known) - 1)
+            hit = np.flatnonzero(known.keys[i] == names.keys)
+            was, now = known.lanes[i[hit]], names.lanes[hit]
+            hit = hit[(was[:, 0] == now[:, 0]) & (was[:, 1] == now[:, 1])]
             values[hit] = kept[i[hit]]
-            have |= hit
+            have[hit] = True
         return values, have
 
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Add sorted new keys."""
-        if len(self) + len(keys) > self.most:
+    def add(self, names: Names, values: np.ndarray) -> None:
+        """Add new names, sorted by key."""
+        if len(self) + len(names) > self.most:
             self.runs = []
-        if not len(keys):
+        if not len(names):
             return
-        self.runs.append((keys, values))
+        self.runs.append((names, values))
         while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) >= len(self.runs[-2][0]):
-            (k1, v1), (k2, v2) = self.runs[-2:]
-            k, v = np.concatenate([k1, k2]), np.concatenate([v1, v2])
-            order = np.argsort(k, kind="stable")
-            self.runs[-2:] = [(k[order], v[order])]
+            (n1, v1), (n2, v2) = self.runs[-2:]
+            order = np.argsort(np.concatenate([n1.keys, n2.keys]), kind="stable")
+            joined = Names(np.concatenate([n1.keys, n2.keys]), np.concatenate([n1.lanes, n2.lanes]))
+            self.runs[-2:] = [(joined[order], np.concatenate([v1, v2])[order])]

@@ -80,7 +80,7 @@ def hashed(data: np.ndarray, offsets: np.ndarray, x: np.ndarray) -> tuple[np.nda
     """Feature ids, values and text indices: each word by its share, and the range of each statistic."""
     starts, ends, first = ragged.words(data, offsets)
     owner = ragged.owners(first)
-    ids = (ragged.Hasher(data, lower=True)(starts, ends) % np.uint64(DIMENSIONS)).astype(np.int64)
+    ids = (ragged.hashes(ragged.lower(data), starts, ends) % np.uint64(DIMENSIONS)).astype(np.int64)
     n = len(offsets) - 1
     place, times = np.unique(owner * DIMENSIONS + ids, return_counts=True)
     owner, ids = place // DIMENSIONS, place % DIMENSIONS

@@ -32,8 +32,7 @@ _IS_LOWER[0xC3:0xD5] = True
 def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """COUNTS of each text."""
     starts, ends, first = ragged.words(data, offsets)
-    hashes = ragged.Hasher(data)
-    values = hashes(starts, ends)
+    values = ragged.hashes(data, starts, ends)
     owner = ragged.owners(first)
     out = {"n_words": np.diff(first)}
     out["word_chars"] = ragged.flag_counts(((data & 0xC0) != 0x80) & ~ragged.SEPARATOR[data], offsets)
@@ -45,7 +44,7 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     line_starts, line_ends = line_starts[worded], line_ends[worded]
     first_line = np.searchsorted(line_starts, offsets)
     line_owner = ragged.owners(first_line)
-    own = ragged.mix(hashes(line_starts, line_ends) + ragged.mix(line_owner.astype(np.uint64)))
+    own = ragged.mix(ragged.hashes(data, line_starts, line_ends) + ragged.mix(line_owner.astype(np.uint64)))
     distinct = np.unique(own, return_index=True)[1]
     again = np.ones(len(own), bool)
     again[distinct] = False

@@ -102,14 +102,13 @@ def _count(data: np.ndarray, offsets: np.ndarray, merges: Merges, known: pretoke
     starts, first = pretokens.cut(data, offsets)
     if not len(starts):
         return np.zeros(len(offsets) - 1, np.int64)
-    keys, s, e, back = pretokens.distinct(data, starts)
-    counts, have = known.find(keys)
+    names, s, e, back = pretokens.distinct(data, starts)
+    counts, have = known.find(names)
     new = ~have
     if new.any():
         flat, owner = pretokens.gather(data, s[new], e[new])
-        counts = counts.copy()
         counts[new] = merge_all(merges.byte_ids[flat], owner, int(new.sum()), merges)
-        known.add(keys[new], counts[new])
+        known.add(names[new], counts[new])
     return ragged.sums(counts[back], first)
 
 
