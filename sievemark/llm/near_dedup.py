@@ -11,6 +11,11 @@ key links its members to one of them (a star), in ROUNDS rounds with other centr
 only pairs that share a key but lie in different components after that are compared with each other. Pairs are
 screened by a parity sketch of the sets: its differing bits never exceed the sets' symmetric difference, which
 bounds the similarity from above, so that the screen loses no link.
+
+A key may stay hot, where many documents share a passage and little else. Its members aren't paired with each other:
+their sets are put in one order, rare shingles first, and two sets of the similarity must share a shingle among the
+first of each (as many as the similarity lets them differ in, and one), so that shingles of one document drop out
+and only documents that share such a shingle are compared.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ragged
@@ -30,6 +35,8 @@ SYMBOLS, CHUNKS, DISTANCE = 30, 6, 17
 _CHUNK = SYMBOLS // CHUNKS
 #: 64-bit words of a set's parity sketch, and rounds of stars.
 SKETCH_WORDS, ROUNDS = 32, 2
+#: A key with more pairs to compare is hot.
+HOT_PAIRS = 20_000
 #: For each chunk, the symbols of each key.
 KEYS = [tuple(c * _CHUNK + i for i in kept) for c in range(CHUNKS) for kept in combinations(range(_CHUNK), _CHUNK - DISTANCE // CHUNKS)]
 
@@ -44,7 +51,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_WOR
     A text of fewer than width words has its whole sequence as one shingle, a text without words none.
     """
     starts, ends, first = ragged.words(data, offsets)
-    hashes = ragged.Hasher(data, lower=True)(starts, ends)
+    hashes = ragged.hashes(ragged.lower(data), starts, ends)
     out, begins = ragged.windows(hashes, first, width)
     counts = np.diff(first)
     short = np.flatnonzero((counts > 0) & (counts < width))
@@ -116,18 +123,20 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
-    """doc_id and its sorted set, for the ids asked for."""
+    """doc_id, a hash of its whole set, and the sorted set, for the ids asked for; equal sets of one id once."""
 
     def run(batches):
         for b in batches:
             texts = ragged.texts_of(b.column(1))
             for lo, hi, data, offsets in ragged.slices(texts):
                 values, first = shingle_sets(data, offsets)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))], ["doc_id", "shingles"])
+                ends = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ragged.mix(values))])
+                whole = pa.array((ends[first[1:]] - ends[first[:-1]]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), whole, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))], ["doc_id", "whole", "shingles"])
 
     wanted = semi_join(docs.select("doc_id", F.col("text").cast("string").alias("text")), ids, "doc_id", n_ids)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return wanted.mapInArrow(run, f"doc_id {id_type}, shingles array<long>").dropDuplicates(["doc_id"])
+    return wanted.mapInArrow(run, f"doc_id {id_type}, whole long, shingles array<long>").dropDuplicates(["doc_id", "whole"])
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -138,9 +147,34 @@ def confirmed(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_r"))
     common = F.size(F.array_intersect("set_l", "set_r")).cast("long")
     union = F.size("set_l") + F.size("set_r") - F.col("common")
-    percent = int(round(threshold * 100))
     both = pairs.join(right, "b").join(left, "a").withColumn("common", common)
-    return both.filter(100 * F.col("common") >= percent * union).select("a", "b")
+    return both.filter(100 * F.col("common") >= _percent(threshold) * union).select("a", "b")
+
+
+def _percent(threshold: float) -> int:
+    return int(round(threshold * 100))
+
+
+def prefix_pairs(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components among nodes (rep, component) that may have the similarity.
+
+    Two sets of n and m shingles with the similarity share at least ceil(threshold n) of the first one's; so in any one
+    order of all shingles they share one of the first n - ceil(threshold n) + 1 and m - ceil(threshold m) + 1. The order
+    is by the number of nodes that hold a shingle; those of a single node come first and can't be shared.
+    """
+    sets = materialize(sets_of(docs, nodes.select(F.col("rep").alias("doc_id")), nodes.count()).withColumn("size", F.size("shingles").cast("long")))
+    rows = sets.select("doc_id", "whole", "size", F.explode("shingles").alias("shingle"))
+    held = rows.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    common = rows.join(held, "shingle")
+    whole = Window.partitionBy("doc_id", "whole")
+    alone = F.col("size") - F.count("*").over(whole)
+    need = F.ceil(F.col("size") * _percent(threshold) / 100)
+    placed = common.withColumn("place", alone + F.row_number().over(whole.orderBy("holders", "shingle")))
+    prefix = materialize(placed.filter(F.col("place") <= F.col("size") - need + 1).join(nodes.withColumnRenamed("rep", "doc_id"), "doc_id").select("shingle", "doc_id", "size", "component"))
+    a, b = prefix.alias("a"), prefix.alias("b")
+    close = (100 * F.col("a.size") >= _percent(threshold) * F.col("b.size")) & (100 * F.col("b.size") >= _percent(threshold) * F.col("a.size"))
+    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & close)
+    return met.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,14 +203,13 @@ def components(edges: DataFrame) -> DataFrame:
 def _may_reach(a: str, b: str, threshold: float) -> F.Column:
     """False only where the set sizes (a.n, b.n) or the parity sketches (a.b0, ...) show a similarity below threshold.
 
-    Sets of that similarity differ by at most most = (a.n + b.n)(1 - threshold)/(1 + threshold) members. Large sets
-    fill the sketch; there its expected number of differing bits and five standard deviations are the limit.
+    Sets of that similarity differ by at most (a.n + b.n)(1 - threshold)/(1 + threshold) members. Pairs of very large
+    sets, whose sketches are full, pass.
     """
-    n, m, bits = F.col(f"{a}.n"), F.col(f"{b}.n"), 64 * SKETCH_WORDS
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _SKETCH[1:]), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
     most = (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    filled = bits / 2 * (1 - F.exp(most * (-2 / bits))) + 5 * (bits / 4) ** 0.5
-    return (F.least(n, m) + 1e-6 >= threshold * F.greatest(n, m)) & (differ <= F.least(most, filled))
+    return (F.least(n, m) + 1e-6 >= threshold * F.greatest(n, m)) & (differ <= most)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -186,8 +219,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     doc_id = component_id. Texts that are null, empty or without words have an empty set and are linked with
     nothing; texts of fewer than five words have their whole sequence as one shingle. Equal texts are linked
     whatever their number. Other columns are left out. A null doc_id is linked with nothing and is its own
-    component (null), kept. Rows that repeat a doc_id are taken as copies of one document if their texts are
-    equal; ids are to be unique otherwise. An empty table gives an empty result. Texts are taken whole.
+    component (null), kept. Rows that repeat a doc_id are one document, linked where any of its texts is, with one
+    component. An empty table gives an empty result. Texts are taken whole.
     """
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs))
@@ -199,13 +232,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     indexed = reps.select("rep", F.explode(F.array(*keys)).alias("key"))
     shared = indexed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head < tail").select("key", "head")
     members = materialize(indexed.join(shared, "key"))
-    sketches = materialize(reps.select("rep", "sketch").join(members.select("rep").distinct(), "rep"))
+    sketches = materialize(reps.select("rep", "sketch").join(members.select("rep").distinct(), "rep"))  # several rows of an id with several sets
     labels = members.select(F.col("rep").alias("doc_id"), F.col("rep").alias("component")).distinct()
-    edges = None
+    edges = _of_one_id(full, reps, same)
     mixed = members.select("key", "rep", F.col("rep").alias("component"), F.col("head"), F.col("head").alias("head_component"))
     for turn in range(ROUNDS):
         stars = mixed.filter("component <> head_component").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
-        screened = stars.join(_as(sketches, "b"), "b").join(_as(sketches, "a"), "a").filter(_may_reach("sketch_a", "sketch_b", threshold)).select("a", "b")
+        screened = stars.join(_as(sketches, "b"), "b").join(_as(sketches, "a"), "a").filter(_may_reach("sketch_a", "sketch_b", threshold)).select("a", "b").distinct()
         found = confirmed(docs, materialize(screened), threshold)
         edges = found if edges is None else edges.union(found)
         labels = materialize(components(edges))
@@ -214,13 +247,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
         centre = labelled.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("head"), F.col("component").alias("head_component")), F.xxhash64("rep", "key", F.lit(turn))).alias("h"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "h.*")
         mixed = materialize(labelled.join(centre, "key"))
 
-    main = mixed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    mixed = mixed.select("key", "rep", "component").join(main, "key").join(sketches, "rep")
-    minor = mixed.filter("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("sketch").alias("sx"))
-    every = mixed.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("sketch").alias("sy"), "main")
+    main = mixed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = materialize(main.select("key", "main", ((F.col("all") - F.col("most")) * F.col("all") > HOT_PAIRS).alias("hot")))
+    mixed = mixed.select("key", "rep", "component").join(main, "key")
+    hot = materialize(mixed.filter("hot").select("rep", "component").distinct())
+    cold = mixed.filter("NOT hot").join(sketches, "rep")
+    minor = cold.filter("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("sketch").alias("sx"))
+    every = cold.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("sketch").alias("sy"), "main")
     apart = (F.col("cx") < F.col("cy")) | ((F.col("cx") > F.col("cy")) & (F.col("cy") == F.col("main")))
-    met = minor.join(every, (minor["key"] == every["key"]) & apart & _may_reach("sx", "sy", threshold))
-    rest = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    met = minor.join(every, (minor["key"] == every["key"]) & apart & _may_reach("sx", "sy", threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    if not hot.isEmpty():
+        near = prefix_pairs(docs, hot, threshold).join(_as(sketches, "b"), "b").join(_as(sketches, "a"), "a").filter(_may_reach("sketch_a", "sketch_b", threshold))
+        met = met.union(near.select("a", "b"))
+    rest = materialize(met.distinct())
     if not rest.isEmpty():
         labels = components(edges.union(confirmed(docs, rest, threshold)))
 
@@ -230,5 +269,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     return found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _of_one_id(full: DataFrame, reps: DataFrame, same: list[str]) -> DataFrame | None:
+    """Links between the representatives of ids that several different texts share; None where every id has one text."""
+    several = materialize(full.groupBy("doc_id").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high")).filter("low < high").select("doc_id"))
+    if several.isEmpty():
+        return None
+    held = full.join(several, "doc_id", "left_semi").join(reps.select(*same, "rep"), same).select("doc_id", "rep")
+    return held.join(held.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+
+
 def _as(sketches: DataFrame, side: str) -> DataFrame:
     return sketches.select(F.col("rep").alias(side), F.col("sketch").alias(f"sketch_{side}"))
