@@ -20,10 +20,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (local tests), one temporary folder per process."""
+    """The folder in spark.checkpoint.dir; where it is unset, one temporary folder per process, under a local master only."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="sievemark-"))
     return _own_dir[0]
