@@ -1,9 +1,12 @@
 """Document fingerprints from closed syncmers, in DataFrame expressions.
 
-A text's tokens are its words (runs without white space, cut every TOKEN_CHARS code points). A k-mer of K tokens
-is chosen if, of the S-token substrings inside it, the one with the least hash lies at an edge; the choice
-depends on the k-mer alone, so that a passage keeps its anchors wherever it stands. The fingerprint is the
-SKETCH smallest distinct anchor hashes.
+A text's tokens are its words; signs of scripts that are written without spaces, and those of runs of more than
+TOKEN_CHARS signs, are tokens one by one, so that no token's edge depends on what stands far before it. A k-mer of K
+tokens is chosen if, of the S-token substrings inside it, the one with the least hash lies at an edge; the choice
+depends on the k-mer alone, so that a passage keeps its anchors wherever it stands. The fingerprint holds anchors
+with their positions: those of the least hashes, SKETCH or one in SHARE, whichever is more. Two fingerprints are
+matched by position: a common anchor counts where it stands at the same place in both, or where another common
+anchor is moved by the same distance.
 """
 
 from __future__ import annotations
@@ -14,15 +17,19 @@ from pyspark.sql import functions as F
 from .native import let
 
 K, S = 4, 2
-TOKEN_CHARS = 16
-SKETCH = 64
+TOKEN_CHARS = 24
+SKETCH, SHARE = 64, 16
 
-#: Rows of one stretch of documents in the order of their ids, and most stretches.
-STRETCH_ROWS, MAX_STRETCHES = 2_000, 2_000
+#: Rows of one stretch of documents in the order of their ids: few while they make FEW_STRETCHES at most, then more, but not over MOST_ROWS.
+STRETCH_ROWS, FEW_STRETCHES, MOST_ROWS = 2_000, 2_000, 100_000
+
+_SIGNS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_RUN = rf"[^\x20\x09-\x0D{_SIGNS}]"
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"([^\x20\x09-\x0D]{{1,{TOKEN_CHARS}}})"), F.lit(1))
+    """Runs without white space and without signs of unspaced scripts, whole up to TOKEN_CHARS; other signs one by one."""
+    return F.regexp_extract_all(text, F.lit(rf"((?<!{_RUN}){_RUN}{{1,{TOKEN_CHARS}}}+(?!{_RUN})|[^\x20\x09-\x0D])"), F.lit(1))
 
 
 def anchors(text: Column) -> Column:
@@ -41,57 +48,79 @@ def anchors(text: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The SKETCH smallest distinct anchor hashes, ascending; empty for a text without words."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors(text), lambda a: a["hash"]))), 1, SKETCH)
+    """The anchors of the least distinct hashes with their first positions, by hash: array of struct(hash, pos); empty for a text without words."""
+    hashes = lambda a: F.array_sort(F.array_distinct(F.transform(a, lambda x: x["hash"])))
+    last = lambda h: F.get(h, F.least(F.greatest(F.lit(SKETCH), F.floor(F.size(h) / SHARE).cast("int")), F.size(h)) - 1)
+    upto = lambda a, bound: F.array_sort(F.transform(F.filter(a, lambda x: x["hash"] <= bound), lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"))))
+    firsts = lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["hash"] != x["hash"]))
+    return let(anchors(text), lambda a: let(last(hashes(a)), lambda bound: let(upto(a, bound), firsts)))
 
 
-def written(hashes: Column) -> Column:
-    return F.concat_ws(" ", F.transform(hashes, lambda h: F.lower(F.hex(h))))
+def written(kept: Column) -> Column:
+    """A sketch as text: hash.position of each anchor, the hash in hexadecimal digits."""
+    return F.concat_ws(" ", F.transform(kept, lambda x: F.concat_ws(".", F.lower(F.hex(x["hash"])), x["pos"].cast("string"))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common anchors: of the SKETCH smallest hashes of both sketches together, those in both. Two empty sketches: 1."""
-    return let(F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH), lambda u: F.when(F.size(u) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)))
+    """Estimated share of the anchors of both texts that match by position. Two empty sketches: 1.
+
+    Of the hashes in either sketch the least ones are looked at, as many as the smaller sketch has (a sketch of fewer
+    than SKETCH is whole and bounds nothing).
+    """
+    bare = lambda x: F.transform(x, lambda y: y["hash"])
+    room = lambda x: F.when(F.size(x) >= SKETCH, F.size(x)).otherwise(F.lit(2**31 - 1))
+    union = F.slice(F.array_sort(F.array_union(bare(a), bare(b))), F.lit(1), F.least(room(a), room(b)))
+    side = lambda x, n, bound: F.transform(F.filter(x, lambda y: y["hash"] <= bound), lambda y: F.struct(y["hash"].alias("hash"), F.lit(n).alias("side"), y["pos"].alias("pos")))
+    both = lambda bound: F.array_sort(F.concat(side(a, 0, bound), side(b, 1, bound)))
+    moved = lambda m: F.array_sort(F.filter(F.transform(m, lambda x, i: F.when(F.get(m, i - 1)["hash"] == x["hash"], x["pos"] - F.get(m, i - 1)["pos"])), lambda d: d.isNotNull()))
+    agree = lambda d: F.size(F.filter(d, lambda x, i: (x == 0) | F.coalesce(F.get(d, i - 1) == x, F.lit(False)) | F.coalesce(F.get(d, i + 1) == x, F.lit(False))))
+    matched = lambda u: let(both(F.element_at(u, -1)), lambda m: let(moved(m), agree))
+    return let(union, lambda u: F.when(F.size(u) == 0, 1.0).otherwise(matched(u) / F.size(u)))
+
+
+def stretches(rows: int) -> int:
+    """How many stretches so many rows are dealt to."""
+    return max(1, min(FEW_STRETCHES, rows // STRETCH_ROWS), -(-rows // MOST_ROWS))
+
+
+def _bounds(ids: DataFrame) -> list:
+    """The least id of each stretch, ascending."""
+    dealt = ids.repartitionByRange(stretches(ids.count()), "doc_id")
+    return sorted(r[0] for r in dealt.groupBy(F.spark_partition_id()).agg(F.min("doc_id")).collect())  # one row a stretch
 
 
-def _stretches(docs: DataFrame) -> tuple[list, Column]:
-    """Bounds that cut the ids into stretches of about STRETCH_ROWS rows, and each row's stretch."""
-    n = docs.count()
-    parts = max(1, min(MAX_STRETCHES, n // STRETCH_ROWS))
-    if parts == 1:
-        return [], F.lit(0)
-    shares = [i / parts for i in range(1, parts)]
-    bounds = docs.agg(F.percentile_approx("doc_id", shares, 10 * MAX_STRETCHES)).first()[0]
-    bounds = sorted(set(bounds))
-    return bounds, F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id")))
+def _place(bounds: list) -> Column:
+    """The number of the stretch of each id: searched in two steps, so that the work is twice the root of their number."""
+    wide = max(1, round(len(bounds) ** 0.5))
+    parts = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    upto = lambda items: F.size(F.filter(items, lambda b: b <= F.col("doc_id")))
+    listed = lambda items: F.array(*map(F.lit, items))
+    inside = lambda i: i * wide + upto(F.get(F.array(*map(listed, parts)), i)) - 1
+    return let(upto(listed([p[0] for p in parts])) - 1, inside)
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, and what else it has) with next: a struct of the row after it in ascending doc_id (after the last: the first).
 
-    The ids are cut into stretches by quantiles; a stretch also gets a copy of the next one's first row, so that no
+    The ids are cut into stretches of like size; a stretch also gets a copy of the next one's first row, so that no
     task sees all rows. Rows of one id follow each other by text. A row without id has no next (null).
     """
     fields = docs.columns
     known = docs.filter("doc_id IS NOT NULL")
-    _, place = _stretches(known.select("doc_id"))
-    dealt = known.withColumn("stretch", place)
-    firsts = [(r["stretch"], r["first"]) for r in dealt.groupBy("stretch").agg(F.min("doc_id").alias("first")).orderBy("stretch").collect()]  # one row a stretch
-    if firsts:
-        before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-        heads = dealt.filter(F.col("doc_id").isin(list(before))).groupBy("doc_id").agg(F.min(F.struct("text", *(F.col(c) for c in fields if c not in ("doc_id", "text")))).alias("h")).select("doc_id", "h.*")
-        target = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-        ghosts = heads.select(*fields, F.element_at(target, F.col("doc_id")).alias("stretch"), F.lit(True).alias("ghost"))
-        dealt = dealt.select(*fields, "stretch", F.lit(False).alias("ghost")).unionByName(ghosts)
-    else:
-        dealt = dealt.withColumn("ghost", F.lit(False))
+    bounds = _bounds(known.select("doc_id"))
+    if not bounds:
+        return docs.withColumn("next", F.lit(None).cast(docs.schema))
+    dealt = known.withColumn("stretch", _place(bounds))
+    heads = dealt.filter(F.col("doc_id").isin(bounds)).groupBy("doc_id", "stretch").agg(F.min(F.struct("text", *(F.col(c) for c in fields if c not in ("doc_id", "text")))).alias("h"))
+    ghosts = heads.select("doc_id", F.pmod(F.col("stretch") - 1, F.lit(len(bounds))).alias("stretch"), "h.*").select(*fields, "stretch", F.lit(True).alias("ghost"))
+    dealt = dealt.select(*fields, "stretch", F.lit(False).alias("ghost")).unionByName(ghosts)
     order = Window.partitionBy("stretch").orderBy("ghost", "doc_id", "text")
     chained = dealt.withColumn("next", F.lead(F.struct(*fields)).over(order)).filter("NOT ghost").select(*fields, "next")
     return chained.unionByName(docs.filter("doc_id IS NULL").withColumn("next", F.lit(None).cast(chained.schema["next"].dataType)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, anchors (array of struct(pos, hash)), fingerprint (hexadecimal hashes joined by spaces).
+    """Per row: doc_id, anchors (array of struct(pos, hash)), fingerprint (hash.position of the kept anchors, joined by spaces).
 
     Null or empty texts have no anchors and an empty fingerprint. Null ids, repeated rows and other columns are
     allowed: one row out for each row; an empty table gives an empty result. Whole texts are read.
@@ -111,7 +140,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     n = F.char_length("text").cast("long")
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - quarter), F.coalesce(F.substring("next.text", F.lit(1), quarter), F.lit("")))
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<struct<hash: bigint, pos: int>>")
     found = paired.select("doc_id", n.alias("n_chars"), "own", F.coalesce("next.own", none).alias("next_own"), edited.alias("edited"))
     found = found.withColumn("edited_own", sketch(F.col("edited")))
     return found.select(

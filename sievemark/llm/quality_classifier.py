@@ -1,8 +1,8 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote on every document (junk, no vote, fine). Expectation-maximisation over the
-counts of vote patterns, of which there are few whatever the input, estimates the labellers' accuracies and each
-pattern's posterior. The posteriors of a bounded sample train a linear scorer on hashed features (words, and
+counts of vote patterns, of which there are few whatever the input, estimates how often each labeller votes what on
+fine and on junk documents, the share of fine ones, and each pattern's posterior. The posteriors of a bounded sample train a linear scorer on hashed features (words, and
 ranges of text statistics), which scores every document.
 """
 
@@ -21,27 +21,31 @@ from .common import kept_rows, materialize
 #: Most documents that the scorer is trained on (those with the smallest hashes of their ids), and hashed features.
 TRAIN_ROWS, DIMENSIONS = 6_000, 1 << 15
 
-LABELLERS = ["shouting", "symbols", "tables", "repeats", "dup_lines", "variety", "sentences"]
-#: The share of fine documents that the weak-label model takes as given.
-FINE_SHARE = 0.9
-#: A labeller's vote for junk is taken to be at least so many times likelier on junk than on a fine document, even where no
-#: other labeller ever agrees with it.
-LEAST_ODDS = 50.0
+LABELLERS = ["bangs", "capitals", "symbols", "marks", "tables", "repeats", "dup_lines", "richness", "variety", "sentences"]
+#: What is believed before any document is seen, as if so large a share of all documents (WEIGHT) had shown it: the share of
+#: fine documents (a Beta prior), and how often a labeller votes junk, not, or fine on junk and on fine ones (Dirichlet priors).
+FINE_SHARE, WEIGHT = 0.9, 0.02
+BELIEF = np.array([[0.2, 0.6, 0.2], [0.002, 0.498, 0.5]])
 JUNK, NO_VOTE, FINE = 0, 1, 2
 _RANGES = np.array([0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97])
 
 
 def votes(x: np.ndarray) -> np.ndarray:
-    """One vote of each labeller for each row of textstats.features(). Most only ever vote for junk; the last two vote either way."""
+    """One vote of each labeller for each row of textstats.features(). Some only ever vote for junk, some either way."""
     f = dict(zip(textstats.FEATURES, x.T))
     enough = f["log_words"] >= np.log1p(8)
+    # Herdan's measure: the logarithm of the distinct words over that of all words.
+    rich = np.log(np.maximum(f["distinct_share"] * np.expm1(f["log_words"]), 1)) / np.maximum(f["log_words"], 1)
     junk = lambda said: np.where(said & enough, JUNK, NO_VOTE)
     return np.column_stack([
-        junk((f["bang_rate"] > 0.2) | (f["upper_share"] > 0.5)),
+        junk(f["bang_rate"] > 0.2),
+        np.where((f["upper_share"] < 0.3) & enough, FINE, junk(f["upper_share"] > 0.5)),
         junk((f["symbol_word_share"] > 0.12) & (f["pipe_rate"] < 0.1)),
+        np.where((f["symbol_share"] < 0.004) & enough, FINE, junk(f["symbol_share"] > 0.015)),
         junk(f["pipe_rate"] > 0.1),
         junk((f["repeat_share"] > 0.5) | (f["same_next_share"] > 0.2)),
         junk(f["dup_line_share"] > 0.5),
+        np.where((rich > 0.85) & enough, FINE, junk(rich < 0.7)),
         np.where(f["top_word_share"] < 0.2, FINE, junk(f["top_word_share"] > 0.35)),
         np.where((f["end_rate"] > 0.01) & (f["end_rate"] < 0.5), FINE, junk(((f["end_rate"] > 0.8) | (f["end_rate"] == 0)) & (f["log_words"] > np.log1p(60)))),
     ])
@@ -55,25 +59,30 @@ def unpacked(codes: np.ndarray) -> np.ndarray:
     return codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
-def estimate(codes: np.ndarray, counts: np.ndarray, fine_share: float = FINE_SHARE, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """EM over vote patterns: P(fine) of each pattern, and table[class, labeller, vote].
+def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
+    """EM over vote patterns: P(fine) of each pattern, P(vote | class) as table[class, labeller, vote], and the share of fine documents.
 
-    Kinds of junk exclude each other, so that a labeller's silence says nothing about a document, and the share of
-    fine documents is given, not fitted. It begins with junk where any labeller says so.
+    A labeller's silence counts like its votes. The priors are BELIEF and FINE_SHARE; it begins with junk where any labeller says so.
     """
-    v = unpacked(codes)
+    v, n = unpacked(codes), counts.sum()
     post = np.where((v == JUNK).any(1), 0.02, 0.99)
-    table = np.zeros((2, v.shape[1], 3))
+    believed = WEIGHT * n * np.array([[1 - FINE_SHARE], [FINE_SHARE]]) * BELIEF + 1e-6
+    table, share, each = np.zeros((2, v.shape[1], 3)), FINE_SHARE, np.arange(v.shape[1])
     for _ in range(rounds):
         weight = np.stack([counts * (1 - post), counts * post])
-        for j in range(v.shape[1]):
-            for k in range(3):
-                table[:, j, k] = weight[:, v[:, j] == k].sum(1) + 0.1
+        for k in range(3):
+            table[:, :, k] = weight @ (v == k) + believed[:, k : k + 1]
         table /= table.sum(2, keepdims=True)
-        said = [np.where(v[:, j] == NO_VOTE, 0.0, np.log(table[1, j, v[:, j]] / table[0, j, v[:, j]])) for j in range(v.shape[1])]
-        said = [np.where(v[:, j] == JUNK, np.minimum(x, -np.log(LEAST_ODDS)), x) for j, x in enumerate(said)]
-        post = 1 / (1 + np.exp(-np.clip(np.log(fine_share / (1 - fine_share)) + sum(said), -30, 30)))
-    return post, table
+        share = (weight[1].sum() + WEIGHT * n * FINE_SHARE) / (n + WEIGHT * n)
+        said = (np.log(table[1, each, v]) - np.log(table[0, each, v])).sum(1)
+        post = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + said, -30, 30)))
+    return post, table, share
+
+
+def accuracies(table: np.ndarray, share: float) -> np.ndarray:
+    """The share of each labeller's votes that are right, silence left out."""
+    junk, fine = (1 - share) * table[0], share * table[1]
+    return (junk[:, JUNK] + fine[:, FINE]) / (junk[:, JUNK] + fine[:, FINE] + junk[:, FINE] + fine[:, JUNK])
 
 
 def hashed(data: np.ndarray, offsets: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,9 +125,8 @@ def _each(batches, cols):
             yield [b.column(i).slice(lo, hi - lo) for i in range(len(cols))], data, offsets, textstats.features(textstats.text_counts(data, offsets))
 
 
-def _learn(docs: DataFrame, max_rows: int) -> tuple[dict[int, float], np.ndarray]:
-    """Posterior of each vote pattern, and the scorer's weights."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def _voted(docs: DataFrame) -> tuple[DataFrame, pd.DataFrame]:
+    """The vote pattern of every document, written, and the count of each pattern."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def vote(batches):
@@ -126,7 +134,24 @@ def _learn(docs: DataFrame, max_rows: int) -> tuple[dict[int, float], np.ndarray
             yield pa.RecordBatch.from_arrays([ids, pa.array(packed(votes(x)))], ["doc_id", "pattern"])
 
     voted = materialize(docs.mapInArrow(vote, f"doc_id {id_type}, pattern long"))
-    counts = voted.groupBy("pattern").count().toPandas().sort_values("pattern")  # at most 3^labellers rows
+    return voted, voted.groupBy("pattern").count().toPandas().sort_values("pattern")  # at most 3^labellers rows
+
+
+def labellers(docs: DataFrame) -> pd.DataFrame:
+    """The labellers as EM sees them over all docs (doc_id, text): labeller, votes_junk, votes_fine, accuracy. Without documents no rows."""
+    _, counts = _voted(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    if counts.empty:
+        return pd.DataFrame(columns=["labeller", "votes_junk", "votes_fine", "accuracy"])
+    v, n = unpacked(counts["pattern"].to_numpy()), counts["count"].to_numpy()
+    _, table, share = estimate(counts["pattern"].to_numpy(), n.astype(float))
+    return pd.DataFrame({"labeller": LABELLERS, "votes_junk": n @ (v == JUNK), "votes_fine": n @ (v == FINE), "accuracy": accuracies(table, share)})
+
+
+def _learn(docs: DataFrame, max_rows: int) -> tuple[dict[int, float], np.ndarray]:
+    """Posterior of each vote pattern, and the scorer's weights."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    voted, counts = _voted(docs)
     codes = counts["pattern"].to_numpy()
     posterior = estimate(codes, counts["count"].to_numpy().astype(float))[0] if len(codes) else np.zeros(0)
     of_code = dict(zip(codes.tolist(), posterior.tolist()))
@@ -174,6 +199,10 @@ def classify(docs: DataFrame, threshold: float = 0.5, max_rows: int = TRAIN_ROWS
 
 
 def keep(docs: DataFrame, threshold: float = 0.5, max_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs that classify() keeps, with all their columns."""
+    """The rows of docs that classify() keeps, with all their columns, whatever their names, in one pass.
+
+    Null and empty texts, null ids and repeated rows are judged as by classify(), each row by its text; an empty table
+    gives an empty result.
+    """
     weights = _learn(docs, max_rows)[1]
     return kept_rows(docs, lambda data, offsets: _scores(weights, data, offsets, textstats.features(textstats.text_counts(data, offsets))) >= threshold)

@@ -143,7 +143,11 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows:
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
+    """The rows of docs that judge() keeps, with all their columns, whatever their names, in one pass.
+
+    Null and empty texts go (they fail the base rules); null ids and repeated rows are judged each by its text; an empty
+    table gives an empty result.
+    """
     trees = fit(docs, labels, max_rows)
 
     def fine(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

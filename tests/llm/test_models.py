@@ -49,6 +49,46 @@ def test_quality_classifier_against_labels(documents, spark, sf_dir):
     assert np.mean([found[d] == bool(labels[d]) for d in found]) > 0.8
 
 
+def test_em_recovers_the_accuracies_of_known_labellers():
+    rng = np.random.default_rng(3)
+    n, k = 50_000, len(quality_classifier.LABELLERS)
+    accuracy, speaks = np.linspace(0.7, 0.95, k), np.linspace(0.9, 0.4, k)
+    for share in (0.6, 0.8, 0.9):
+        fine = rng.random(n) < share
+        said = np.where((rng.random((n, k)) < accuracy) == fine[:, None], quality_classifier.FINE, quality_classifier.JUNK)
+        said = np.where(rng.random((n, k)) < speaks, said, quality_classifier.NO_VOTE)
+        codes, back, counts = np.unique(quality_classifier.packed(said), return_inverse=True, return_counts=True)
+        post, table, found = quality_classifier.estimate(codes, counts.astype(float))
+        assert found == pytest.approx(share, abs=0.02)
+        assert quality_classifier.accuracies(table, found) == pytest.approx(accuracy, abs=0.03)
+        assert ((post[back] > 0.5) == fine).mean() > 0.93
+
+
+def test_labellers_are_told_over_all_documents(documents, empty):
+    found = quality_classifier.labellers(documents)
+    assert found["labeller"].tolist() == quality_classifier.LABELLERS
+    assert ((found["accuracy"] > 0.5) & (found["accuracy"] <= 1)).all() and quality_classifier.labellers(empty).empty
+
+
+def test_vote_patterns_are_counted_and_scored_as_by_hand(documents, texts):
+    """The brute-force version: statistics, votes and EM of every document in one process; scores from the same weights."""
+    ids = [d for d in texts if d < 10_000_000]
+    ((_, _, data, offsets),) = ragged.slices(pa.array([texts[d] for d in ids]), 1 << 40)
+    x = quality_classifier.textstats.features(quality_classifier.textstats.text_counts(data, offsets))
+    said = quality_classifier.votes(x)
+    codes, back, counts = np.unique(quality_classifier.packed(said), return_inverse=True, return_counts=True)
+    post = quality_classifier.estimate(codes, counts.astype(float))[0][back]
+    f, v, own = quality_classifier.hashed(data, offsets, x)
+    weights = quality_classifier.train(f, v.astype(np.float32), own, post)
+    score = 1 / (1 + np.exp(-np.clip(np.bincount(own, v * weights[f], len(x)) + weights[-1], -30, 30)))
+    found = {r["doc_id"]: r for r in quality_classifier.classify(documents).collect()}
+    assert set(found) == set(ids)
+    for i, d in enumerate(ids):
+        r = found[d]
+        assert (r["votes_junk"], r["votes_fine"]) == ((said[i] == 0).sum(), (said[i] == 2).sum())
+        assert r["posterior"] == pytest.approx(post[i]) and r["score"] == pytest.approx(score[i], abs=1e-3) and r["kept"] == (r["score"] >= 0.5)
+
+
 def test_trees_obey_their_constraints():
     rng = np.random.default_rng(4)
     x = rng.random((500, 3))
