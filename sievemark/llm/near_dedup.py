@@ -237,6 +237,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     edges = _of_one_id(full, reps, same)
     mixed = members.select("key", "rep", F.col("rep").alias("component"), F.col("head"), F.col("head").alias("head_component"))
     for turn in range(ROUNDS):
+        if mixed.isEmpty():  # no key is shared by different components
+            break
         stars = mixed.filter("component <> head_component").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
         screened = stars.join(_as(sketches, "b"), "b").join(_as(sketches, "a"), "a").filter(_may_reach("sketch_a", "sketch_b", threshold)).select("a", "b").distinct()
         found = confirmed(docs, materialize(screened), threshold)
@@ -262,6 +264,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     rest = materialize(met.distinct())
     if not rest.isEmpty():
         labels = components(edges.union(confirmed(docs, rest, threshold)))
+    elif turn == 0 and edges is not None:  # only ids of several texts are linked
+        labels = components(edges)
 
     placed = reps.select("rep", *same).join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     found = full.select("doc_id", *same).join(placed, same).select("doc_id", "n_shingles", "component_id")
