@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checking, evaluating, fields, joining, modelling, ranking, retrieving  # noqa: F401  (they register their queries)
+from . import tokens, checking, evaluating, fields, joining, modelling, ranking, retrieving  # noqa: F401  (they register their queries)
 from .query import QUERIES, SQL
 
 
