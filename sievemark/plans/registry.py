@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, checking, digital, tokens, evaluating, fields, joining, modelling, ranking, retrieving, validating  # noqa: F401  (they register their queries)
+from . import cells, checking, controlling, digital, tokens, evaluating, fields, joining, modelling, ranking, retrieving, validating  # noqa: F401  (they register their queries)
 from .query import QUERIES, SQL
 
 
