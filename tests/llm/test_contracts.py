@@ -250,3 +250,65 @@ def test_masking_leaves_no_base_secret_and_other_texts_alone(both, texts):
         assert not [s for s in secrets(r["text"] or "") if s[0] != "assign"]
         if not secrets(t):
             assert "[SECRET]" in (r["text"] or "") or (r["text"] or "") == t
+
+
+def test_near_duplicates_of_hot_keys(spark, monkeypatch):
+    """Every shared key taken as a hot one: the same links."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "HOT_PAIRS", 0)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    texts = {}
+    for _ in range(4):
+        base = [rng.choice(words) for _ in range(rng.choice([8, 60, 150]))]
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 12)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts[len(texts)] = " ".join(copy)
+    found = by_id(near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in found.items()} == components(texts)
+
+
+def test_a_passage_that_thousands_share_makes_no_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    passage = " ".join(f"common{i}" for i in range(24))
+    texts = {n: f"{passage} {' '.join(f'w{rng.randrange(10**9)}' for _ in range(26))}" for n in range(3_000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert near_dedup.near_duplicates(docs).filter("kept").count() == 3_000
+    nodes = docs.select("doc_id")
+    common = near_dedup.shared_shingles(docs, nodes)
+    assert common.count() == 20 * 3_000
+    assert near_dedup.prefix_pairs(common, nodes.withColumn("component", nodes["doc_id"]), 0.75).count() == 0
+
+
+def test_different_texts_of_one_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (12, b), (20, c), (20, c)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(3, 3), (7, 3), (7, 3), (12, 3), (20, 20), (20, 20)]
+
+
+def test_decoding_takes_ids_alone(spark):
+    import pytest
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    rows = [(1, [15496, 995]), (2, []), (3, None), (None, [220]), (1, [15496, 995])]
+    found = bpe_codec.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), path).collect()
+    assert sorted(bytes(r["decoded"]) for r in found) == [b"", b"", b" ", b"Hello world", b"Hello world"]
+    texts = [(1, "Größe " + "q" * 500), (2, None)]
+    encoded = bpe_codec.encode(spark.createDataFrame(texts, "doc_id long, text string"), path)
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in bpe_codec.decode(encoded, path).collect()} == {1: texts[0][1], 2: ""}
+    with pytest.raises(Exception, match="an id that the vocabulary doesn't have"):
+        bpe_codec.codec(path).decode(__import__("numpy").array([60_000]), [0, 1])
+
+
+def test_limits_hold_at_any_number_of_rows():
+    from sievemark.llm import language_id
+
+    for rows in (10**3, 10**6, 10**10, 10**13):
+        assert 0 < language_id.share_of(rows, 1_200) <= 1 and round(rows * language_id.share_of(rows, 1_200)) == min(rows, 1_200)
+        assert rows / fingerprints.stretches(rows) <= fingerprints.MOST_ROWS
