@@ -45,13 +45,7 @@ def set_scores(gold: Column, pred: Column) -> dict[str, Column]:
     }
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The value at index round-half-even((n - 1) q) of the sorted values."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.bround((F.count(values) - 1) * F.lit(q), 0) + 1).cast("int"))
-
-
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Counts by the values of each column alone: one pass with grouping sets."""
+    """Counts by the values of each column alone: one pass that gives a row to each cell, counted before the shuffle."""
     expanded = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns))).alias("d"))
     return expanded.groupBy("d.dimension", "d.value").agg(F.count("*").alias("n"))

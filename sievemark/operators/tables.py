@@ -50,12 +50,25 @@ def ranked(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long"))
 
 
-def split_by_position(df: DataFrame, group: str, *order: Column, shares: tuple[int, int] = (70, 85)) -> DataFrame:
+def placed(df: DataFrame, group: str, block: Column, *order: Column) -> DataFrame:
+    """df with place (from 0, in the given order inside each group) and whole (the group's rows).
+
+    block ascends with the order and cuts groups into stretches: rows are numbered inside a stretch, and the stretches' counts
+    are added up, so that a group that holds a third of all rows is many tasks.
+    """
+    dealt = df.withColumn("place_group", F.struct(F.col(group).alias("key"))).withColumn("place_block", block)  # a struct: null groups join too
+    counts = dealt.groupBy("place_group", "place_block").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("place_group")
+    begins = counts.select("place_group", "place_block", (F.sum("n").over(w.orderBy("place_block")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("whole"))
+    inside = F.row_number().over(Window.partitionBy("place_group", "place_block").orderBy(*order)) - 1
+    return dealt.withColumn("inside", inside).join(begins, ["place_group", "place_block"]).withColumn("place", F.col("before") + F.col("inside")).drop("place_group", "place_block", "before", "inside")
+
+
+def split_by_position(df: DataFrame, group: str, block: Column, *order: Column, shares: tuple[int, int] = (70, 85)) -> DataFrame:
     """train, dev and test by the place in each group (upper bounds in percent)."""
-    w = Window.partitionBy(group)
-    place = (F.row_number().over(w.orderBy(*order)) - 1) * 100
-    whole = F.count("*").over(w)
-    return df.withColumn("split", F.when(place < whole * shares[0], "train").when(place < whole * shares[1], "dev").otherwise("test"))
+    place = F.col("place") * 100
+    split = F.when(place < F.col("whole") * shares[0], "train").when(place < F.col("whole") * shares[1], "dev").otherwise("test")
+    return placed(df, group, block, *order).withColumn("split", split).drop("place", "whole")
 
 
 def with_fallback(candidates: DataFrame, key: str, strict: str) -> DataFrame:

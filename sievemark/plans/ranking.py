@@ -60,13 +60,14 @@ WITH x AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md
 SELECT doc_id, lang, CASE WHEN i * 100 < n * 70 THEN 'train' WHEN i * 100 < n * 85 THEN 'dev' ELSE 'test' END AS split FROM x""")
 def stratified_split(t):
     """Shares of each language in the order of a hash of the id."""
-    return J.split_by_position(t.documents.select("doc_id", "lang"), "lang", F.md5(F.col("doc_id").cast("string")), F.col("doc_id"))
+    h = F.md5(F.col("doc_id").cast("string"))
+    return J.split_by_position(t.documents.select("doc_id", "lang"), "lang", F.substring(h, 1, 2), h, F.col("doc_id"))
 
 
 @query("SELECT doc_id, lang, fold FROM (SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5 AS fold FROM documents)")
 def round_robin_folds(t):
-    w = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    return t.documents.select("doc_id", "lang", ((F.row_number().over(w) - 1) % 5).cast("long").alias("fold"))
+    h = F.md5(F.col("doc_id").cast("string"))
+    return J.placed(t.documents.select("doc_id", "lang"), "lang", F.substring(h, 1, 2), h, F.col("doc_id")).select("doc_id", "lang", (F.col("place") % 5).alias("fold"))
 
 
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR) || '7'), doc_id) AS k FROM documents) WHERE k <= 20")
