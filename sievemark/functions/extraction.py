@@ -7,6 +7,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: How prose around code begins, and how its end is announced.
 LEADS, ENDS = ("here is", "sure", "below is", "the code"), ("explanation:", "note:")
@@ -47,7 +48,7 @@ def json_object(output: Column) -> Column:
     return F.when((fenced != "") & is_object(fenced), fenced).when((fenced != "") & F.try_parse_json(fenced).isNotNull(), F.lit(None)).when(text.contains("{"), scanned)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(raw: pd.Series) -> pd.Series:
     """JSON with sorted keys, without spaces, in ASCII; null where it doesn't parse. Spark's own writer keeps order and raw signs."""
     import json
@@ -61,7 +62,7 @@ def canonical_json(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def syntax_error(source: pd.Series) -> pd.Series:
     """Null where Python source parses (it is never run), else the error's name."""
     import ast
@@ -152,7 +153,7 @@ def unsafe_value(arguments: Column, schema: dict[str, Any]) -> Column:
     Nesting has no bound, which expressions can't follow; so this is one small function over batches of texts.
     """
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def walk(raw: pd.Series) -> pd.Series:
         import datetime
         import json

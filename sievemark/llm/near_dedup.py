@@ -12,8 +12,9 @@ only pairs that share a key but lie in different components after that are compa
 screened by a parity sketch of the sets: its differing bits never exceed the sets' symmetric difference, which
 bounds the similarity from above, so that the screen loses no link.
 
-A key may stay hot, where many documents share a passage and little else. Its members aren't paired with each other:
-their sets are put in one order, rare shingles first, and two sets of the similarity must share a shingle among the
+A key may stay hot, where many documents share a passage and little else, or are copies of one with edits of their
+own. Its members aren't paired with each other: a star is laid round the member whose shingles most others hold, then
+the sets are put in one order, rare shingles first, and two sets of the similarity must share a shingle among the
 first of each (as many as the similarity lets them differ in, and one), so that shingles of one document drop out
 and only documents that share such a shingle are compared.
 """
@@ -155,22 +156,26 @@ def _percent(threshold: float) -> int:
     return int(round(threshold * 100))
 
 
-def prefix_pairs(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components among nodes (rep, component) that may have the similarity.
+def shared_shingles(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, whole, size, shingle, holders: the shingles of nodes (doc_id) that several of them hold, written; size is that of the whole set."""
+    sets = materialize(sets_of(docs, nodes, nodes.count()).withColumn("size", F.size("shingles").cast("long")))
+    rows = sets.select("doc_id", "whole", "size", F.explode("shingles").alias("shingle"))
+    held = rows.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    return materialize(rows.join(held, "shingle"))
+
+
+def prefix_pairs(common: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that may have the similarity, of nodes of different components (doc_id, component), from their shared_shingles().
 
     Two sets of n and m shingles with the similarity share at least ceil(threshold n) of the first one's; so in any one
     order of all shingles they share one of the first n - ceil(threshold n) + 1 and m - ceil(threshold m) + 1. The order
     is by the number of nodes that hold a shingle; those of a single node come first and can't be shared.
     """
-    sets = materialize(sets_of(docs, nodes.select(F.col("rep").alias("doc_id")), nodes.count()).withColumn("size", F.size("shingles").cast("long")))
-    rows = sets.select("doc_id", "whole", "size", F.explode("shingles").alias("shingle"))
-    held = rows.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
-    common = rows.join(held, "shingle")
     whole = Window.partitionBy("doc_id", "whole")
     alone = F.col("size") - F.count("*").over(whole)
     need = F.ceil(F.col("size") * _percent(threshold) / 100)
     placed = common.withColumn("place", alone + F.row_number().over(whole.orderBy("holders", "shingle")))
-    prefix = materialize(placed.filter(F.col("place") <= F.col("size") - need + 1).join(nodes.withColumnRenamed("rep", "doc_id"), "doc_id").select("shingle", "doc_id", "size", "component"))
+    prefix = materialize(placed.filter(F.col("place") <= F.col("size") - need + 1).join(labels, "doc_id").select("shingle", "doc_id", "size", "component"))
     a, b = prefix.alias("a"), prefix.alias("b")
     close = (100 * F.col("a.size") >= _percent(threshold) * F.col("b.size")) & (100 * F.col("b.size") >= _percent(threshold) * F.col("a.size"))
     met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & close)
@@ -234,14 +239,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     members = materialize(indexed.join(shared, "key"))
     sketches = materialize(reps.select("rep", "sketch").join(members.select("rep").distinct(), "rep"))  # several rows of an id with several sets
     labels = members.select(F.col("rep").alias("doc_id"), F.col("rep").alias("component")).distinct()
+    screened = lambda pairs: pairs.join(_as(sketches, "b"), "b").join(_as(sketches, "a"), "a").filter(_may_reach("sketch_a", "sketch_b", threshold)).select("a", "b").distinct()
     edges = _of_one_id(full, reps, same)
     mixed = members.select("key", "rep", F.col("rep").alias("component"), F.col("head"), F.col("head").alias("head_component"))
     for turn in range(ROUNDS):
         if mixed.isEmpty():  # no key is shared by different components
             break
         stars = mixed.filter("component <> head_component").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
-        screened = stars.join(_as(sketches, "b"), "b").join(_as(sketches, "a"), "a").filter(_may_reach("sketch_a", "sketch_b", threshold)).select("a", "b").distinct()
-        found = confirmed(docs, materialize(screened), threshold)
+        found = confirmed(docs, materialize(screened(stars)), threshold)
         edges = found if edges is None else edges.union(found)
         labels = materialize(components(edges))
         edges = labels.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
@@ -252,15 +257,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     main = mixed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     main = materialize(main.select("key", "main", ((F.col("all") - F.col("most")) * F.col("all") > HOT_PAIRS).alias("hot")))
     mixed = mixed.select("key", "rep", "component").join(main, "key")
-    hot = materialize(mixed.filter("hot").select("rep", "component").distinct())
+    hot = materialize(mixed.filter("hot").select(F.col("rep").alias("doc_id")).distinct())
     cold = mixed.filter("NOT hot").join(sketches, "rep")
     minor = cold.filter("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("sketch").alias("sx"))
     every = cold.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("sketch").alias("sy"), "main")
     apart = (F.col("cx") < F.col("cy")) | ((F.col("cx") > F.col("cy")) & (F.col("cy") == F.col("main")))
     met = minor.join(every, (minor["key"] == every["key"]) & apart & _may_reach("sx", "sy", threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     if not hot.isEmpty():
-        near = prefix_pairs(docs, hot, threshold).join(_as(sketches, "b"), "b").join(_as(sketches, "a"), "a").filter(_may_reach("sketch_a", "sketch_b", threshold))
-        met = met.union(near.select("a", "b"))
+        # One more star of each hot key, round the member whose shingles most others hold: copies with edits of their own hang on what they are copies of.
+        common = shared_shingles(docs, hot)
+        weight = common.groupBy(F.col("doc_id").alias("rep")).agg((F.sum("holders") / F.max("size")).alias("weight"))
+        weighed = mixed.filter("hot").select("key", "rep", "component").join(weight, "rep")
+        middle = weighed.groupBy("key").agg(F.max_by(F.struct(F.col("rep").alias("head"), F.col("component").alias("head_component")), F.struct("weight", "rep")).alias("h")).select("key", "h.*")
+        stars = weighed.join(middle, "key").filter("component <> head_component").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
+        labels = materialize(components(edges.union(confirmed(docs, materialize(screened(stars)), threshold))))
+        edges = labels.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
+        labelled = hot.join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+        met = met.union(screened(prefix_pairs(common, labelled, threshold)))
     rest = materialize(met.distinct())
     if not rest.isEmpty():
         labels = components(edges.union(confirmed(docs, rest, threshold)))

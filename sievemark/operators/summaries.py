@@ -7,7 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DoubleType, NumericType
 
 from .tables import pick
 
@@ -112,7 +112,7 @@ def segments(text: Column, most: int, least: int = 40) -> Column:
     return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(cut(p))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness of two strings by their longest matching blocks (Ratcliff and Obershelp); Spark has edit distances only, which differ."""
     from difflib import SequenceMatcher

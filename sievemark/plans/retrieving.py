@@ -105,14 +105,22 @@ w AS (SELECT id, term, tf * idf AS w FROM c JOIN f USING (term)), m AS (SELECT i
 s AS (SELECT q.id AS item, d.id AS doc, sum(q.w * d.w) AS score FROM v q JOIN v d USING (term) WHERE q.id[1] = 'q' AND d.id[1] = 'd' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY round(score, 9) DESC, doc) AS rank FROM s)
 SELECT item, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def tfidf_top_k(t):
-    """Queries and documents are weighted jointly; cosine is a join on terms."""
-    named = lambda df, c, sign: df.select(F.concat(F.lit(sign), F.col(c).cast("string")).alias("id"), "text")
-    both = named(t.benchmark, "item_id", "q").unionByName(named(t.documents, "doc_id", "d"))
-    v = R.tfidf(both, "id", T.terms(F.col("text")))
-    q = v.filter(F.col("id").startswith("q")).select(F.col("id").alias("item"), "term", F.col("weight").alias("wq"))
-    d = v.filter(F.col("id").startswith("d")).select(F.col("id").alias("doc"), "term", F.col("weight").alias("wd"))
-    scored = d.join(q, "term").groupBy("item", "doc").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
-    return J.ranked(scored, ["item"], F.desc(F.round("score", 9)), F.asc("doc")).filter("rank <= 5").select("item", "doc", F.round("score", 6).alias("score"), "rank")
+    """Queries and documents are weighted jointly: only the term frequencies are shared, and beside the norms only terms that some query has go on."""
+    q, d = R.term_counts(t.benchmark, "item_id", T.terms(F.col("text"))), R.term_counts(t.documents, "doc_id", T.terms(F.col("text")))
+    n = t.benchmark.agg(F.count("*").alias("n")).union(t.documents.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))
+    df = q.select("term", F.lit(1).alias("asked")).unionByName(d.select("term", F.lit(0).alias("asked"))).groupBy("term").agg(F.count("*").alias("df"), F.max("asked").alias("asked"))
+    idf = df.crossJoin(F.broadcast(n)).select("term", "asked", R.smoothed_idf(F.col("n"), F.col("df")).alias("idf"))  # n: one row
+    weighed = lambda counts: counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+
+    def unit(rows, key):
+        """Norms over all terms; of the documents' rows those that no query asks for are only summed."""
+        norms = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return rows.filter("asked = 1").join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+    asked, held = unit(weighed(q), "item_id").withColumnRenamed("weight", "wq"), unit(weighed(d), "doc_id")
+    scored = held.join(asked, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
+    named = scored.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("item"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc"), "score")
+    return J.ranked(named, ["item"], F.desc(F.round("score", 9)), F.asc("doc")).filter("rank <= 5").select("item", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 _COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"

@@ -31,6 +31,14 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """json_lines() of files of moderate size with line_number (from 1 in each file) and path: each file is read as one text, so that its lines keep their order."""
+    whole = T.StructType([*schema.fields, T.StructField("bad_line", T.StringType())])
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).filter("trim(line) <> ''")
+    parsed = texts.select("path", (F.col("at") + 1).alias("line_number"), F.from_json("line", whole, {"columnNameOfCorruptRecord": "bad_line"}).alias("row"))
+    return parsed.select("path", "line_number", "row.*")
+
+
 def last_line_wins(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The last row of each key in the order given; rows without a key are left out."""
     w = Window.partitionBy(key).orderBy(*(c.desc() for c in order))
@@ -45,6 +53,19 @@ def documents(spark: SparkSession, path: str, pattern: str = "*.{txt,md}", max_c
     return read.select(where.alias("path"), F.regexp_extract(where, r"([^/]+?)(?:\.[^./]*)?$", 1).alias("doc_id"), text.alias("text"))
 
 
+def discovered(folders: list[DataFrame], fallback: DataFrame, limit: int = 80, max_chars: int = 20_000) -> DataFrame:
+    """Documents (path, doc_id, text) of the first folder that has any with text, else the fallback's; of one doc_id the first path counts.
+
+    The limits are those of a discovery of samples: the first `limit` paths, and the first max_chars signs of each text.
+    """
+    for docs in [*folders, fallback]:
+        filled = docs.filter(F.trim("text") != "").orderBy("path").limit(limit)
+        if not filled.isEmpty():
+            first = filled.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("path"))).filter("place = 1").drop("place")
+            return first.withColumn("text", F.substring("text", 1, max_chars))
+    return fallback.limit(0)
+
+
 def changed_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """name and status (changed, missing, unlisted) of the files under path that differ from manifest (name, sha256)."""
     content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -54,11 +75,16 @@ def changed_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFr
     return both.select("name", status.alias("status")).filter("status IS NOT NULL")
 
 
-def markdown_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """name and value of every '| name | number |' line of Markdown reports."""
+def markdown_metrics(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """name and value of every '| name | number |' line of Markdown reports; raises if a required name has none."""
     line = r"^\|\s*([^|]+?)\s*\|\s*(-?[0-9]+(?:\.[0-9]+)?)\s*\|"
     lines = spark.read.text(path).filter(F.col("value").rlike(line))
-    return lines.select(F.regexp_extract("value", line, 1).alias("name"), F.regexp_extract("value", line, 2).cast("double").alias("value"))
+    found = lines.select(F.regexp_extract("value", line, 1).alias("name"), F.regexp_extract("value", line, 2).cast("double").alias("value"))
+    if required:
+        there = {r["name"] for r in found.filter(F.col("name").isin(*required)).select("name").distinct().collect()}
+        if lost := [n for n in required if n not in there]:
+            raise ValueError(f"metrics not found: {lost}")
+    return found
 
 
 def append_json(df: DataFrame, path: str, required: list[str]) -> DataFrame:
@@ -72,3 +98,18 @@ def append_json(df: DataFrame, path: str, required: list[str]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     df.select(*fields).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_report(df: DataFrame, path: str, title: str, most: int = 1_000) -> None:
+    """A small table as a Markdown report of one file: a report is read by people, and a table of over `most` rows is refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
+    df.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_json_report(df: DataFrame, path: str) -> None:
+    """The rows as JSON lines in one folder, newest run in place of the one before."""
+    df.write.mode("overwrite").json(path)
