@@ -43,7 +43,8 @@ def has_phrase(text: Column, phrase: str) -> Column:
 
 
 #: Keys and words of outputs that are errors.
-ERROR_KEYS, ERROR_WORDS = ("error", "errors", "exception", "traceback"), ("rate limit", "timed out", "timeout", "internal server error")
+ERROR_KEYS = ("error", "exception", "connection_error", "provider_error", "status_code", "traceback")
+ERROR_WORDS = ("connection refused", "max retries", "econnrefused", "failed to connect", "provider error", "httpconnectionpool", "traceback")
 
 
 def error_like(output: Column) -> Column:

@@ -55,7 +55,7 @@ def normal_names(t):
 
 
 _FLAG = "CASE turn % 4 WHEN 0 THEN ' yes' WHEN 1 THEN '' WHEN 2 THEN 'NO' END"
-_OUT = """CASE turn % 5 WHEN 0 THEN '{"error": "x"}' WHEN 1 THEN '{"answer": 1}' WHEN 2 THEN 'the request Timed out' WHEN 3 THEN 'Title: ' || text ELSE '### RULE: ' || text END"""
+_OUT = """CASE turn % 5 WHEN 0 THEN '{"error": "x"}' WHEN 1 THEN '{"answer": 1}' WHEN 2 THEN 'the host: Connection Refused' WHEN 3 THEN 'Title: ' || text ELSE '### RULE: ' || text END"""
 _REC = """CASE turn % 3 WHEN 0 THEN '{"known_wrong": true}' WHEN 1 THEN '{"known_wrong": false}' ELSE 'none' END"""
 _STATUS = "CASE turn % 2 WHEN 0 THEN 'accepted' ELSE 'rejected' END"
 
@@ -63,7 +63,7 @@ _STATUS = "CASE turn % 2 WHEN 0 THEN 'accepted' ELSE 'rejected' END"
 @query(f"""
 WITH x AS (SELECT conv_id, turn, role, text, {_FLAG} AS flag, {_OUT} AS output, {_REC} AS rec, {_STATUS} AS status FROM conversations)
 SELECT conv_id, turn, upper(trim(coalesce(flag, ''))) = 'YES' AS included, upper(trim(coalesce(flag, ''))) IN ('YES', '') AS included_blank, coalesce(role NOT IN ('user', 'assistant'), true) AS outside, contains(lower(text), 'the ') OR contains(lower(text), ' und ') AS keyword,
-       starts_with(lower(output), 'title') OR starts_with(lower(output), 'the') AS leads, regexp_matches(lower(text), '(^|[^a-z0-9])(in|of)\\s+the([^a-z0-9]|$)') AS phrase, output = '{{"error": "x"}}' OR contains(lower(output), 'timed out') AS error_like,
+       starts_with(lower(output), 'title') OR starts_with(lower(output), 'the') AS leads, regexp_matches(lower(text), '(^|[^a-z0-9])(in|of)\\s+the([^a-z0-9]|$)') AS phrase, output = '{{"error": "x"}}' OR contains(lower(output), 'connection refused') AS error_like,
        starts_with(lower(output), 'title:') AS title_like, array_to_string(list_filter(['title', 'rule', 'error'], lambda m: contains(lower(output), m)), '+') AS markers, rec = '{{"known_wrong": true}}' AND status = 'accepted' AS false_accept,
        status IN ('rejected', 'escalated', 'repaired') AS failed, regexp_replace(output, '^### RULE: ', '') AS bare, CASE WHEN trim(coalesce(flag, '')) = '' THEN role ELSE flag END AS filled, CASE WHEN regexp_matches(output, '[0-9]') THEN CAST(regexp_extract(output, '[+-]?[0-9]+') AS BIGINT) ELSE 0 END AS first_integer FROM x""")
 def row_predicates(t):
