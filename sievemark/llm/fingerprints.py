@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .native import let
 
 K, S = 4, 2
@@ -23,13 +24,18 @@ SKETCH, SHARE = 64, 16
 #: Rows of one stretch of documents in the order of their ids: few while they make FEW_STRETCHES at most, then more, but not over MOST_ROWS.
 STRETCH_ROWS, FEW_STRETCHES, MOST_ROWS = 2_000, 2_000, 100_000
 
-_SIGNS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: The blocks of scripts that are written without spaces (Thai, Lao, Burmese, Khmer, kana, ideographs).
+_SIGNS = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 _RUN = rf"[^\x20\x09-\x0D{_SIGNS}]"
 
 
 def tokens(text: Column) -> Column:
-    """Runs without white space and without signs of unspaced scripts, whole up to TOKEN_CHARS; other signs one by one."""
-    return F.regexp_extract_all(text, F.lit(rf"((?<!{_RUN}){_RUN}{{1,{TOKEN_CHARS}}}+(?!{_RUN})|[^\x20\x09-\x0D])"), F.lit(1))
+    """Runs without white space and without signs of unspaced scripts, whole up to TOKEN_CHARS; of longer ones the last TOKEN_CHARS signs are one token; other signs one by one."""
+    cut = F.regexp_extract_all(text, F.lit(rf"({_RUN}{{1,{TOKEN_CHARS}}}+(?!{_RUN})|[^\x20\x09-\x0D])"), F.lit(1))
+    # Most texts have neither such signs nor long runs: there the runs themselves are the tokens, and cutting is cheaper.
+    long = lambda w: (F.octet_length(w) > TOKEN_CHARS) & (F.length(w) > TOKEN_CHARS)
+    plain = let(F.split(text, r"[\x20\x09-\x0D]+"), lambda ws: F.when(F.exists(ws, long), cut).otherwise(F.filter(ws, lambda w: w != "")))
+    return F.when(text.rlike(f"[{_SIGNS}]"), cut).otherwise(plain)
 
 
 def anchors(text: Column) -> Column:
@@ -49,11 +55,11 @@ def anchors(text: Column) -> Column:
 
 def sketch(text: Column) -> Column:
     """The anchors of the least distinct hashes with their first positions, by hash: array of struct(hash, pos); empty for a text without words."""
-    hashes = lambda a: F.array_sort(F.array_distinct(F.transform(a, lambda x: x["hash"])))
+    hashes = lambda a: F.sort_array(F.array_distinct(F.transform(a, lambda x: x["hash"])))
     last = lambda h: F.get(h, F.least(F.greatest(F.lit(SKETCH), F.floor(F.size(h) / SHARE).cast("int")), F.size(h)) - 1)
-    upto = lambda a, bound: F.array_sort(F.transform(F.filter(a, lambda x: x["hash"] <= bound), lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"))))
+    upto = lambda a, bound: F.sort_array(F.transform(F.filter(a, lambda x: x["hash"] <= bound), lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"))))
     firsts = lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["hash"] != x["hash"]))
-    return let(anchors(text), lambda a: let(last(hashes(a)), lambda bound: let(upto(a, bound), firsts)))
+    return let(anchors(text), lambda a: let(let(hashes(a), last), lambda bound: let(upto(a, bound), firsts)))
 
 
 def written(kept: Column) -> Column:
@@ -69,10 +75,10 @@ def likeness(a: Column, b: Column) -> Column:
     """
     bare = lambda x: F.transform(x, lambda y: y["hash"])
     room = lambda x: F.when(F.size(x) >= SKETCH, F.size(x)).otherwise(F.lit(2**31 - 1))
-    union = F.slice(F.array_sort(F.array_union(bare(a), bare(b))), F.lit(1), F.least(room(a), room(b)))
+    union = F.slice(F.sort_array(F.array_union(bare(a), bare(b))), F.lit(1), F.least(room(a), room(b)))
     side = lambda x, n, bound: F.transform(F.filter(x, lambda y: y["hash"] <= bound), lambda y: F.struct(y["hash"].alias("hash"), F.lit(n).alias("side"), y["pos"].alias("pos")))
-    both = lambda bound: F.array_sort(F.concat(side(a, 0, bound), side(b, 1, bound)))
-    moved = lambda m: F.array_sort(F.filter(F.transform(m, lambda x, i: F.when(F.get(m, i - 1)["hash"] == x["hash"], x["pos"] - F.get(m, i - 1)["pos"])), lambda d: d.isNotNull()))
+    both = lambda bound: F.sort_array(F.concat(side(a, 0, bound), side(b, 1, bound)))
+    moved = lambda m: F.sort_array(F.filter(F.transform(m, lambda x, i: F.when(F.get(m, i - 1)["hash"] == x["hash"], x["pos"] - F.get(m, i - 1)["pos"])), lambda d: d.isNotNull()))
     agree = lambda d: F.size(F.filter(d, lambda x, i: (x == 0) | F.coalesce(F.get(d, i - 1) == x, F.lit(False)) | F.coalesce(F.get(d, i + 1) == x, F.lit(False))))
     matched = lambda u: let(both(F.element_at(u, -1)), lambda m: let(moved(m), agree))
     return let(union, lambda u: F.when(F.size(u) == 0, 1.0).otherwise(matched(u) / F.size(u)))
@@ -85,8 +91,9 @@ def stretches(rows: int) -> int:
 
 def _bounds(ids: DataFrame) -> list:
     """The least id of each stretch, ascending."""
-    dealt = ids.repartitionByRange(stretches(ids.count()), "doc_id")
-    return sorted(r[0] for r in dealt.groupBy(F.spark_partition_id()).agg(F.min("doc_id")).collect())  # one row a stretch
+    # Written first: the optimiser would drop the ranges below an aggregate.
+    dealt = materialize(ids.repartitionByRange(stretches(ids.count()), "doc_id").withColumn("stretch", F.spark_partition_id()))
+    return sorted(r["least"] for r in dealt.groupBy("stretch").agg(F.min("doc_id").alias("least")).collect())  # one row a stretch
 
 
 def _place(bounds: list) -> Column:

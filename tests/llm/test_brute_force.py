@@ -120,9 +120,9 @@ def xx(*values):
 
 
 def anchors(text):
-    signs = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+    signs = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
     run = rf"[^\x20\x09-\x0D{signs}]"
-    hashes = [xx(t) for t in regex.findall(rf"(?<!{run}){run}{{1,24}}+(?!{run})|[^\x20\x09-\x0D]", text)]
+    hashes = [xx(t) for t in regex.findall(rf"{run}{{1,24}}+(?!{run})|[^\x20\x09-\x0D]", text)]
     if len(hashes) < 4:
         return [(i, xx(h, struct.pack("<i", 4))) for i, h in enumerate(hashes)]
     inner = [xx(hashes[i], hashes[i + 1]) for i in range(len(hashes) - 1)]

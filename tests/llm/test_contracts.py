@@ -312,3 +312,15 @@ def test_limits_hold_at_any_number_of_rows():
     for rows in (10**3, 10**6, 10**10, 10**13):
         assert 0 < language_id.share_of(rows, 1_200) <= 1 and round(rows * language_id.share_of(rows, 1_200)) == min(rows, 1_200)
         assert rows / fingerprints.stretches(rows) <= fingerprints.MOST_ROWS
+
+
+def test_stretches_share_the_rows(spark, monkeypatch):
+    """Each stretch holds about as many rows as another, and the row after its last one."""
+    monkeypatch.setattr(fingerprints, "STRETCH_ROWS", 100)
+    rows = [(3 * i, f"t{i}") for i in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    bounds = fingerprints._bounds(docs.select("doc_id"))
+    sizes = [r["count"] for r in docs.withColumn("s", fingerprints._place(bounds)).groupBy("s").count().collect()]
+    assert len(bounds) == len(sizes) == 20 and max(sizes) < 3 * min(sizes)
+    found = {r["doc_id"]: r["next"]["doc_id"] for r in fingerprints.beside_next(docs).collect()}
+    assert found == {d: rows[(i + 1) % 2_000][0] for i, (d, _) in enumerate(rows)}
