@@ -36,8 +36,8 @@ SYMBOLS, CHUNKS, DISTANCE = 30, 6, 17
 _CHUNK = SYMBOLS // CHUNKS
 #: 64-bit words of a set's parity sketch, and rounds of stars.
 SKETCH_WORDS, ROUNDS = 32, 2
-#: A key with more pairs to compare is hot.
-HOT_PAIRS = 20_000
+#: A key with more pairs of sketches to compare is hot: up to so many are a few seconds of one task.
+HOT_PAIRS = 20_000_000
 #: For each chunk, the symbols of each key.
 KEYS = [tuple(c * _CHUNK + i for i in kept) for c in range(CHUNKS) for kept in combinations(range(_CHUNK), _CHUNK - DISTANCE // CHUNKS)]
 
@@ -169,15 +169,17 @@ def prefix_pairs(common: DataFrame, labels: DataFrame, threshold: float) -> Data
 
     Two sets of n and m shingles with the similarity share at least ceil(threshold n) of the first one's; so in any one
     order of all shingles they share one of the first n - ceil(threshold n) + 1 and m - ceil(threshold m) + 1. The order
-    is by the number of nodes that hold a shingle; those of a single node come first and can't be shared.
+    is by the number of nodes that hold a shingle; those of a single node come first and can't be shared. All that two
+    sets share stands from the first shared shingle on: where that isn't enough in either, the pair is left out.
     """
     whole = Window.partitionBy("doc_id", "whole")
     alone = F.col("size") - F.count("*").over(whole)
     need = F.ceil(F.col("size") * _percent(threshold) / 100)
     placed = common.withColumn("place", alone + F.row_number().over(whole.orderBy("holders", "shingle")))
-    prefix = materialize(placed.filter(F.col("place") <= F.col("size") - need + 1).join(labels, "doc_id").select("shingle", "doc_id", "size", "component"))
+    prefix = materialize(placed.filter(F.col("place") <= F.col("size") - need + 1).join(labels, "doc_id").select("shingle", "doc_id", "size", "component", (F.col("size") - F.col("place") + 1).alias("ahead")))
     a, b = prefix.alias("a"), prefix.alias("b")
-    close = (100 * F.col("a.size") >= _percent(threshold) * F.col("b.size")) & (100 * F.col("b.size") >= _percent(threshold) * F.col("a.size"))
+    # Similar sets share 100 c >= percent (n + m - c) shingles; of either at most those ahead.
+    close = (100 + _percent(threshold)) * F.least("a.ahead", "b.ahead") >= _percent(threshold) * (F.col("a.size") + F.col("b.size"))
     met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & close)
     return met.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
 
