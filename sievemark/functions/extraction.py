@@ -1,9 +1,7 @@
-"""What model output holds: code, JSON objects, tool calls; and checks of them. Schemas are known when a query is built."""
+"""What model output holds: code and JSON objects."""
 
 from __future__ import annotations
 
-from typing import Any
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,10 +12,6 @@ LEADS, ENDS = ("here is", "sure", "below is", "the code"), ("explanation:", "not
 SYSTEM_PREFIXES = ("/etc/", "/bin/", "/usr/", "/var/", "/root/", "c:\\windows", "c:\\users")
 
 
-def _first(values: Column) -> Column:
-    return F.try_element_at(F.filter(values, lambda x: x.isNotNull()), F.lit(1))
-
-
 def code(output: Column) -> Column:
     """The first fenced block, else the lines without prose before and after them if they look like code; null if there is none."""
     text = F.coalesce(output, F.lit(""))
@@ -32,20 +26,76 @@ def code(output: Column) -> Column:
     return F.when(text.rlike(fence), F.nullif(F.trim(F.regexp_extract(text, fence, 1), F.lit(" \n\t")), F.lit(""))).when(looks, plain)
 
 
+def _let(value: Column, use) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+_BLOCK = 256
+
+
+def _before(values: Column, at: Column) -> Column:
+    """at, and at with each value added in turn."""
+    return F.aggregate(values, F.array(at), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+
+
+def running(values: Column) -> Column:
+    """The sum of the integers before each one, in blocks, so that the work stays near their number."""
+    cut = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _BLOCK).cast("int")), lambda i: F.slice(n, i * _BLOCK + 1, F.lit(_BLOCK)))
+    begins = lambda blocks: _before(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0))
+    joined = lambda blocks: _let(begins(blocks), lambda at: F.flatten(F.transform(blocks, lambda b, i: F.slice(_before(b, F.get(at, i)), 1, F.size(b)))))
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(_let(values, lambda n: _let(cut(n), joined)))
+
+
+def is_json_object(text: Column) -> Column:
+    """Whether a text that begins with a brace and ends with its partner is a JSON object; NaN and infinities are numbers."""
+    plain = F.when(text.rlike("NaN|Infinity"), F.regexp_replace(text, r"(?<=[:\[,\s])-?(?:NaN|Infinity)(?=[\s,}\]])", "0")).otherwise(text)
+    return F.json_object_keys(plain).isNotNull()
+
+
+def _balanced(text: Column) -> Column:
+    """Of each brace that may begin an object and has a partner: struct(pos, length), by pos.
+
+    Quotes behind an even number of backslashes open and close strings. Seen from a brace, those that have as many
+    quotes before them, modulo 2, stand outside strings; so braces fall into two classes, and inside a class a brace's
+    partner is the next closing sign of its level.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r"(\\++\"?|[\"{}\[\]]|[^\\\"{}\[\]]++)"), F.lit(1))
+    is_quote = lambda x: x.endswith('"') & (F.length(x) % 2 == 1)
+    first = lambda x: F.substring(x, 1, 1)
+    goes_on = lambda k, i: F.coalesce(F.get(k, i + 1).isin('"', "}") | (F.get(k, i + 1).rlike(r"^\s+$") & F.get(k, i + 2).isin('"', "}")), F.lit(False))
+
+    def marks(k: Column) -> Column:
+        quotes = running(F.transform(k, lambda x: is_quote(x).cast("int")))
+        places = running(F.transform(k, F.length))
+        of = lambda q, p: F.filter(F.transform(k, lambda x, i: F.struct(F.get(q, i).alias("quotes"), F.get(p, i).alias("pos"), x.alias("sign"), (first(x) == "{").__and__(goes_on(k, i)).alias("begins"))), lambda m: m["sign"].isin("{", "}", "[", "]"))
+        return _let(quotes, lambda q: _let(places, lambda p: of(q, p)))
+
+    def paired(m: Column) -> Column:
+        step = lambda x: F.when(x["sign"].isin("{", "["), 1).otherwise(-1)
+        levels = lambda at: F.transform(m, lambda x, i: F.struct((F.get(at, i) + F.when(step(x) > 0, 1).otherwise(0)).alias("level"), x["pos"].alias("pos"), x["sign"].alias("sign"), x["begins"].alias("begins")))
+        ordered = lambda s: F.transform(s, lambda x, i: F.when(x["begins"] & (F.get(s, i + 1)["level"] == x["level"]) & (F.get(s, i + 1)["sign"] == "}"), F.struct(x["pos"].alias("pos"), (F.get(s, i + 1)["pos"] - x["pos"] + 1).alias("length"))))
+        return F.array_compact(_let(running(F.transform(m, step)), lambda at: _let(F.array_sort(levels(at)), ordered)))
+
+    side = lambda m, n: paired(F.filter(m, lambda x: x["quotes"] % 2 == n))
+    return _let(tokens, lambda k: _let(marks(k), lambda m: F.array_sort(F.concat(side(m, 0), side(m, 1)))))
+
+
 def json_object(output: Column) -> Column:
-    """The first JSON object in a text as it is written: in the first fence, else the first balanced one; null if there is none.
+    """The first JSON object in a text as it is written; null if there is none.
 
-    An object begins at a brace with a quote or a closing brace behind it; of the closing braces behind, the first with which it parses ends it.
+    That is what the first fence with a brace behind it holds up to the next fence behind a closing brace, if it parses;
+    else the first that parses of those that begin at a brace with a quote or a closing brace behind it. One scan of the
+    text finds all of them.
     """
     text = F.coalesce(output, F.lit(""))
-    fenced = F.regexp_extract(text, r"(?si)```(?:json)?\s*(.*?)\s*```", 1)
-    is_object = lambda s: F.try_parse_json(s).isNotNull() & F.trim(s).startswith("{")
-    places = lambda sign: F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(1)) == sign)
-    opens = F.filter(places("{"), lambda i: F.substring(text, i + 1, F.length(text)).rlike(r"^\s*[\"}]"))
-    ends = places("}")
-    whole = lambda i: _first(F.transform(F.filter(ends, lambda j: j > i), lambda j: F.when(is_object(F.substring(text, i, j - i + 1)), F.substring(text, i, j - i + 1))))
-    scanned = F.aggregate(opens, F.lit(None).cast("string"), lambda done, i: F.coalesce(done, whole(i)))
-    return F.when((fenced != "") & is_object(fenced), fenced).when((fenced != "") & F.try_parse_json(fenced).isNotNull(), F.lit(None)).when(text.contains("{"), scanned)
+    fence = r"```(?i:json)?\s*+\{"
+    behind = F.substring(text, F.regexp_instr(text, F.lit(fence)), F.length(text))
+    fenced = F.when(text.contains("```") & text.rlike(fence), F.regexp_extract(behind, r"(?s)\A```(?i:json)?\s*+(\{.*?\})\s*+```", 1))
+    whole = lambda b: F.substring(text, b["pos"] + 1, b["length"])
+    scanned = F.aggregate(_balanced(text), F.lit(None).cast("string"), lambda done, b: F.coalesce(done, _let(whole(b), lambda s: F.when(is_json_object(s), s))))
+    partners = lambda s: F.exists(_balanced(s), lambda b: (b["pos"] == 0) & (b["length"] == F.length(s)))
+    found = _let(fenced, lambda s: F.when((s != "") & partners(s) & is_json_object(s), s))
+    return F.coalesce(found, F.when(text.contains("{"), scanned))
 
 
 @F.pandas_udf(StringType())
@@ -78,146 +128,3 @@ def syntax_error(source: pd.Series) -> pd.Series:
         return None
 
     return source.map(one)
-
-
-def json_kind(v: Column) -> Column:
-    """The JSON type of a variant. A number with a decimal point is no integer."""
-    kind = F.schema_of_variant(v)
-    return (
-        F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null")
-        .when((kind == "BIGINT") | kind.rlike(r"^DECIMAL\((?:19|[23][0-9]),0\)$"), "integer").when(kind.isNotNull(), "number")
-    )
-
-
-def _written(v: Column, kind: Column) -> Column:
-    text = F.try_variant_get(v, "$", "string")
-    return F.when(kind == "string", F.concat(F.lit("'"), text, F.lit("'"))).when(kind == "boolean", F.initcap(text)).when(kind == "null", "None").otherwise(text)
-
-
-def _in_enum(v: Column, kind: Column, values: list) -> Column:
-    some = F.lit(False)
-    for x in values:
-        if x is None:
-            hit = kind == "null"
-        elif isinstance(x, str):
-            hit = (kind == "string") & (F.try_variant_get(v, "$", "string") == x)
-        else:  # True equals 1 and False 0
-            hit = kind.isin("integer", "number", "boolean") & (F.when(kind == "boolean", F.try_variant_get(v, "$", "boolean").cast("double")).otherwise(F.try_variant_get(v, "$", "double")) == float(x))
-        some = some | F.coalesce(hit, F.lit(False))
-    return some
-
-
-def schema_error(v: Column, schema: dict[str, Any], path: Column | str = "$") -> Column:
-    """The first violation of a JSON schema (type, enum, required, properties, additionalProperties, items and their number, minimum, maximum) by a variant, or null."""
-    path = F.lit(path) if isinstance(path, str) else path
-    kind, found = json_kind(v), []
-    says = lambda bad, *parts: F.when(bad, F.concat(path, *(p if isinstance(p, Column) else F.lit(p) for p in parts)))
-    if "type" in schema:
-        wanted = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        if unknown := set(wanted) - {"object", "array", "string", "integer", "number", "boolean", "null"}:
-            raise ValueError(f"unsupported schema type: {sorted(unknown)}")
-        kinds = [*wanted, *(["integer"] if "number" in wanted else [])]
-        found.append(says(~kind.isin(*kinds), f" expected {schema['type']}, got ", kind))
-    if "enum" in schema:
-        found.append(says(~_in_enum(v, kind, schema["enum"]), " value ", _written(v, kind), f" not in enum {schema['enum']!r}"))
-    child = lambda key: F.try_variant_get(v, f"$.{key}", "variant")
-    is_object = kind == "object"
-    for key in schema.get("required", []):
-        found.append(says(is_object & child(key).isNull(), f" missing required key {key!r}"))
-    for key, inner in schema.get("properties", {}).items():
-        found.append(F.when(is_object & child(key).isNotNull(), schema_error(child(key), inner, F.concat(path, F.lit(f".{key}")))))
-    if schema.get("additionalProperties") is False:
-        named = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
-        extra = F.array_except(F.map_keys(F.try_variant_get(v, "$", "map<string, variant>")), named)
-        found.append(says(is_object & (F.size(extra) > 0), " unexpected key '", F.try_element_at(extra, F.lit(1)), "'"))
-    if {"minItems", "maxItems", "items"} & set(schema):
-        items, is_array = F.try_variant_get(v, "$", "array<variant>"), kind == "array"
-        if "minItems" in schema:
-            found.append(says(is_array & (F.size(items) < schema["minItems"]), f" has fewer than minItems={schema['minItems']}"))
-        if "maxItems" in schema:
-            found.append(says(is_array & (F.size(items) > schema["maxItems"]), f" has more than maxItems={schema['maxItems']}"))
-        if "items" in schema:
-            each = F.transform(items, lambda x, i: schema_error(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
-            found.append(F.when(is_array, _first(each)))
-    number = F.when(kind.isin("integer", "number"), F.try_variant_get(v, "$", "double"))
-    if "minimum" in schema:
-        found.append(says(number < schema["minimum"], f" below minimum {schema['minimum']}"))
-    if "maximum" in schema:
-        found.append(says(number > schema["maximum"], f" above maximum {schema['maximum']}"))
-    return F.coalesce(*found, F.lit(None).cast("string"))
-
-
-def unsafe_value(arguments: Column, schema: dict[str, Any]) -> Column:
-    """The first unsafe value inside a JSON text, or null: unsafe paths, bad dates where the schema wants one, NaN and infinity, negatives where its minimum is 0.
-
-    Nesting has no bound, which expressions can't follow; so this is one small function over batches of texts.
-    """
-
-    @F.pandas_udf(StringType())
-    def walk(raw: pd.Series) -> pd.Series:
-        import datetime
-        import json
-        import math
-        import re
-
-        def bad(value, rule, path):
-            if isinstance(value, str):
-                if ".." in re.split(r"[\\/]", value) or re.match(r"[\\/]|[A-Za-z]:[\\/]", value) or value.lower().startswith(SYSTEM_PREFIXES):
-                    return f"unsafe path at {path}: {value}"
-                if rule.get("format") in ("date", "date-time") or rule.get("type") == "date":
-                    try:
-                        (datetime.datetime if "T" in value else datetime.date).fromisoformat(value.replace("Z", "+00:00"))
-                    except ValueError:
-                        return f"invalid ISO date at {path}: {value}"
-            elif isinstance(value, float) and not math.isfinite(value):
-                return f"impossible number at {path}: NaN/Infinity"
-            elif isinstance(value, (int, float)) and not isinstance(value, bool) and rule.get("minimum") == 0 and value < 0:
-                return f"negative number at {path} violates minimum 0"
-            return None
-
-        def first(text):
-            todo = [(json.loads(text), schema, "$")] if text is not None else []
-            while todo:
-                value, rule, path = todo.pop()
-                if found := bad(value, rule, path):
-                    return found
-                if isinstance(value, dict):
-                    todo += [(v, rule.get("properties", {}).get(k) or {}, f"{path}.{k}") for k, v in reversed(value.items())]
-                elif isinstance(value, list):
-                    todo += [(v, rule.get("items") or {}, f"{path}[{i}]") for i, v in reversed(list(enumerate(value)))]
-            return None
-
-        return raw.map(first)
-
-    return walk(arguments)
-
-
-def tool_call(raw: Column) -> Column:
-    """struct(name, arguments: JSON text, error) of a proposed call: wrapped in tool_call or not, name or tool, arguments or args, as an object or as its text."""
-    outer = F.try_parse_json(raw)
-    call = F.coalesce(F.try_variant_get(outer, "$.tool_call", "variant"), outer)
-    named = F.coalesce(F.try_variant_get(call, "$.name", "variant"), F.try_variant_get(call, "$.tool", "variant"))
-    name = F.when(json_kind(named) == "string", F.try_variant_get(named, "$", "string"))
-    given = F.coalesce(F.try_variant_get(call, "$.arguments", "variant"), F.try_variant_get(call, "$.args", "variant"))
-    parsed = F.when(json_kind(given) == "string", F.try_parse_json(F.try_variant_get(given, "$", "string"))).otherwise(given)
-    error = (
-        F.when(outer.isNull(), "tool call JSON invalid").when(json_kind(call) != "object", "tool call must be a JSON object").when(F.coalesce(name, F.lit("")) == "", "tool name missing").when(given.isNull(), "arguments missing")
-        .when(parsed.isNull(), "arguments JSON invalid").when(json_kind(parsed) != "object", "arguments must parse as JSON object")
-    )
-    return F.struct(name.alias("name"), F.to_json(F.when(error.isNull(), parsed)).alias("arguments"), error.alias("error"))
-
-
-def tool_call_error(raw: Column, schema: dict[str, Any] | None = None, allowed: tuple[str, ...] = ()) -> Column:
-    """Why a proposed tool call is refused, or null: its shape, the tools allowed, the schema, then its values. Nothing is executed."""
-
-    def of(call: Column) -> Column:
-        refused = [call["error"]]
-        if allowed:
-            refused.append(F.when(~call["name"].isin(*allowed), F.concat(F.lit("disallowed tool: "), call["name"])))
-        if schema:
-            refused.append(F.concat(F.lit("schema violation: "), schema_error(F.try_parse_json(call["arguments"]), schema, "$.arguments")))
-        return F.struct(F.coalesce(*refused, F.lit(None).cast("string")).alias("error"), call["arguments"].alias("arguments"))
-
-    # The call is taken apart once: its parts go through a one-item array.
-    checked = F.element_at(F.transform(F.array(tool_call(raw)), of), 1)
-    return F.coalesce(checked["error"], unsafe_value(checked["arguments"], schema or {}))

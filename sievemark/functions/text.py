@@ -75,12 +75,14 @@ def clip(text: Column, n: int) -> Column:
 
 
 def answer_integer(text: Column) -> Column:
-    """The integer after an answer key, else after an answer label, else the last one; null if there is none."""
-    flat = F.regexp_replace(F.coalesce(text, F.lit("")), "(?<=[0-9]),(?=[0-9]{3})", "")
-    key = F.regexp_extract(flat, r'"answer"\s*:\s*"?(-?[0-9]+)', 1)
-    label = F.regexp_extract(flat, r"(?i)(?:answer|final)\s*(?:is|:|=)\s*(-?[0-9]+)", 1)
-    last = F.try_element_at(F.regexp_extract_all(flat, F.lit("(-?[0-9]+)"), F.lit(1)), F.lit(-1))
-    return F.coalesce(F.nullif(key, F.lit("")), F.nullif(label, F.lit("")), last)
+    """The integer after an answer key, else the next one behind an answer label that no digit follows at once, else the last one; commas are dropped; null if there is none."""
+    value = F.coalesce(text, F.lit(""))
+    # Up to the last digit, so that the first label that counts always has an integer behind it.
+    upto = F.reverse(F.regexp_replace(F.reverse(value), "^[^0-9]*+", ""))
+    key = F.regexp_extract(value, r'(?i)"answer"\s*:\s*"?(-?[0-9][0-9,\s]*)', 1)
+    label = F.regexp_extract(upto, r"(?i)(?:answer|final)(?![0-9])[^0-9]*?(-?[0-9][0-9,]*)", 1)
+    last = F.try_element_at(F.regexp_extract_all(value, F.lit("(-?[0-9][0-9,]*)"), F.lit(1)), F.lit(-1))
+    return F.regexp_replace(F.coalesce(F.nullif(key, F.lit("")), F.nullif(label, F.lit("")), last), r"[,\s]", "")
 
 
 def unsafe_path(path: Column) -> Column:

@@ -105,12 +105,15 @@ def harness_decisions(t):
     return v.groupBy("verdict", "risk", action.alias("action")).agg(F.count("*").alias("n"), F.bool_and((F.col("verdict") == "RULED_OUT_WRONG") | (F.col("risk") == "high")).alias("blocking"))
 
 
-@query(r"""
-WITH x AS (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' {"answer": 1' || conv_id || '}' WHEN 1 THEN ' The final answer is -2' || conv_id ELSE ' so 3' || conv_id END AS s FROM conversations)
-SELECT conv_id, turn, coalesce(nullif(regexp_extract(s, '"answer"\s*:\s*"?(-?[0-9]+)', 1), ''), nullif(regexp_extract(s, '(?i)(?:answer|final)\s*(?:is|:|=)\s*(-?[0-9]+)', 1), ''), regexp_extract_all(s, '-?[0-9]+')[-1]) AS answer FROM x""")
+_SAID = """text || CASE turn % 4 WHEN 0 THEN ' {"answer": "1,' || conv_id || ' 7"}' WHEN 1 THEN ' final2: the final result that I get is -2' || conv_id || ', see page 7' WHEN 2 THEN ' Answer-' || conv_id || ' of 9' ELSE ' so 3' || conv_id || ' ' END"""
+
+
+@query(rf"""
+WITH x AS (SELECT conv_id, turn, {_SAID} AS s FROM conversations), y AS (SELECT *, regexp_extract(s, '(?i)(?:answer|final)[^0-9]+[0-9][0-9,]*') AS lab FROM x)
+SELECT conv_id, turn, regexp_replace(coalesce(nullif(regexp_extract(s, '(?i)"answer"\s*:\s*"?(-?[0-9][0-9,\s]*)', 1), ''), nullif(CASE WHEN lab <> '' THEN regexp_extract(lab, '-?[0-9][0-9,]*$') END, ''), regexp_extract_all(s, '-?[0-9][0-9,]*')[-1]), '[,\s]', '', 'g') AS answer FROM y""")
 def answer_integers(t):
-    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(' {"answer": 1'), F.col("conv_id").cast("string"), F.lit("}"))).when(F.col("turn") % 3 == 1, F.concat(F.lit(" The final answer is -2"), F.col("conv_id").cast("string"))).otherwise(F.concat(F.lit(" so 3"), F.col("conv_id").cast("string")))
-    return t.conversations.select("conv_id", "turn", T.answer_integer(F.concat("text", said)).alias("answer"))
+    """The integer that each output states: behind a key, behind a label with a gap, or the last one."""
+    return t.conversations.select("conv_id", "turn", T.answer_integer(F.expr(_SAID)).alias("answer"))
 
 
 @query(r"""

@@ -7,31 +7,44 @@ from pyspark.sql import functions as F
 
 from ..functions import extraction as X
 from ..functions import grounding as G
+from ..operators import json_rows as V
 from .query import query
 from .tokens import _ELEMENT, _LIST, _Q
 
-_FENCE = "'```'"
-_OUT = f"""CASE turn % 6 WHEN 0 THEN 'Sure: {{"a": ' || conv_id || ', "b": {{"c": "}}"}}}} done' WHEN 1 THEN {_FENCE} || 'json' || chr(10) || '{{"x": [1, 2]}}' || chr(10) || {_FENCE} || ' {{"y": 1}}' WHEN 2 THEN 'a {{b}} {{"k": }} {{"ok": true}} {{"z": 0}}' WHEN 3 THEN {_FENCE} || '[1]' || {_FENCE} || ' {{"q": 1}}'
-    WHEN 4 THEN 'none ' || conv_id ELSE '{{ }}' END"""
+#: Objects without objects in them, told by a pattern: a quote behind the brace, then names with numbers or texts up to the first closing brace.
+_FLAT = r'\{\s*"[a-z]+":\s*(?:[0-9]+|"[^"]*")(?:,\s*"[a-z]+":\s*(?:[0-9]+|"[^"]*"))*\}'
+_OUT = """'{margin:0} of ' || event_type || CASE WHEN user_id % 3 = 0 THEN ' {"k": } {"a: 1} ' ELSE ' ' END || CASE WHEN value < 8 THEN '{"user": ' || user_id || ', "of": "}"} ' ELSE '' END
+    || CASE WHEN user_id % 2 = 0 THEN '```' || event_type || '``` ```json ' || props || ' ```' WHEN user_id % 5 > 0 THEN props || ' {"z": 0}' ELSE '' END"""
 
 
-@query(f"""
-WITH o AS (SELECT conv_id, turn, {_OUT} AS s FROM conversations)
-SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN '{{"a": ' || conv_id || ', "b": {{"c": "}}"}}}}' WHEN 1 THEN '{{"x": [1, 2]}}' WHEN 2 THEN '{{"ok": true}}' WHEN 5 THEN '{{ }}' END AS object FROM o""")
+@query(rf"""
+WITH o AS (SELECT event_id, {_OUT} AS s FROM events)
+SELECT event_id, coalesce(nullif(regexp_extract(s, '```json\s*({_FLAT})\s*```', 1), ''), nullif(regexp_extract(s, '{_FLAT}'), '')) AS object FROM o""")
 def extracted_objects(t):
-    """The first JSON object of an output: in a fence, behind prose, after broken ones, or none."""
-    return t.conversations.select("conv_id", "turn", X.json_object(F.expr(_OUT.replace("chr(10)", "'\\n'"))).alias("object"))
+    """The first JSON object of an output made of an event: in a fence, behind braces of other kinds and broken objects, or none."""
+    return t.events.select("event_id", X.json_object(F.expr(_OUT)).alias("object"))
+
+
+_PAGE = """html || ' {"url": "' || url || '"}'"""
 
 
-_CODE = """CASE turn % 6 WHEN 0 THEN 'Here is it:' || chr(10) || 'x = 1' || chr(10) || 'Note: done' WHEN 1 THEN 'see ```python' || chr(10) || 'def f(:' || chr(10) || '``` ```b```' WHEN 2 THEN 'just words' WHEN 3 THEN '```py' || chr(10) || 'print(2)' || chr(10) || '```' WHEN 4 THEN '``` ```' ELSE 'import os' || chr(10) || 'y = [1' END"""
+@query(f"WITH o AS (SELECT page_id, {_PAGE} AS s FROM pages) SELECT page_id, nullif(regexp_extract(s, '{_FLAT}'), '') AS object FROM o")
+def page_objects(t):
+    """The first JSON object behind a whole page's styles, scripts and quotes."""
+    return t.pages.select("page_id", X.json_object(F.expr(_PAGE)).alias("object"))
 
 
-@query("""
-SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'x = 1' WHEN 1 THEN 'def f(:' WHEN 3 THEN 'print(2)' WHEN 5 THEN 'import os' || chr(10) || 'y = [1' END AS code,
-       CASE turn % 6 WHEN 0 THEN 'NOT_RULED_OUT' WHEN 1 THEN 'RULED_OUT_WRONG' WHEN 3 THEN 'NOT_RULED_OUT' WHEN 5 THEN 'RULED_OUT_WRONG' ELSE 'UNCHECKABLE' END AS verdict FROM conversations""")
+_CODE = """CASE WHEN turn % 2 = 0 THEN CASE WHEN conv_id % 3 = 0 THEN 'Here is it:' || chr(10) ELSE '' END || 'x_' || conv_id || CASE WHEN conv_id % 2 = 0 THEN ' = ' ELSE ' as ' END || turn || chr(10) || 'Note: ' || left(text, 40)
+    ELSE left(text, 60) || ' ```' || CASE WHEN role = 'user' THEN 'python' ELSE '' END || chr(10) || 'y = ' || CASE WHEN conv_id % 4 = 0 THEN '[' ELSE '' END || turn || chr(10) || '```' END"""
+
+
+@query(rf"""
+WITH o AS (SELECT conv_id, turn, {_CODE} AS s FROM conversations), c AS (SELECT *, trim(regexp_replace(regexp_replace(s, '^(?i:here is|sure|below is|the code)[^\n]*\n', ''), '(?is)(?:^|\n)(?:note:|explanation:).*$', ''), ' ' || chr(9) || chr(10)) AS plain FROM o),
+d AS (SELECT conv_id, turn, CASE WHEN regexp_matches(s, '(?s)```.*```') THEN nullif(trim(regexp_extract(s, '(?s)```(?i:python|py)?\s*(.*?)```', 1), ' ' || chr(9) || chr(10)), '') WHEN regexp_matches(plain, '(?:def|class|import|from|return|for|while|if) |=') THEN plain END AS code FROM c)
+SELECT conv_id, turn, code, CASE WHEN code IS NULL THEN 'UNCHECKABLE' WHEN regexp_full_match(code, '[a-z_0-9]+ = [0-9]+') THEN 'NOT_RULED_OUT' ELSE 'RULED_OUT_WRONG' END AS verdict FROM d""")
 def extracted_code(t):
-    """Code out of outputs, and whether it parses; what can't be extracted is never ruled out."""
-    made = t.conversations.select("conv_id", "turn", X.code(F.expr(_CODE)).alias("code"))
+    """Code out of outputs made of turns, and whether it parses; what can't be extracted is never ruled out."""
+    made = t.conversations.select("conv_id", "turn", X.code(F.expr(_CODE.replace("chr(10)", r"'\n'"))).alias("code"))
     verdict = F.when(F.col("code").isNull(), "UNCHECKABLE").when(X.syntax_error("code").isNull(), "NOT_RULED_OUT").otherwise("RULED_OUT_WRONG")
     return made.select("conv_id", "turn", "code", verdict.alias("verdict"))
 
@@ -44,37 +57,38 @@ def canonical_records(t):
     return c.select("event_id", "canonical", F.substring(F.sha2("canonical", 256), 1, 16).alias("decision_id"))
 
 
-_SCHEMA = {"type": "object", "required": ["id", "score"], "additionalProperties": False, "properties": {"id": {"type": "string"}, "score": {"type": "integer", "minimum": 0, "maximum": 100}, "status": {"enum": ["pass", "fail"]}, "tags": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "string"}}}}
-_S = """CASE event_id % 13 WHEN 0 THEN '{"id": "a", "score": 7, "status": "pass", "tags": ["x"]}' WHEN 1 THEN '{"id": 3, "score": 7}' WHEN 2 THEN '{"id": "a"}' WHEN 3 THEN '{"id": "a", "score": 1.0}' WHEN 4 THEN '{"id": "a", "score": true}' WHEN 5 THEN '{"id": "a", "score": 101}' WHEN 6 THEN '{"id": "a", "score": -1}'
-    WHEN 7 THEN '{"id": "a", "score": 1, "status": "maybe"}' WHEN 8 THEN '{"id": "a", "score": 1, "tags": []}' WHEN 9 THEN '{"id": "a", "score": 1, "tags": ["x", 2]}' WHEN 10 THEN '{"id": "a", "score": 1, "more": 0}' WHEN 11 THEN '[1]' ELSE 'not json' END"""
-_J = "CAST(CASE WHEN json_valid(s) THEN s END AS JSON)"
-_TYPE = lambda p: f"CASE json_type({_J}, '{p}') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' ELSE lower(json_type({_J}, '{p}')) END"
-_NUM = f"CAST({_J}->>'$.score' AS DOUBLE)"
+_SCHEMA = {
+    "type": "object", "required": ["id", "score"], "additionalProperties": False,
+    "properties": {"id": {"enum": ["click", "view", None]}, "score": {"type": "integer", "minimum": 3, "maximum": 120}, "props": {"type": "object", "properties": {"k": {"type": "number", "maximum": 80}}}, "tags": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "string"}}, "a.b$c": {"type": "string"}},
+}
+_S = """CASE WHEN event_id % 29 = 0 THEN '[' || props || ']' WHEN event_id % 31 = 0 THEN props || ',' ELSE '{"id": "' || event_type || '"' || CASE WHEN value > 30 THEN '' ELSE ', "score": ' || user_id || CASE WHEN event_id % 17 = 0 THEN '.0' ELSE '' END END || ', "props": ' || props
+    || CASE event_id % 5 WHEN 0 THEN ', "tags": ["' || event_type || '", ' || user_id || ']' WHEN 1 THEN ', "tags": []' ELSE '' END || CASE event_id % 7 WHEN 0 THEN ', "zeal": 1, "mood": 2' WHEN 1 THEN ', "a.b$c": ' || user_id ELSE '' END || '}' END"""
+_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
 @query(f"""
-WITH x AS (SELECT event_id, {_S} AS s FROM events), j AS (SELECT event_id, s, json_valid(s) AS ok, {_TYPE('$')} AS kind, {_TYPE('$.id')} AS id, {_TYPE('$.score')} AS score, {_TYPE('$.tags')} AS tags, {_J} AS j FROM x)
-SELECT event_id, CASE WHEN NOT ok THEN 'invalid JSON' WHEN kind <> 'object' THEN '$ expected object, got ' || kind WHEN id IS NULL THEN '$ missing required key ''id''' WHEN score IS NULL THEN '$ missing required key ''score''' WHEN id <> 'string' THEN '$.id expected string, got ' || id WHEN score <> 'integer' THEN '$.score expected integer, got ' || score
-    WHEN CAST(j->>'$.score' AS BIGINT) < 0 THEN '$.score below minimum 0' WHEN CAST(j->>'$.score' AS BIGINT) > 100 THEN '$.score above maximum 100' WHEN j->>'$.status' NOT IN ('pass', 'fail') THEN '$.status value ''' || (j->>'$.status') || ''' not in enum [''pass'', ''fail'']'
-    WHEN tags = 'array' AND json_array_length(j, '$.tags') < 1 THEN '$.tags has fewer than minItems=1' WHEN json_type(j, '$.tags[1]') = 'UBIGINT' THEN '$.tags[1] expected string, got integer' WHEN j->>'$.more' IS NOT NULL THEN '$ unexpected key ''more''' END AS error FROM j""")
+SELECT event_id, CASE WHEN event_id % 29 = 0 THEN '$ expected object, got array' WHEN event_id % 31 = 0 THEN 'invalid JSON' WHEN value > 30 THEN '$ missing required key ''score''' WHEN event_type NOT IN ('click', 'view') THEN '$.id value ''' || event_type || ''' not in enum [''click'', ''view'', None]'
+    WHEN event_id % 17 = 0 THEN '$.score expected integer, got number' WHEN user_id < 3 THEN '$.score below minimum 3' WHEN user_id > 120 THEN '$.score above maximum 120' WHEN {_K} > 80 THEN '$.props.k above maximum 80'
+    WHEN event_id % 5 = 0 THEN '$.tags[1] expected string, got integer' WHEN event_id % 5 = 1 THEN '$.tags has fewer than minItems=1' WHEN event_id % 7 = 1 THEN '$.a.b$c expected string, got integer' WHEN event_id % 7 = 0 THEN '$ unexpected key ''zeal''' END AS error FROM events""")
 def schema_errors(t):
-    """The first violation of a schema with nested parts; true is no number and 1.0 no integer."""
-    v = t.events.select("event_id", F.try_parse_json(F.expr(_S)).alias("v"))
-    return v.select("event_id", F.when(F.col("v").isNull(), "invalid JSON").otherwise(X.schema_error(F.col("v"), _SCHEMA)).alias("error"))
+    """The first violation of a schema with nested parts by each event's record; true is no number, 1.0 no integer, keys have any signs."""
+    return V.schema_errors(t.events.select("event_id", F.expr(_S).alias("raw")), "event_id", "raw", _SCHEMA)
 
 
 _TOOL_SCHEMA = {"type": "object", "properties": {"path": {"type": "string"}, "when": {"type": "string", "format": "date"}, "n": {"type": "integer", "minimum": 0}}}
-_CALL = """CASE event_id % 13 WHEN 0 THEN '{"name": "read", "arguments": {"path": "a/b.txt", "n": 1}}' WHEN 1 THEN '{"tool_call": {"tool": "read", "args": "{\\"path\\": \\"../x\\"}"}}' WHEN 2 THEN '{"name": "rm", "arguments": {}}' WHEN 3 THEN '{"name": "read", "arguments": {"path": "C:\\\\Windows"}}' WHEN 4 THEN '{"name": "read"}'
-    WHEN 5 THEN '{"arguments": {}}' WHEN 6 THEN 'nope' WHEN 7 THEN '[1]' WHEN 8 THEN '{"name": "read", "arguments": {"when": "2020-02-30"}}' WHEN 9 THEN '{"name": "read", "arguments": {"n": "x"}}' WHEN 10 THEN '{"name": "read", "arguments": "{"}' WHEN 11 THEN '{"name": "read", "arguments": {"deep": [{"p": "/etc/passwd"}]}}' ELSE '{"name": "read", "arguments": "[]"}' END"""
+_DAY = "'2023-02-' || lpad(CAST(user_id AS VARCHAR(9)), 2, '0')"
+_ARGS = f"""'{{"deep": [' || props || ', {{"path": "' || CASE WHEN value > 20 THEN '../' WHEN value > 15 THEN '/etc/' ELSE '' END || event_type || '"}}], "when": "' || {_DAY} || '", "n": ' || CASE WHEN event_id % 6 = 0 THEN '"x"' WHEN event_id % 11 = 0 THEN 'NaN' ELSE '' || (user_id - 1) END || '}}'"""
+_CALL = f"""CASE event_id % 9 WHEN 0 THEN '{{"tool_call": {{"tool": "' || event_type || '", "args": ' || {_ARGS} || '}}}}' WHEN 1 THEN '{{"name": "' || event_type || '"}}' WHEN 2 THEN '{{"name": ' || user_id || ', "arguments": ' || props || '}}' WHEN 3 THEN '[' || props || ']' WHEN 4 THEN '{{"name": "' || event_type || '", "arguments": [' || props || ']}}'
+    ELSE '{{"name": "' || event_type || '", "arguments": ' || {_ARGS} || '}}' END"""
 
 
-@query(r"""
-SELECT event_id, CASE event_id % 13 WHEN 1 THEN 'unsafe path at $.path: ../x' WHEN 2 THEN 'disallowed tool: rm' WHEN 3 THEN 'unsafe path at $.path: C:\Windows' WHEN 4 THEN 'arguments missing' WHEN 5 THEN 'tool name missing' WHEN 6 THEN 'tool call JSON invalid' WHEN 7 THEN 'tool call must be a JSON object' WHEN 8 THEN 'invalid ISO date at $.when: 2020-02-30'
-    WHEN 9 THEN 'schema violation: $.arguments.n expected integer, got string' WHEN 10 THEN 'arguments JSON invalid' WHEN 11 THEN 'unsafe path at $.deep[0].p: /etc/passwd' WHEN 12 THEN 'arguments must parse as JSON object' END AS error FROM events""")
+@query(f"""
+SELECT event_id, CASE event_id % 9 WHEN 1 THEN 'arguments missing' WHEN 2 THEN 'tool name missing' WHEN 3 THEN 'tool call must be a JSON object' WHEN 4 THEN 'arguments must parse as JSON object' ELSE
+    CASE WHEN event_type NOT IN ('click', 'view') THEN 'disallowed tool: ' || event_type WHEN event_id % 6 = 0 THEN 'schema violation: $.arguments.n expected integer, got string' WHEN event_id % 11 = 0 THEN 'schema violation: $.arguments.n expected integer, got number' WHEN user_id < 1 THEN 'schema violation: $.arguments.n below minimum 0'
+    WHEN value > 20 THEN 'unsafe path at $.deep[1].path: ../' || event_type WHEN value > 15 THEN 'unsafe path at $.deep[1].path: /etc/' || event_type WHEN TRY_CAST({_DAY} AS DATE) IS NULL THEN 'invalid ISO date at $.when: ' || {_DAY} END END AS error FROM events""")
 def tool_call_errors(t):
-    """Proposed tool calls in thirteen shapes: the first reason to refuse each."""
-    raw = F.expr(_CALL.replace("\\\\", "\\\\\\\\").replace('\\"', '\\\\"'))
-    return t.events.select("event_id", X.tool_call_error(raw, _TOOL_SCHEMA, ("read", "list")).alias("error"))
+    """Tool calls proposed by events: the first reason to refuse each."""
+    return V.tool_call_errors(t.events.select("event_id", F.expr(_CALL).alias("raw")), "event_id", "raw", _TOOL_SCHEMA, ("click", "view"))
 
 
 _ANSWER = "CASE turn % 4 WHEN 0 THEN text || ' [1]' WHEN 1 THEN 'In 2027 Berlin had ' || left(text, 40) || ' 12.5' WHEN 2 THEN 'so it is' ELSE left(text, 60) || ' [doc:3]' END"

@@ -97,20 +97,6 @@ def test_predicates(spark):
     assert one(spark, predicates.first_integer(F.lit("so -12 or 7"))) == -12 and one(spark, predicates.first_integer(F.lit(None))) == 0
 
 
-def test_schema_and_tool_calls(spark):
-    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": ["integer", "null"], "enum": [1, None]}, "b": {"type": "array", "items": {"type": "object", "properties": {"c": {"type": "boolean"}}}}}}
-    says = lambda raw: one(spark, extraction.schema_error(F.parse_json(F.lit(raw)), schema))
-    assert says('{"a": 1}') is None and says('{"a": null}') is None and says("{}") == "$ missing required key 'a'"
-    assert says('{"a": 2}') == "$.a value 2 not in enum [1, None]" and says('{"a": 1.0}') == "$.a expected ['integer', 'null'], got number"
-    assert says('{"a": 1, "b": [{"c": true}, {"c": "x"}]}') == "$.b[1].c expected boolean, got string"
-    with pytest.raises(ValueError, match="unsupported"):
-        extraction.schema_error(F.lit(None), {"type": "date"})
-    refuse = lambda raw, s=None: one(spark, extraction.tool_call_error(F.lit(raw), s))
-    assert refuse('{"name": "x", "arguments": {"p": ["a", {"q": "../b"}]}}') == "unsafe path at $.p[1].q: ../b"
-    assert refuse('{"name": "x", "arguments": {"n": -1}}', {"properties": {"n": {"minimum": 0}}}) == "schema violation: $.arguments.n below minimum 0"
-    assert refuse('{"name": "x", "arguments": {"d": "2020-01-01T10:00:00Z"}}', {"properties": {"d": {"format": "date-time"}}}) is None
-
-
 def test_json_objects_and_code(spark):
     objects = {"x {\"a\": \"}\"} y": '{"a": "}"}', "{no} { \"b\": {}}": '{ "b": {}}', "```json\n{\"c\": 1}\n``` {\"d\": 2}": '{"c": 1}', "none": None, "[1] {\"e\": 1}": '{"e": 1}', "": None}
     assert {k: one(spark, extraction.json_object(F.lit(k))) for k in objects} == objects
