@@ -1,7 +1,7 @@
 """Residues of expressions, Chinese remainders, cycles and exact values, as column expressions.
 
-An expression is a struct(family, base, exponent, values, modulus): power (base, exponent), fibonacci and factorial
-(exponent is n), bigprod and bigsum (values). Moduli are at most 2^31, so that products of residues fit a long.
+An expression is a struct(family, base, exponent, values, modulus, texts): power (base, exponent), fibonacci and
+factorial (exponent is n), bigprod and bigsum (values); texts holds the same as decimal strings, of any length. Moduli are at most 2^31, so that products of residues fit a long.
 """
 
 from __future__ import annotations
@@ -11,10 +11,13 @@ from math import gcd, prod
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import bigint as B
 from .numbers import MODULI
 
 _LONG = "bigint"
-_INT = r"[+-]?[0-9]+"
+_INT = r"[+-]?[0-9]++"
+#: Factors that are multiplied one by one for a factorial's residue, and digits that exact values may have.
+MOST_FACTORS, MOST_DIGITS = 5_000_000, 20_000
 
 
 def _let(value: Column, use) -> Column:
@@ -22,22 +25,36 @@ def _let(value: Column, use) -> Column:
 
 
 def parse(text: Column) -> Column:
-    """The expression that a text states, or null: b^e, b**e, fib(n), fibonacci(n), n!, a*b*..., a+b+..., each with "mod m" behind it or not (m over 1)."""
-    whole = F.trim(text)
-    stated = F.regexp_extract(whole, r"(?i)^(.*\S)\s+mod\s+([0-9]+)$", 2)
-    modulus = F.nullif(stated, F.lit("")).cast(_LONG)
-    compact = F.regexp_replace(F.when(stated == "", whole).otherwise(F.regexp_extract(whole, r"(?i)^(.*\S)\s+mod\s+([0-9]+)$", 1)), r"\s+", "")
-    group = lambda pattern, n: F.nullif(F.regexp_extract(compact, pattern, n), F.lit("")).cast(_LONG)
-    power, fib, fact = rf"^({_INT})(?:\*\*|\^)([0-9]+)$", r"(?i)^fib(?:onacci)?\(([0-9]+)\)$", r"^([0-9]+)!$"
-    terms = lambda sign: F.transform(F.split(compact, rf"\{sign}(?=[+-]?[0-9])"), lambda x: x.cast(_LONG))
-    made = lambda family, base, exponent, values: F.struct(F.lit(family).alias("family"), base.cast(_LONG).alias("base"), exponent.cast(_LONG).alias("exponent"), values.cast("array<bigint>").alias("values"), modulus.alias("modulus"))
-    none = F.lit(None)
-    found = (
-        F.when(compact.rlike(power), made("power", group(power, 1), group(power, 2), none)).when(compact.rlike(r"\*\*|\^"), none)
-        .when(compact.rlike(fib), made("fibonacci", none, group(fib, 1), none)).when(compact.rlike(fact), made("factorial", none, group(fact, 1), none))
-        .when(compact.rlike(rf"^{_INT}(?:\*{_INT})+$"), made("bigprod", none, none, terms("*"))).when(compact.rlike(rf"^{_INT}(?:\+{_INT})+$"), made("bigsum", none, none, terms("+")))
-    )
-    return F.when(modulus.isNull() | (modulus > 1), found)
+    """The expression that a text states, or null: b^e, b**e, fib(n), fibonacci(n), n!, a*b*..., a+b+..., each with "mod m" behind it or not (m over 1).
+
+    Give it a column of its own before it is used: expressions in one another are slow to plan. Integers have any number
+    of digits: base, exponent, values and modulus are numbers where a long holds them, and the
+    same as decimal strings under texts.
+    """
+    modular = r"(?i)^(.*\S)\s++mod\s++([0-9]++)$"
+    power, fib, fact = rf"^({_INT})(?:\*\*|\^)([0-9]++)$", r"(?i)^fib(?:onacci)?\(([0-9]++)\)$", r"^([0-9]++)!$"
+    none, number = F.lit(None).cast("string"), lambda x: x.try_cast(_LONG)
+    canonical = lambda x: _let(B.magnitude(x), lambda d: F.when(d == "", "0").when(x.startswith("-"), F.concat(F.lit("-"), d)).otherwise(d))
+    made = lambda family, base=none, exponent=none, values=F.lit(None).cast("array<string>"): F.struct(F.lit(family).alias("family"), base.alias("base"), exponent.alias("exponent"), values.alias("values"))
+
+    def stated(c: Column) -> Column:
+        group = lambda pattern, n: canonical(F.regexp_extract(c, pattern, n))
+        terms = lambda sign: F.transform(F.split(c, rf"\{sign}(?=[+-]?[0-9])"), canonical)
+        return (
+            F.when(c.rlike(power), made("power", group(power, 1), group(power, 2))).when(c.rlike(r"\*\*|\^"), F.lit(None))
+            .when(c.rlike(fib), made("fibonacci", exponent=group(fib, 1))).when(c.rlike(fact), made("factorial", exponent=group(fact, 1)))
+            .when(c.rlike(rf"^{_INT}(?:\*{_INT})++$"), made("bigprod", values=terms("*"))).when(c.rlike(rf"^{_INT}(?:\+{_INT})++$"), made("bigsum", values=terms("+")))
+        )
+
+    def whole(x: Column, m: Column) -> Column:
+        numbers = F.transform(x["values"], number)
+        texts = F.struct(x["base"].alias("base"), x["exponent"].alias("exponent"), x["values"].alias("values"), m.alias("modulus"))
+        built = F.struct(x["family"].alias("family"), number(x["base"]).alias("base"), number(x["exponent"]).alias("exponent"), F.when(~F.exists(numbers, lambda v: v.isNull()), numbers).alias("values"), number(m).alias("modulus"), texts.alias("texts"))
+        return F.when(x.isNotNull() & (m.isNull() | ~m.isin("0", "1")), built)
+
+    modulus = lambda w: F.when(w.rlike(modular), canonical(F.regexp_extract(w, modular, 2)))
+    compact = lambda w: F.regexp_replace(F.when(w.rlike(modular), F.regexp_extract(w, modular, 1)).otherwise(w), r"\s+", "")
+    return _let(F.trim(text), lambda w: _let(modulus(w), lambda m: _let(_let(compact(w), stated), lambda x: whole(x, m))))
 
 
 def _bits(n: Column) -> Column:
@@ -64,29 +81,89 @@ def fibonacci_mod(n: Column, m: Column) -> Column:
 
 
 def factorial_mod(n: Column, m: Column) -> Column:
-    """n! modulo m; from n = m on it is 0."""
+    """n! modulo m; from n = m on it is 0. Null for more than MOST_FACTORS factors."""
     product = F.aggregate(F.sequence(F.lit(1).cast(_LONG), F.greatest(n, F.lit(1))), F.pmod(F.lit(1).cast(_LONG), m), lambda a, v: a * (v % m) % m)
-    return F.when(n >= m, F.lit(0).cast(_LONG)).otherwise(product)
+    return F.when(n >= m, F.lit(0).cast(_LONG)).when(n <= MOST_FACTORS, product)
+
+
+def _figures(n: Column) -> Column:
+    """The decimal digits of a string, highest first."""
+    return F.transform(F.filter(F.split(n, ""), lambda d: d != ""), lambda d: d.cast("int"))
+
+
+def power_of_digits(base: Column, exponent: Column, m: Column) -> Column:
+    """base (a residue) to an exponent of any length, given as a decimal string, modulo m: a digit at a time."""
+    low = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.array(F.pmod(F.lit(1).cast(_LONG), m)), lambda t, _: F.concat(t, F.array(F.element_at(t, -1) * base % m)))
+    tenth = lambda r: _let(r * r % m, lambda s: _let(s * s % m * r % m, lambda f: f * f % m))
+    return _let(low, lambda t: F.aggregate(_figures(exponent), F.pmod(F.lit(1).cast(_LONG), m), lambda r, d: tenth(r) * F.get(t, d) % m))
+
+
+def fibonacci_of_digits(n: Column, m: Column) -> Column:
+    """The Fibonacci number of an index of any length, given as a decimal string, modulo m: a digit at a time."""
+    pair = lambda a, b: F.struct(F.pmod(a, m).alias("a"), F.pmod(b, m).alias("b"))
+    # From F(i), F(i+1) and F(j), F(j+1) to those of i + j.
+    both = lambda x, y: pair(x["a"] * y["b"] % m + F.pmod(x["b"] - x["a"], m) * y["a"] % m, x["a"] * y["a"] % m + x["b"] * y["b"] % m)
+    low = F.array(*(pair(F.lit(a).cast(_LONG), F.lit(b).cast(_LONG)) for a, b in ((0, 1), (1, 1), (1, 2), (2, 3), (3, 5), (5, 8), (8, 13), (13, 21), (21, 34), (34, 55))))
+    tenth = lambda s: _let(both(s, s), lambda two: _let(both(two, two), lambda four: _let(both(four, s), lambda five: both(five, five))))
+    return _let(low, lambda t: F.aggregate(_figures(n), F.get(t, F.lit(0)), lambda s, d: both(tenth(s), F.get(t, d)))["a"])
 
 
 def residue(expr: Column, m: Column | int) -> Column:
-    """The expression modulo m, without its value."""
-    m = (F.lit(m) if isinstance(m, int) else m).cast(_LONG)
-    begin = F.lit(0).cast(_LONG)
+    """The expression modulo m (at most 2^31), without its value; its integers have any number of digits. Null for a factorial of over MOST_FACTORS below m."""
+    return _let(expr, lambda e: _residue(e, (F.lit(m) if isinstance(m, int) else m).cast(_LONG)))
+
+
+def _residue(expr: Column, m: Column) -> Column:
+    begin, texts = F.lit(0).cast(_LONG), expr["texts"]
+    short = lambda x: F.length(x) <= 18
+    of = lambda x: digits_residue(x, m)
+    base = F.when(expr["base"].isNotNull(), F.pmod(expr["base"], m)).otherwise(of(texts["base"]))
+    terms = F.when(expr["values"].isNotNull(), F.transform(expr["values"], lambda v: F.pmod(v, m))).otherwise(F.transform(texts["values"], of))
+    n = F.when(short(texts["exponent"]), expr["exponent"])
     return (
-        F.when(expr["family"] == "power", power_mod(expr["base"], expr["exponent"], m)).when(expr["family"] == "fibonacci", fibonacci_mod(expr["exponent"], m))
-        .when(expr["family"] == "factorial", factorial_mod(expr["exponent"], m)).when(expr["family"] == "bigsum", F.aggregate(expr["values"], begin, lambda a, v: (a + F.pmod(v, m)) % m))
-        .when(expr["family"] == "bigprod", F.aggregate(expr["values"], F.pmod(F.lit(1).cast(_LONG), m), lambda a, v: a * F.pmod(v, m) % m))
+        F.when(expr["family"] == "power", F.when(n.isNotNull(), power_mod(base, n, m)).otherwise(power_of_digits(base, texts["exponent"], m)))
+        .when(expr["family"] == "fibonacci", F.when(n.isNotNull(), fibonacci_mod(n, m)).otherwise(fibonacci_of_digits(texts["exponent"], m)))
+        .when(expr["family"] == "factorial", F.when(n.isNotNull(), factorial_mod(n, m)).otherwise(begin)).when(expr["family"] == "bigsum", F.aggregate(terms, begin, lambda a, v: (a + v) % m))
+        .when(expr["family"] == "bigprod", F.aggregate(terms, F.pmod(F.lit(1).cast(_LONG), m), lambda a, v: a * v % m))
     )
 
 
-def digits_residue(digits: Column, m: int) -> Column:
+def exact_value(expr: Column) -> Column:
+    """The expression's value as a decimal string; null where it would have over MOST_DIGITS digits."""
+    return _let(expr, _exact_value)
+
+
+def _exact_value(expr: Column) -> Column:
+    n, texts, family = expr["exponent"], expr["texts"], expr["family"]
+    size = lambda x: F.length(B.magnitude(x))
+    odd = F.substring(texts["exponent"], -1, 1).isin("1", "3", "5", "7", "9")
+    small = lambda bound: n.isNotNull() & (n <= bound)
+    whole = F.when(size(texts["base"]) <= 1, F.when(B.magnitude(texts["base"]).isin("", "1"), True))  # 0, 1 and -1 to any exponent
+    trivial = F.when(texts["exponent"] == "0", "1").when(B.magnitude(texts["base"]) == "", "0").otherwise(F.when(texts["base"].startswith("-") & odd, "-1").otherwise("1"))
+    raised = F.when(whole | (texts["exponent"] == "0"), trivial).when(small(MOST_DIGITS * 4) & (n * size(texts["base"]) <= MOST_DIGITS), B.signed(texts["base"].startswith("-") & odd, B.power(B.limbs(texts["base"]), n)))
+    sized = F.aggregate(F.transform(texts["values"], size), F.lit(0), lambda a, x: a + x)
+    return (
+        F.when(family == "power", raised).when((family == "fibonacci") & small(MOST_DIGITS * 4), B.digits(B.fibonacci(n))).when((family == "factorial") & small(MOST_DIGITS // 4), B.digits(B.factorial(n)))
+        .when((family == "bigsum") & (sized <= MOST_DIGITS), B.total(texts["values"])).when((family == "bigprod") & (sized <= MOST_DIGITS), B.product(texts["values"]))
+    )
+
+
+def answer(expr: Column, value: Column) -> Column:
+    """The expression modulo its own modulus, of any size, as a decimal string; without a modulus its value (its exact_value(), in a column of its own). Null where neither can be had."""
+    m = expr["texts"]["modulus"]
+    of = lambda r, k: F.when(value.startswith("-") & (F.size(r) > 0), B.digits(B.subtract(k, r))).otherwise(B.digits(r))
+    through_value = F.when(value.isNotNull(), _let(B.limbs(m), lambda k: _let(B.modulo(B.limbs(value), k), lambda r: of(r, k))))
+    return F.when(m.isNull(), value).when(expr["modulus"].isNotNull() & (expr["modulus"] <= 2**31), residue(expr, expr["modulus"]).cast("string")).otherwise(through_value)
+
+
+def digits_residue(digits: Column, m: int | Column) -> Column:
     """A decimal string of any length modulo m (under 2^33), nine digits at a time; a leading minus gives the non-negative residue."""
+    m = (F.lit(m) if isinstance(m, int) else m).cast(_LONG)
     body = F.regexp_replace(digits, "^[-+]", "")
     whole = F.lpad(body, F.ceil(F.length(body) / 9).cast("int") * 9, "0")
-    chunks = F.transform(F.sequence(F.lit(1), F.length(whole), F.lit(9)), lambda i: F.substring(whole, i, F.lit(9)).cast(_LONG))
+    chunks = F.transform(F.regexp_extract_all(whole, F.lit("([0-9]{9})"), F.lit(1)), lambda x: x.cast(_LONG))
     folded = F.when(F.length(body) <= 18, body.cast(_LONG) % m).otherwise(F.aggregate(chunks, F.lit(0).cast(_LONG), lambda a, c: (a * 1_000_000_000 + c) % m))
-    return F.when(digits.startswith("-"), F.pmod(-folded, F.lit(m).cast(_LONG))).otherwise(folded)
+    return F.when(digits.startswith("-"), F.pmod(-folded, m)).otherwise(folded)
 
 
 def residues(digits: Column, moduli: tuple[int, ...] = MODULI) -> Column:
@@ -95,9 +172,9 @@ def residues(digits: Column, moduli: tuple[int, ...] = MODULI) -> Column:
 
 
 def verdict(expr: Column, claim: Column, moduli: tuple[int, ...] = MODULI) -> Column:
-    """RULED_OUT_WRONG where a claimed decimal string differs from the expression modulo one of the moduli; agreement proves nothing."""
-    own = F.array(*(residue(expr, m) for m in moduli))
-    return F.when(own == residues(claim, moduli), "NOT_RULED_OUT").otherwise("RULED_OUT_WRONG")
+    """RULED_OUT_WRONG where a claimed decimal string differs from the expression modulo one of the moduli; agreement proves nothing. Null where there is no expression."""
+    own = _let(expr, lambda e: F.array(*(_residue(e, F.lit(m).cast(_LONG)) for m in moduli)))
+    return F.when(own == residues(claim, moduli), "NOT_RULED_OUT").when(expr.isNotNull(), "RULED_OUT_WRONG")
 
 
 def pairwise_coprime(moduli: tuple[int, ...]) -> bool:

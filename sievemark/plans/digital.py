@@ -6,6 +6,7 @@ from math import prod
 
 from pyspark.sql import functions as F
 
+from ..functions import bigint as B
 from ..functions import digital as D
 from ..functions.numbers import MODULI
 from .query import query
@@ -91,11 +92,45 @@ def residue_cycles(t):
 
 @query("""
 WITH RECURSIVE b AS (SELECT 0 AS n, [1::BIGINT] AS r UNION ALL SELECT n + 1, list_transform(range(n + 2), lambda k: (CASE WHEN k = 0 THEN 0 ELSE r[k] END + CASE WHEN k = n + 1 THEN 0 ELSE r[k + 1] END) % 7) FROM b WHERE n < 60)
-SELECT p_partkey, (SELECT CAST(sum(p_partkey // z) AS BIGINT) FROM (VALUES (5), (25), (125), (625), (3125), (15625), (78125)) v(z)) AS zeros, b.r[p_partkey % 13 + 1] AS binomial FROM part JOIN b ON b.n = p_size WHERE p_partkey % 13 <= p_size AND p_size <= 60""")
+SELECT p_partkey, (SELECT CAST(sum(p_partkey // z) AS BIGINT) FROM (VALUES (5), (25), (125), (625), (3125), (15625), (78125)) v(z)) AS zeros, coalesce(b.r[p_partkey % 13 + 1], 0) AS binomial FROM part JOIN b ON b.n = p_size""")
 def exact_by_structure(t):
-    """Zeros at the end of a factorial, and binomials modulo 7 by their digits."""
-    p = t.part.filter("p_partkey % 13 <= p_size AND p_size <= 60")
-    return p.select("p_partkey", D.factorial_zeros(F.col("p_partkey")).alias("zeros"), D.binomial_mod(F.col("p_size"), F.col("p_partkey") % 13, 7).alias("binomial"))
+    """Zeros at the end of a factorial, and binomials modulo 7 by their digits (0 where more are chosen than there are)."""
+    return t.part.select("p_partkey", D.factorial_zeros(F.col("p_partkey")).alias("zeros"), D.binomial_mod(F.col("p_size"), F.col("p_partkey") % 13, 7).alias("binomial"))
+
+
+_WIDE = """CASE o_orderkey % 6 WHEN 0 THEN (o_custkey % 9 + 2) || '^' || (o_orderkey % 36) WHEN 1 THEN 'fib(' || (o_orderkey % 150) || ')' WHEN 2 THEN (o_orderkey % 30) || '!' WHEN 3 THEN o_orderkey || '00000000000 * ' || o_custkey || '*-3' WHEN 4 THEN o_orderkey || '000000000000000000000 + -' || o_custkey || '77777777777777777777777' ELSE 'so ' || o_orderkey END"""
+_VALUES = """w AS (SELECT o_orderkey, o_custkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(list_reduce(list_concat([1::HUGEINT], list_transform(range(o_orderkey % 36), lambda i: (o_custkey % 9 + 2)::HUGEINT)), lambda a, y: a * y) AS HUGEINT) WHEN 1 THEN (SELECT fib FROM fibs WHERE n = o_orderkey % 150)
+    WHEN 2 THEN CAST(list_reduce(list_concat([1::HUGEINT], list_transform(range(1, o_orderkey % 30 + 1), lambda i: i::HUGEINT)), lambda a, y: a * y) AS HUGEINT) WHEN 3 THEN o_orderkey::HUGEINT * 100000000000 * o_custkey * -3 WHEN 4 THEN o_orderkey::HUGEINT * 1000000000000000000000 - (o_custkey::HUGEINT * 100000000000000000000000 + 77777777777777777777777) END AS v FROM orders)"""
+_LONG_FIBS = "fibs AS (SELECT 0 AS n, 0::HUGEINT AS fib, 1::HUGEINT AS nxt UNION ALL SELECT n + 1, nxt, fib + nxt FROM fibs WHERE n < 150)"
+_BIG_MODULUS = 99999999999999999999
+
+
+@query(f"""
+WITH RECURSIVE {_LONG_FIBS}, {_VALUES} SELECT o_orderkey, CAST(v AS VARCHAR) AS value, CAST(((v % m) + m) % m AS VARCHAR) AS answer, (v - c) % {prod(MODULI)} <> 0 AS ruled_out FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN {_BIG_MODULUS}::HUGEINT ELSE 97::HUGEINT END AS m, v + CASE o_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN o_custkey ELSE {prod(MODULI)} END AS c FROM w)""")
+def expanded_expressions(t):
+    """Exact values of expressions of many digits, their answers under moduli of two and twenty digits, and claims about them held against residues."""
+    off = F.when(F.col("o_custkey") % 3 == 0, 0).when(F.col("o_custkey") % 3 == 1, F.col("o_custkey")).otherwise(prod(MODULI)).cast("string")
+    stated = t.orders.select("o_orderkey", off.alias("off"), F.expr(_WIDE).alias("s"), F.when(F.col("o_orderkey") % 2 == 0, str(_BIG_MODULUS)).otherwise("97").alias("m"))
+    parsed = stated.select("o_orderkey", "off", D.parse(F.col("s")).alias("e"), D.parse(F.concat("s", F.lit(" mod "), "m")).alias("x"))
+    valued = parsed.select("*", D.exact_value(F.col("e")).alias("value")).withColumn("claim", B.total(F.array("value", "off")))
+    return valued.select("o_orderkey", "value", D.answer(F.col("x"), F.col("value")).alias("answer"), (D.verdict(F.col("e"), F.col("claim")) == "RULED_OUT_WRONG").alias("ruled_out"))
+
+
+_BLOCKS = 200
+_FOLD = lambda c, m: f"CAST(list_reduce(list_concat([0::BIGINT], list_transform(range({_BLOCKS}), lambda i: {c}::BIGINT)), lambda a, y: (a * 100000 + y) % {m}) AS BIGINT)"
+_PRIME = 1_000_003
+
+
+@query(f"""
+WITH x AS (SELECT s_suppkey, {_FOLD('(10000 + s_suppkey % 90000)', _PRIME)} AS a, {_FOLD('(10000 + (s_nationkey * 3001 + s_suppkey) % 90000)', _PRIME)} AS b FROM supplier)
+SELECT s_suppkey, a * b % {_PRIME} AS product, (a + b) % {_PRIME} AS total, a * b % {_PRIME} AS through_value FROM x""")
+def thousand_digits(t):
+    """Products and sums of integers of 1,000 digits each, modulo a prime: by residues alone, and from the product's own 2,000 digits."""
+    digits = lambda c: F.repeat((10_000 + c % 90_000).cast("string"), _BLOCKS)
+    made = t.supplier.select("s_suppkey", digits(F.col("s_suppkey")).alias("a"), digits(F.col("s_nationkey") * 3001 + F.col("s_suppkey")).alias("b"))
+    parsed = made.select("s_suppkey", D.parse(F.concat_ws(" * ", "a", "b")).alias("x"), D.parse(F.concat_ws("+", "a", "b")).alias("y"))
+    valued = parsed.repartition("s_suppkey").select("*", D.exact_value(F.col("x")).alias("v"))
+    return valued.select("s_suppkey", D.residue(F.col("x"), _PRIME).alias("product"), D.residue(F.col("y"), _PRIME).alias("total"), D.digits_residue(F.col("v"), _PRIME).alias("through_value"))
 
 
 _TRUE = "l_orderkey * l_partkey - 5000"
@@ -110,7 +145,12 @@ w AS (SELECT l_orderkey, l_linenumber, kind, a, CASE kind WHEN 'random_offset' T
 SELECT kind, count(*) AS n, count(*) FILTER (WHERE {' OR '.join(f'((claim - a) % {m}) <> 0' for m in MODULI)}) AS caught, CAST(sum(claim % 1000003) AS BIGINT) AS mark, bool_and({' OR '.join(f'((claim - a) % {m}) <> 0' for m in MODULI)}) AS all_caught FROM w GROUP BY 1""")
 def corruption_catch_rates(t):
     """Answers spoilt in six ways, and how many of them residues rule out; multiples of the combined modulus escape."""
-    kinds = F.explode(F.array(*map(F.lit, D.CORRUPTIONS))).alias("kind")
-    each = t.lineitem.select(F.expr(_TRUE).alias("a"), F.expr(_SEED).cast("long").alias("seed"), kinds).withColumn("claim", D.corrupted(F.col("a"), F.col("kind"), F.col("seed")))
-    wrong = D.residues(F.col("claim").cast("string")) != D.residues(F.col("a").cast("string"))
+    wide = lambda c: F.pmod(c, F.lit(prod(MODULI)).cast("long"))
+    answers = t.lineitem.select(F.expr(_TRUE).alias("a"), F.expr(_SEED).cast("long").alias("seed")).withColumn("r", wide(F.col("a")))
+    spoilt = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), D.corrupted(F.col("a"), F.lit(k), F.col("seed")).alias("claim")) for k in D.CORRUPTIONS)))
+    each = answers.select("r", spoilt.alias("x")).select("x.kind", "x.claim", "r", wide(F.col("x.claim")).alias("c"))
+    # Both sides are residues modulo the product of the bank: a modulus differs where it does not divide their difference.
+    wrong = F.lit(False)
+    for m in MODULI:
+        wrong = wrong | ((F.col("c") - F.col("r")) % m != 0)
     return each.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(wrong).alias("caught"), F.sum(F.col("claim") % 1000003).alias("mark"), F.bool_and(wrong).alias("all_caught"))
