@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from . import ragged
 from .common import BROADCAST_ROWS, materialize
 
-#: Fixed value: what stands between terms.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What each byte of a text counts as: letters and bytes beyond ASCII as themselves, A-Z in lower case, all others as spaces between terms.
+_AS_TERMS = np.full(256, 32, np.uint8)
+_AS_TERMS[97:123], _AS_TERMS[128:] = np.arange(97, 123), np.arange(128, 256)
+_AS_TERMS[65:91] = np.arange(97, 123)
 SCALE = 1_000_000_000
 SKETCH_ROWS, SKETCH_BITS, BLOCK_BITS = 3, 20, 16
 #: Bytes of text that are tokenised at once; rows that a task pre-aggregates before it passes them on.
-SLICE_BYTES, KEPT_ROWS = 4 << 20, 400_000
+SLICE_BYTES, KEPT_ROWS = 2 << 20, 400_000
 #: A term in more sources is joined in parts, each with so many of the sources on one side.
 PART_SOURCES = 1_024
 TOP_TERMS = 200
@@ -36,8 +38,9 @@ TOP_TERMS = 200
 
 def _terms(langs: pa.Array, sources: pa.Array, texts: pa.Array) -> Iterator[pa.Table]:
     """lang, source, term, n (occurrences) and docs (documents) of each stretch of texts."""
-    for lo, hi, _, _ in ragged.slices(texts, SLICE_BYTES):
-        lists = pc.split_pattern_regex(pc.ascii_lower(texts.slice(lo, hi - lo)), BETWEEN)
+    for lo, hi, data, offsets in ragged.slices(texts, SLICE_BYTES):
+        plain = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(_AS_TERMS[data]))
+        lists = pc.split_pattern(plain, " ")
         words, row = pc.list_flatten(lists), pc.list_parent_indices(lists)
         coded = pc.dictionary_encode(words)
         code, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
