@@ -126,22 +126,6 @@ def index_bytes(n: Column | int, dims: int, bits: int, bands: int = 0, subspaces
     return {"raw": n * (dims * 4), "bits": n * ((bits + 7) // 8), "bands": n * (bands * 8), "codes": n * subspaces + F.lit(centroids * dims * 4)}
 
 
-def extracted(docs: DataFrame, key: str, text: Column, phrases: DataFrame, implied: dict[str, str], suppressed: dict[str, str]) -> DataFrame:
-    """key and name: names of a checked, small table of phrases (phrase, name) that a text holds as whole words.
-
-    implied: name -> a name that comes with it. suppressed: name -> a longer name beside which it isn't reported.
-    """
-    known = phrases.collect()  # a lexicon: its size is checked here
-    if len(known) > 10_000:
-        raise ValueError("the lexicon is too large for a scan of every text; join on its words instead")
-    low = F.lower(text)
-    hits = [F.when(F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]+", " "), F.lit(" ")).contains(f" {r['phrase'].lower()} "), r["name"]) for r in known]
-    names = F.array_distinct(F.array_compact(F.array(*hits)))
-    together = F.array_distinct(F.concat(names, F.array_compact(F.array(*(F.when(F.array_contains(names, a), b) for a, b in implied.items())))))
-    kept = F.filter(together, lambda x: reduce(lambda c, ab: c & ~((x == ab[0]) & F.array_contains(together, ab[1])), suppressed.items(), F.lit(True)))
-    return docs.select(key, F.explode(kept).alias("name"))
-
-
 def spans(text: Column, most: int = 8) -> Column:
     """Quoted spans and runs of capitalised words, each once, in that order; where they are fewer than two, the most frequent long words (ties: first seen) instead; `most` at most."""
     text = F.coalesce(text, F.lit(""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import linking as L
 from ..operators import summaries as S
 from ..operators import tables as J
 from .query import query
@@ -212,7 +213,9 @@ SELECT p_partkey, unnest(list_filter(ns, lambda x: NOT (x = 'jewel' AND list_con
 def ontology_names(t):
     """Names of a lexicon, with those that come along and without those that a longer one covers."""
     lexicon = t.spark.createDataFrame([("ring", "jewel"), ("new ring", "new jewel"), ("large", "large"), ("promo", "offer")], "phrase string, name string")
-    return S.extracted(t.part, "p_partkey", F.concat_ws(" ", "p_type", "p_name"), lexicon, {"large": "jewel"}, {"jewel": "new jewel"})
+    pair = lambda a, b, c: t.spark.createDataFrame([(a, b)], f"name string, {c} string")
+    texts = t.part.select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("text"))
+    return L.named(texts, "p_partkey", "text", lexicon, pair("large", "jewel", "also"), pair("jewel", "new jewel", "by"))
 
 
 @query(r"""
