@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import bigint as B
 from ..functions import digital as D
 from ..functions.numbers import MODULI
+from ..operators import cycles as Y
 from .query import query
 
 _MADE = """CASE o_orderkey % 6 WHEN 0 THEN (o_custkey % 50 + 2) || '^' || (o_orderkey % 40) WHEN 1 THEN 'fib(' || (o_orderkey % 80) || ')' WHEN 2 THEN (o_orderkey % 19) || '!' WHEN 3 THEN o_orderkey || ' * ' || o_custkey || '*-3'
@@ -154,3 +155,20 @@ def corruption_catch_rates(t):
     for m in MODULI:
         wrong = wrong | ((F.col("c") - F.col("r")) % m != 0)
     return each.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(wrong).alias("caught"), F.sum(F.col("claim") % 1000003).alias("mark"), F.bool_and(wrong).alias("all_caught"))
+
+
+_STEPS = 700
+
+
+@query(f"""
+WITH RECURSIVE g AS (SELECT DISTINCT 1 + p_partkey % 3 AS c0, p_size % 4 AS c1, p_partkey % 2 AS x0, 1 AS x1, 2 + p_size % 11 AS m FROM part), s AS (SELECT *, 0 AS i, x0 % m AS a, x1 % m AS b FROM g UNION ALL SELECT c0, c1, x0, x1, m, i + 1, b, (c0 * a + c1 * b) % m FROM s WHERE i < {_STEPS}),
+f AS (SELECT c0, c1, x0, x1, m, a, b, min(i) AS i FROM s GROUP BY ALL), k AS (SELECT c0, c1, x0, x1, m, count(*) AS seen FROM f GROUP BY ALL), u AS (SELECT k.*, s.i AS last, f.i AS mu FROM k JOIN s USING (c0, c1, x0, x1, m) JOIN f USING (c0, c1, x0, x1, m, a, b) WHERE s.i = k.seen)
+SELECT p_partkey, u.mu AS mu, u.seen - u.mu AS lam, (SELECT a FROM s WHERE s.c0 = u.c0 AND s.c1 = u.c1 AND s.x0 = u.x0 AND s.m = u.m AND s.i = CASE WHEN 1000 + p_partkey < u.mu THEN 1000 + p_partkey ELSE u.mu + (1000 + p_partkey - u.mu) % (u.seen - u.mu) END) AS term
+FROM part JOIN u ON u.c0 = 1 + p_partkey % 3 AND u.c1 = p_size % 4 AND u.x0 = p_partkey % 2 AND u.m = 2 + p_size % 11""")
+def recurrence_cycles(t):
+    """Second-order recurrences modulo small numbers: where they begin to repeat and after how many terms, and a far term by matrix powers."""
+    g = t.part.select("p_partkey", F.array(1 + F.col("p_partkey") % 3, F.col("p_size") % 4).cast("array<bigint>").alias("coeffs"), F.array(F.col("p_partkey") % 2, F.lit(1)).cast("array<bigint>").alias("init"), (2 + F.col("p_size") % 11).cast("bigint").alias("m"))
+    shapes = g.select("coeffs", "init", "m").distinct().withColumn("shape", F.to_json(F.struct("coeffs", "init", "m")))
+    found = shapes.join(Y.cycles(shapes, "shape", "coeffs", "init", "m"), "shape").drop("shape")
+    each = g.join(found, ["coeffs", "init", "m"]).withColumn("n", (1000 + F.col("p_partkey")).cast("bigint"))
+    return each.select("p_partkey", "mu", "lam", Y.recurrence_term(F.col("coeffs"), F.col("init"), F.col("n"), F.col("m")).alias("term"))
