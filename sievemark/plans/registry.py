@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, checking, contracting, controlling, digital, tokens, evaluating, fields, joining, linking, modelling, quantising, ranking, retrieving, summarising, validating  # noqa: F401  (they register their queries)
+from . import cells, checking, contracting, controlling, digital, tokens, evaluating, fields, gridding, joining, linking, modelling, quantising, ranking, retrieving, summarising, validating  # noqa: F401  (they register their queries)
 from .query import QUERIES, SQL
 
 
