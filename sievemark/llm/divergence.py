@@ -30,7 +30,8 @@ _AS_TERMS[65:91] = np.arange(97, 123)
 SCALE = 1_000_000_000
 SKETCH_ROWS, SKETCH_BITS, BLOCK_BITS = 3, 20, 16
 #: Bytes of text that are tokenised at once; rows that a task pre-aggregates before it passes them on.
-SLICE_BYTES, KEPT_ROWS = 2 << 20, 400_000
+SLICE_BYTES, KEPT_ROWS = 1 << 20, 400_000
+BATCH_ROWS = 50_000
 #: A term in more sources is joined in parts, each with so many of the sources on one side.
 PART_SOURCES = 1_024
 TOP_TERMS = 200
@@ -141,9 +142,10 @@ def term_counts(docs: DataFrame, min_docs: int = 3) -> DataFrame:
                 if sum(map(len, waiting)) > KEPT_ROWS:
                     waiting = [_added(waiting, keys)]
                     if len(waiting[0]) > KEPT_ROWS // 2:
-                        yield from waiting.pop().combine_chunks().to_batches()
+                        yield from waiting.pop().combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
+                    ragged.release()
         if waiting:
-            yield from _added(waiting, keys).combine_chunks().to_batches()
+            yield from _added(waiting, keys).combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
 
     counted = docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return materialize(counted.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
