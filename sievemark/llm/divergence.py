@@ -180,11 +180,12 @@ def divergence(docs: DataFrame, min_docs: int = 3, top_terms: int = TOP_TERMS) -
     """
     docs = _columns(docs)
     exact = term_counts(docs, min_docs)
-    kept = exact.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("in_docs"), F.count("*").alias("holders")).filter(F.col("in_docs") >= min_docs)
-    kept = materialize(kept.select("lang", "term", "lang_n", "holders"))
-    held = materialize(exact.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n", "holders"))
+    # A term's rows are its sources: one shuffle gives what the language has of it, beside each.
+    term = Window.partitionBy("lang", "term")
+    counted = exact.select("lang", "source", "term", "n", F.sum("n").over(term).alias("lang_n"), F.sum("docs").over(term).alias("in_docs"), F.count("*").over(term).alias("holders"), (F.row_number().over(term.orderBy("source")) == 1).alias("first"))
+    held = materialize(counted.filter(F.col("in_docs") >= min_docs).drop("in_docs"))
 
-    langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
+    langs = held.filter("first").groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "terms", "lang_total"])
     groups = materialize(groups.withColumn("none", F.when(F.col("terms") > 0, _weight(F.lit(0).cast("long"), F.col("total"), F.col("terms")))))
