@@ -50,14 +50,22 @@ def task_type(payload: Column) -> Column:
     return F.coalesce(by_keys, by_text)
 
 
-def lane(task: Column, risk: Column, budget: Column) -> Column:
-    """struct(route_family, reason): high risk and a full budget come first; a task without a cheap guarded path is escalated."""
+def lane_reason(task: Column, outcome: Column, checked: Column, kept: Column, cheap: Column, router: str = "element") -> Column:
+    """Why a guarded lane decides as it does: the residues' outcome, the tokens that the router keeps and routes cheaply, or what the checker said (checked)."""
+    share = F.format_string("%.3f", cheap / F.greatest(kept + cheap, F.lit(1)))
+    routed = F.when(kept > 0, F.concat(F.lit(f"{router} route keeps "), kept.cast("string"), F.lit(" tokens and routes "), share, F.lit(" cheap"))).otherwise("token route produced empty keep set")
+    return F.when(task == "arithmetic", F.concat(F.lit("residue verifier returned "), outcome)).when(task == "long_context_qa", routed).otherwise(checked)
+
+
+def lane(task: Column, risk: Column, budget: Column, said: Column | None = None) -> Column:
+    """struct(route_family, reason): high risk and a full budget come first; a task without a cheap guarded path is escalated; said is the lane's own lane_reason()."""
+    said = F.concat(F.lit("guarded lane of "), task) if said is None else said
     family = F.create_map(*(F.lit(x) for pair in LANES.items() for x in pair))
     return (
         F.when(risk == "high", F.struct(F.lit("full_compute").alias("route_family"), F.lit("risk=high forces FULL_COMPUTE_WITH_VALIDATOR").alias("reason")))
         .when(budget == "full", F.struct(F.lit("full_compute").alias("route_family"), F.lit("budget=full prefers full compute").alias("reason")))
         .when(~task.isin("arithmetic", "json_schema", "python_code", "tool_call", "grounded_qa", "long_context_qa", "retrieval"), F.struct(F.lit("full_compute").alias("route_family"), F.lit("unknown task has no safe guarded cheap path").alias("reason")))
-        .otherwise(F.struct(F.element_at(family, task).alias("route_family"), F.concat(F.lit("guarded lane of "), task).alias("reason")))
+        .otherwise(F.struct(F.element_at(family, task).alias("route_family"), said.alias("reason")))
     )
 
 
@@ -107,6 +115,7 @@ def repaired(decisions: DataFrame, attempts: DataFrame, most: int = 2) -> DataFr
     return d.select("decision_id", count.cast("long").alias("tried"), F.when(can & done, F.col("first_ok")).cast("long").alias("attempt"), F.when(can & done, "repair").when(exact, "full_compute").otherwise(F.when(can, "repair").otherwise("escalate")).alias("action"), F.when(can & done, "repaired").otherwise("escalated").alias("final_status"), reason.alias("reason"))
 
 
+#: The sentences of repair prompts are those that models were asked with.
 def repair_prompt(domain: Column, verdict: Column, shown: Column, reason: Column, prompt: Column) -> Column:
     """What a repairing model is asked, by domain and verdict."""
     unread = verdict == UNCHECKABLE

@@ -8,15 +8,20 @@ from ..functions import contracts as C
 from .query import query
 from .tokens import _ELEMENT, _LIST, _Q
 
-_EXTRACTION = """CASE event_id % 7 WHEN 0 THEN '{"role": " claim ", "entities": "A; b;a", "operative_status": "active", "relation": "asserts", "answer_relevant": "yes"}' WHEN 1 THEN '{"role": "POET", "entities": [], "relation": "sings"}' WHEN 2 THEN '{"error": "x"}'
-    WHEN 3 THEN '{}' WHEN 4 THEN '{"role": "RESULT", "entities": ["X", " x ", "y"], "rationale": "r"}' WHEN 5 THEN '{"role": "CLAIM", "rationale": "Max retries exceeded"}' ELSE '{"entities": "k", "answer_relevant": "perhaps"}' END"""
+_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
+_ROLE = f"CASE WHEN {_K} > 60 THEN ' claim ' WHEN {_K} > 40 THEN upper(event_type) WHEN {_K} > 20 THEN 'RESULT' ELSE 'BACKGROUND' END"
+_EXTRACTION = f"""CASE WHEN user_id % 11 = 0 THEN '{{"error": "' || event_type || '"}}' WHEN user_id % 11 = 1 THEN '{{"k": ' || {_K} || '}}' ELSE '{{"role": "' || {_ROLE} || '", "entities": ' || CASE WHEN user_id % 2 = 0 THEN '"' || upper(event_type) || '; u' || user_id || ';' || event_type || '"' ELSE '["U' || user_id || '", " u' || user_id || ' "]' END
+    || ', "operative_status": "' || CASE WHEN value > 20 THEN 'active' ELSE 'idle' END || '", "relation": "' || CASE WHEN {_K} % 2 = 0 THEN 'asserts' ELSE event_type || 's' END || '", "rationale": "' || CASE WHEN value > 100 THEN 'Max retries exceeded' ELSE 'r' END || '"}}' END"""
+_GOT = "trim(coalesce(json_extract_string(s, '$.{n}'), '{d}'))"
 
 
-@query("""
-SELECT event_id, ['CLAIM', 'POET', 'BACKGROUND', 'BACKGROUND', 'RESULT', 'CLAIM', 'BACKGROUND'][1 + event_id % 7] AS role, ['a+b', '', '', '', 'x+y', '', 'k'][1 + event_id % 7] AS entities, event_id % 7 IN (0, 4) AS valid,
-       ['', 'invalid role: POET; invalid relation: sings', 'provider_error_like_output', 'default_empty_extraction', '', 'provider_error_like_output', 'invalid answer_relevant: PERHAPS'][1 + event_id % 7] AS errors FROM events""")
+@query(f"""
+WITH x AS (SELECT event_id, user_id, event_type, {_EXTRACTION} AS s FROM events), f AS (SELECT *, upper({_GOT.format(n='role', d='BACKGROUND')}) AS role, upper({_GOT.format(n='operative_status', d='DESCRIPTIVE')}) AS status, {_GOT.format(n='relation', d='sets_context')} AS relation, {_GOT.format(n='rationale', d='')} AS rationale,
+    CASE WHEN NOT contains(s, '"entities"') THEN [] WHEN user_id % 2 = 0 THEN [event_type, 'u' || user_id] ELSE ['u' || user_id] END AS es FROM x),
+e AS (SELECT *, CASE WHEN contains(s, '"error"') OR contains(lower(s), 'max retries exceeded') THEN ['provider_error_like_output'] ELSE list_filter([CASE WHEN NOT contains(s, '"role"') THEN 'default_empty_extraction' END, CASE WHEN role NOT IN ({_LIST(C.ROLES)}) THEN 'invalid role: ' || role END, CASE WHEN status NOT IN ({_LIST(C.STATUSES)}) THEN 'invalid operative_status: ' || status END, CASE WHEN relation NOT IN ({_LIST(C.RELATIONS)}) THEN 'invalid relation: ' || relation END], lambda y: y IS NOT NULL) END AS errors FROM f)
+SELECT event_id, role, array_to_string(es, '+') AS entities, len(errors) = 0 AS valid, array_to_string(errors, '; ') AS errors FROM e""")
 def validated_extractions(t):
-    """Extractions in seven shapes, normalised, with what is wrong with each."""
+    """Extractions made of events, normalised, with what is wrong with each."""
     e = t.events.select("event_id", C.extraction(F.expr(_EXTRACTION)).alias("e"))
     return e.select("event_id", "e.role", F.array_join("e.entities", "+").alias("entities"), "e.valid", F.array_join("e.errors", "; ").alias("errors"))
 

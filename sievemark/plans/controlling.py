@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 from ..operators import control as C
 from .query import query
 
-_TASKS = list(C.LANES)
-_TASK = "['" + "', '".join(_TASKS) + "'][1 + event_id % 9]"
-_RISK = "CASE WHEN event_id % 7 = 0 THEN 'high' ELSE 'low' END"
-_BUDGET = "CASE WHEN event_id % 10 = 3 THEN 'full' ELSE 'balanced' END"
-_OUTCOME = "CASE event_id % 5 WHEN 0 THEN 'accept' WHEN 1 THEN 'RULED_OUT_WRONG' WHEN 2 THEN 'NOT_RULED_OUT' WHEN 3 THEN 'FULL_COMPUTE' ELSE 'UNCHECKABLE' END"
-_VALIDATOR = "CASE event_id % 4 WHEN 0 THEN 'answer_span_recall_guard' WHEN 1 THEN '' ELSE 'residue' END"
-_D = f"""d AS (SELECT event_id, {_TASK} AS task, {_RISK} AS risk, {_BUDGET} AS budget, {_OUTCOME} AS outcome, {_VALIDATOR} AS validator FROM events),
+#: A decision's parts out of an event: its task by type and user, its risk and budget by value, its outcome and validator by the number in its properties.
+_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
+_TASK = "CASE event_type WHEN 'click' THEN 'arithmetic' WHEN 'view' THEN 'json_schema' WHEN 'purchase' THEN 'python_code' WHEN 'signup' THEN CASE WHEN user_id % 2 = 0 THEN 'grounded_qa' ELSE 'tool_call' END ELSE CASE user_id % 4 WHEN 0 THEN 'long_context_qa' WHEN 1 THEN 'unknown' WHEN 2 THEN 'extraction' ELSE 'retrieval' END END"
+_RISK = "CASE WHEN value > 40 THEN 'high' ELSE 'low' END"
+_BUDGET = "CASE WHEN value < 1 THEN 'full' ELSE 'balanced' END"
+_OUTCOME = f"CASE WHEN {_K} > 75 THEN 'RULED_OUT_WRONG' WHEN {_K} > 40 THEN 'NOT_RULED_OUT' WHEN {_K} > 25 THEN 'accept' WHEN {_K} > 15 THEN 'FULL_COMPUTE' ELSE 'UNCHECKABLE' END"
+_VALIDATOR = f"CASE {_K} % 4 WHEN 0 THEN 'answer_span_recall_guard' WHEN 1 THEN '' ELSE 'residue' END"
+_D = f"""d AS (SELECT event_id, {_K} AS k, {_TASK} AS task, {_RISK} AS risk, {_BUDGET} AS budget, {_OUTCOME} AS outcome, {_VALIDATOR} AS validator FROM events),
 v AS (SELECT *, CASE outcome WHEN 'accept' THEN 'NOT_RULED_OUT' WHEN 'FULL_COMPUTE' THEN 'UNCHECKABLE' ELSE outcome END AS verdict FROM d),
 p AS (SELECT *, CASE WHEN risk = 'high' OR task = 'unknown' OR verdict = 'UNCHECKABLE' THEN 'escalate' WHEN verdict = 'RULED_OUT_WRONG' THEN 'reject' ELSE 'accept' END AS action FROM v)"""
 
 
 def _decisions(t):
-    task = F.get(F.array(*map(F.lit, _TASKS)), (F.col("event_id") % 9).cast("int"))
-    d = t.events.select("event_id", task.alias("task"), F.expr(_RISK).alias("risk"), F.expr(_BUDGET).alias("budget"), F.expr(_OUTCOME).alias("outcome"), F.expr(_VALIDATOR).alias("validator"))
+    d = t.events.select("event_id", F.expr(_K).alias("k"), F.expr(_TASK).alias("task"), F.expr(_RISK).alias("risk"), F.expr(_BUDGET).alias("budget"), F.expr(_OUTCOME).alias("outcome"), F.expr(_VALIDATOR).alias("validator"))
     v = d.withColumn("verdict", C.verdict_of(F.col("outcome")))
     return v.select("*", C.policy(F.col("verdict"), F.col("task"), F.col("risk")).alias("p")).select(*v.columns, "p.*")
 
@@ -28,10 +28,11 @@ def _decisions(t):
 @query(f"""
 WITH {_D} SELECT event_id, verdict, action, CASE action WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' ELSE 'escalated' END AS final_status, action <> 'accept' AS blocking,
        CASE WHEN risk = 'high' OR budget = 'full' OR task IN ('unknown', 'extraction') THEN 'full_compute' WHEN task = 'arithmetic' THEN 'digital_residue' WHEN task IN ('json_schema', 'tool_call', 'python_code') THEN 'sound_checker' WHEN task = 'grounded_qa' THEN 'grounding' WHEN task = 'retrieval' THEN 'embedding' ELSE 'token_element' END AS route_family,
-       CASE WHEN risk = 'high' THEN 'risk=high forces FULL_COMPUTE_WITH_VALIDATOR' WHEN budget = 'full' THEN 'budget=full prefers full compute' WHEN task IN ('unknown', 'extraction') THEN 'unknown task has no safe guarded cheap path' ELSE 'guarded lane of ' || task END AS reason FROM p""")
+       CASE WHEN risk = 'high' THEN 'risk=high forces FULL_COMPUTE_WITH_VALIDATOR' WHEN budget = 'full' THEN 'budget=full prefers full compute' WHEN task IN ('unknown', 'extraction') THEN 'unknown task has no safe guarded cheap path' WHEN task = 'arithmetic' THEN 'residue verifier returned ' || outcome WHEN task = 'long_context_qa' AND k = 0 THEN 'token route produced empty keep set' WHEN task = 'long_context_qa' THEN 'element route keeps ' || k || ' tokens and routes ' || printf('%.3f', (100 - k) / 100.0) || ' cheap' ELSE 'checked by ' || validator END AS reason FROM p""")
 def harness_policy(t):
     """Outcome to verdict, verdict, task and risk to action, and the lane that each decision takes."""
-    return _decisions(t).select("event_id", "verdict", "action", "final_status", "blocking", C.lane(F.col("task"), F.col("risk"), F.col("budget")).alias("l")).select("event_id", "verdict", "action", "final_status", "blocking", "l.*")
+    said = C.lane_reason(F.col("task"), F.col("outcome"), F.concat(F.lit("checked by "), "validator"), F.col("k"), 100 - F.col("k"))
+    return _decisions(t).select("event_id", "verdict", "action", "final_status", "blocking", C.lane(F.col("task"), F.col("risk"), F.col("budget"), said).alias("l")).select("event_id", "verdict", "action", "final_status", "blocking", "l.*")
 
 
 @query(f"""
@@ -45,15 +46,15 @@ def escalation_targets(t):
     return d.withColumn("target", target).select("event_id", "target", C.unguarded(F.col("action"), F.col("validator"), F.col("target")).alias("unguarded"))
 
 
-_CHECKS = "list_filter([{'checker': 'a', 'verdict': CASE WHEN event_id % 3 = 0 THEN 'RULED_OUT_WRONG' ELSE 'NOT_RULED_OUT' END, 'reason': 'a' || event_id % 4}, {'checker': 'b', 'verdict': CASE event_id % 4 WHEN 0 THEN 'RULED_OUT_WRONG' WHEN 1 THEN 'UNCHECKABLE' ELSE 'NOT_RULED_OUT' END, 'reason': 'b'}, {'checker': 'c', 'verdict': 'UNCHECKABLE', 'reason': 'c'}], lambda x: (event_id + ascii(x.checker)) % 5 > 1)"
+_CHECKS = "list_filter([{'checker': 'a', 'verdict': CASE WHEN k % 3 = 0 THEN 'RULED_OUT_WRONG' ELSE 'NOT_RULED_OUT' END, 'reason': 'a' || k % 4}, {'checker': 'b', 'verdict': CASE k % 4 WHEN 0 THEN 'RULED_OUT_WRONG' WHEN 1 THEN 'UNCHECKABLE' ELSE 'NOT_RULED_OUT' END, 'reason': 'b'}, {'checker': 'c', 'verdict': 'UNCHECKABLE', 'reason': 'c'}], lambda x: (k + ascii(x.checker)) % 5 > 1)"
 
 
 def _checks():
-    e = F.col("event_id")
+    k = F.col("k")
     one = lambda name, verdict, reason: F.struct(F.lit(name).alias("checker"), verdict.alias("verdict"), reason.alias("reason"))
-    a = one("a", F.when(e % 3 == 0, C.WRONG).otherwise(C.OPEN), F.concat(F.lit("a"), (e % 4).cast("string")))
-    b = one("b", F.when(e % 4 == 0, C.WRONG).when(e % 4 == 1, C.UNCHECKABLE).otherwise(C.OPEN), F.lit("b"))
-    return F.filter(F.array(a, b, one("c", F.lit(C.UNCHECKABLE), F.lit("c"))), lambda x: (e + F.ascii(x["checker"])) % 5 > 1)
+    a = one("a", F.when(k % 3 == 0, C.WRONG).otherwise(C.OPEN), F.concat(F.lit("a"), (k % 4).cast("string")))
+    b = one("b", F.when(k % 4 == 0, C.WRONG).when(k % 4 == 1, C.UNCHECKABLE).otherwise(C.OPEN), F.lit("b"))
+    return F.filter(F.array(a, b, one("c", F.lit(C.UNCHECKABLE), F.lit("c"))), lambda x: (k + F.ascii(x["checker"])) % 5 > 1)
 
 
 _N = lambda v: f"len(list_filter(checks, lambda x: x.verdict = '{v}'))"
@@ -99,13 +100,18 @@ def repair_prompts(t):
     return _decisions(t).select("event_id", C.repair_prompt(F.col("task"), F.col("verdict"), F.col("event_id").cast("string"), F.lit("off"), F.lit("p")).alias("prompt"))
 
 
-_PAYLOAD = """CASE event_id % 14 WHEN 0 THEN '{"task_type": "retrieval"}' WHEN 1 THEN '{"tool_call": {}}' WHEN 2 THEN '{"name": "x", "args": {}}' WHEN 3 THEN '{"answer": "a", "source": "b"}' WHEN 4 THEN '{"expr": "1+1", "claimed_answer": 2}' WHEN 5 THEN '{"raw": "x", "schema": {}}' WHEN 6 THEN '{"code": "x"}' WHEN 7 THEN '{"passage": "p", "question": "q"}'
-    WHEN 8 THEN '{"query": "q", "corpus": []}' WHEN 9 THEN 'what is 2^10 mod 7' WHEN 10 THEN 'see ```x```' WHEN 11 THEN 'is this a question that has more than eight words in it?' WHEN 12 THEN 'a bare query' ELSE '' END"""
+_PAYLOAD = f"""CASE user_id % 14 WHEN 0 THEN '{{"task_type": "retrieval", "k": ' || {_K} || '}}' WHEN 1 THEN '{{"tool_call": ' || props || '}}' WHEN 2 THEN '{{"name": "' || event_type || '", "args": ' || props || '}}' WHEN 3 THEN '{{"answer": "' || event_type || '", "source": ' || props || '}}' WHEN 4 THEN '{{"expr": "' || user_id || '*' || {_K} || '", "claimed_answer": ' || event_id || '}}'
+    WHEN 5 THEN '{{"raw": "' || event_type || '", "schema": ' || props || '}}' WHEN 6 THEN '{{"code": "' || event_type || '"}}' WHEN 7 THEN '{{"passage": "' || event_type || '", "question": ""}}' WHEN 8 THEN '{{"query": "' || event_type || '", "corpus": []}}' WHEN 9 THEN 'what is ' || user_id || '^' || {_K} || ' mod 7' WHEN 10 THEN 'see ```' || event_type || '```'
+    WHEN 11 THEN 'is a ' || event_type || ' of user ' || user_id || ' a question that has more than eight words?' WHEN 12 THEN 'a bare ' || event_type ELSE CASE WHEN {_K} % 2 = 0 THEN '' ELSE repeat(event_type || ' ', 13) END END"""
 
 
-@query("SELECT event_id, ['retrieval', 'tool_call', 'tool_call', 'grounded_qa', 'arithmetic', 'json_schema', 'python_code', 'long_context_qa', 'retrieval', 'arithmetic', 'python_code', 'long_context_qa', 'retrieval', 'unknown'][1 + event_id % 14] AS task FROM events")
+@query(rf"""
+WITH p AS (SELECT event_id, {_PAYLOAD} AS s FROM events), j AS (SELECT *, CASE WHEN starts_with(s, '{{') THEN json_keys(s) ELSE [] END AS ks FROM p)
+SELECT event_id, CASE WHEN starts_with(s, '{{') THEN CASE WHEN list_contains(ks, 'task_type') THEN json_extract_string(s, '$.task_type') WHEN list_contains(ks, 'tool_call') OR list_has_all(ks, ['name', 'args']) THEN 'tool_call' WHEN list_has_all(ks, ['answer', 'source']) THEN 'grounded_qa' WHEN list_has_all(ks, ['expr', 'claimed_answer']) THEN 'arithmetic'
+    WHEN list_has_all(ks, ['raw', 'schema']) THEN 'json_schema' WHEN list_contains(ks, 'code') THEN 'python_code' WHEN list_has_all(ks, ['passage', 'question']) THEN 'long_context_qa' WHEN list_has_all(ks, ['query', 'corpus']) THEN 'retrieval' END
+    WHEN regexp_matches(s, '\bmod [0-9]+\b') THEN 'arithmetic' WHEN contains(s, '```') THEN 'python_code' WHEN contains(s, '?') AND len(string_split(trim(s), ' ')) > 8 THEN 'long_context_qa' WHEN trim(s) <> '' AND len(string_split(trim(s), ' ')) <= 12 THEN 'retrieval' ELSE 'unknown' END AS task FROM j""")
 def payload_tasks(t):
-    """The task that each payload states, in fourteen shapes."""
+    """The task that each payload made of an event states, by its keys, else by the shape of its text."""
     return t.events.select("event_id", C.task_type(F.expr(_PAYLOAD)).alias("task"))
 
 
@@ -122,24 +128,9 @@ def guard_counts(t):
     return C.guard_counters(rows).withColumn("guard_trigger_rate", F.round("guard_trigger_rate", 6))
 
 
-@query(" UNION ALL ".join("SELECT '{}' AS checker, '{}' AS coverage, '{}' AS blind_spot".format(*(x.replace("'", "''") for x in row)) for row in C.COVERAGE))
-def checker_coverage(t):
-    return C.coverage_report(t.spark)
-
-
 @query("""
 WITH o AS (SELECT conv_id, 'm' || turn % 3 AS model, min(text) AS output FROM conversations GROUP BY 1, 2) SELECT p.conv_id AS prompt_id, m.model, o.output, o.output IS NOT NULL AS available FROM (SELECT DISTINCT conv_id FROM conversations) p CROSS JOIN (VALUES ('m0'), ('m1'), ('m2'), ('m3')) m(model) LEFT JOIN o ON o.conv_id = p.conv_id AND o.model = m.model""")
 def model_comparison(t):
     """Every prompt under every model; those without output stay visible."""
     outputs = t.conversations.select(F.col("conv_id").alias("prompt_id"), F.concat(F.lit("m"), (F.col("turn") % 3).cast("string")).alias("model"), F.col("text").alias("output"))
     return C.compared(t.conversations.select(F.col("conv_id").alias("prompt_id")).distinct(), outputs, ["m0", "m1", "m2", "m3"])
-
-
-@query("""
-WITH s AS (SELECT conv_id AS run_id, turn + 1 AS step, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'refused' END AS error, CASE WHEN (conv_id + turn) % 2 = 0 THEN 'again' END AS repair_error FROM conversations WHERE turn < 3), j AS (SELECT *, CASE WHEN error IS NULL THEN 'ready' WHEN repair_error IS NULL THEN 'repaired' ELSE 'escalated' END AS final_status FROM s)
-SELECT run_id, step, error, repair_error, final_status FROM j WHERE NOT EXISTS (SELECT 1 FROM j k WHERE k.run_id = j.run_id AND k.step < j.step AND k.final_status = 'escalated')""")
-def agent_traces(t):
-    """Bounded steps behind the firewall; a run ends at its first escalation."""
-    c, n = F.col("conv_id"), F.col("turn")
-    p = t.conversations.select(c.alias("run_id"), (n + 1).alias("step"), F.when((c + n) % 3 == 0, "refused").alias("error"), F.when((c + n) % 2 == 0, "again").alias("repair_error"))
-    return C.agent_steps(p, most=3)

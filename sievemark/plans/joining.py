@@ -25,18 +25,11 @@ def split_overlap(t):
     return t.customer.select("c_custkey").join(urgent, "c_custkey", "left_semi")
 
 
-@query("""
-WITH e AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 <> 0), g AS (SELECT DISTINCT doc_id FROM labels)
-SELECT coalesce(e.doc_id, g.doc_id) AS doc_id, CASE WHEN e.doc_id IS NULL THEN 'unknown' WHEN g.doc_id IS NULL THEN 'missing' ELSE 'matched' END AS status FROM e FULL JOIN g ON e.doc_id = g.doc_id""")
-def reconcile_outputs(t):
-    return J.reconcile(t.documents.filter("doc_id % 3 <> 0"), t.labels, "doc_id")
-
-
 @query("""
 WITH e AS (SELECT DISTINCT doc_id FROM documents), g AS (SELECT DISTINCT doc_id FROM labels)
 SELECT coalesce(e.doc_id, g.doc_id) AS doc_id, CASE WHEN e.doc_id IS NULL THEN 'unknown' WHEN g.doc_id IS NULL THEN 'missing' ELSE 'matched' END AS status FROM e FULL JOIN g ON e.doc_id = g.doc_id""")
 def reconcile_all_outputs(t):
-    """As reconcile_outputs, of all documents with all labels."""
+    """All documents reconciled with all labels."""
     return J.reconcile(t.documents, t.labels, "doc_id")
 
 

@@ -16,21 +16,6 @@ def _labelled(t):
     return t.documents.select("doc_id", T.terms(F.col("text")).alias("ts")).join(t.labels.select("doc_id", F.col("quality").alias("role")), "doc_id")
 
 
-@query(f"""
-WITH {_ROWS}, e AS (SELECT doc_id, role, len(ts) AS n, unnest(ts) AS term FROM x), c AS (SELECT doc_id, role, term, count(*)::DOUBLE / max(n) AS tf FROM e GROUP BY 1, 2, 3),
-i AS (SELECT term, ln((1 + (SELECT count(*) FROM x WHERE doc_id % 5 <> 0)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM c WHERE doc_id % 5 <> 0 GROUP BY 1),
-w AS (SELECT doc_id, role, term, tf * coalesce(idf, 1.0) AS w FROM c LEFT JOIN i USING (term)), m AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1), v AS (SELECT doc_id, role, term, w / norm AS w FROM w JOIN m USING (doc_id)),
-g AS (SELECT role, term, sum(w) AS w FROM v WHERE doc_id % 5 <> 0 GROUP BY 1, 2), h AS (SELECT role, sqrt(sum(w * w)) AS norm FROM g GROUP BY 1),
-s AS (SELECT v.doc_id, g.role, sum(v.w * g.w) / max(h.norm) AS score FROM v JOIN g USING (term) JOIN h ON h.role = g.role WHERE v.doc_id % 5 = 0 GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, role) AS k FROM s)
-SELECT doc_id, role AS predicted, round(score, 6) AS score FROM r WHERE k = 1""")
-def centroid_predictions(t):
-    """Nearest centroid by cosine, fitted on four folds and applied to the fifth; a term unseen in training has an idf of 1."""
-    x = _labelled(t)
-    model = centroids.fit(x.filter("doc_id % 5 <> 0"), "doc_id", "role", "ts")
-    return centroids.predict(model, x.filter("doc_id % 5 = 0"), "doc_id", "ts").select("doc_id", F.col("role").alias("predicted"), F.round("score", 6).alias("score"))
-
-
 _FOLDS = f"""WITH {_ROWS}, f AS (SELECT unnest(range(5)) AS fold), e AS (SELECT doc_id, doc_id % 5 AS own, role, unnest(ts) AS term FROM x),
 c AS (SELECT fold, role, term, count(*) AS n FROM e JOIN f ON own <> fold GROUP BY 1, 2, 3), z AS (SELECT fold, role, sum(n) AS total FROM c GROUP BY 1, 2), v AS (SELECT fold, count(DISTINCT term) AS v FROM c GROUP BY 1),
 p AS (SELECT fold, role, count(*) AS docs FROM x JOIN f ON doc_id % 5 <> fold GROUP BY 1, 2), pt AS (SELECT fold, sum(docs) AS docs FROM p GROUP BY 1), tt AS (SELECT doc_id, own AS fold, term, count(*) AS k FROM e GROUP BY 1, 2, 3),
@@ -53,7 +38,7 @@ def naive_bayes_folds(t):
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, role) AS k, lead(score) OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, role) AS second FROM s)
 SELECT doc_id, role AS predicted, round(score - second, 3) AS margin FROM r WHERE k = 1""")
 def naive_bayes_fold_margins(t):
-    """As naive_bayes_margin, of every document by the model of the other four folds."""
+    """Multinomial Naive Bayes and its margin over the second label, of every document by the model of the other four folds."""
     x = _labelled(t).withColumn("fold", F.col("doc_id") % 5)
     return bayes.cross_validated(x, "doc_id", "role", "ts", "fold").select("doc_id", F.col("role").alias("predicted"), F.round("margin", 3).alias("margin"))
 

@@ -63,16 +63,6 @@ def keyword_top_k(t):
     return J.ranked(scored, ["item_id"], F.desc(F.round("score", 9)), F.asc("doc_id")).filter("rank <= 5").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""
-WITH q AS (SELECT item_id, unnest({_WORDS.format(c='text')}) AS w, len({_WORDS.format(c='text')}) AS n FROM benchmark), d AS (SELECT doc_id, unnest({_WORDS.format(c='text')}) AS w FROM documents),
-s AS (SELECT item_id, doc_id, count(*) / (sqrt(max(n)) + 1e-9) AS score FROM q JOIN d USING (w) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
-g AS (SELECT r.item_id, min(rank) FILTER (WHERE contains(d.text, b.text)) AS hit FROM r JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE rank <= 10 GROUP BY 1)
-SELECT count(*) AS queries, round(avg(CASE WHEN hit <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_1, round(avg(CASE WHEN hit <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_10, round(avg(coalesce(1.0 / hit, 0)), 6) AS mrr FROM g""")
-def retrieval_scores(t):
-    """Hit@K and mean reciprocal rank; a document that holds the item's whole text counts as right."""
-    return _hit_scores(_first_hits(t))
-
-
 def _first_hits(t):
     words = lambda c: F.array_distinct(T.keywords(F.col(c)))
     q = t.benchmark.select("item_id", words("text").alias("ws")).select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
@@ -141,33 +131,6 @@ def _exact(t):
     return J.ranked(scored, ["q"], F.desc(F.round("score", 9)), F.asc("vec_id"))
 
 
-_BITS = "SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS b FROM embeddings"
-_BANDS = "bands AS (SELECT vec_id, i AS band, CAST(list_sum(list_transform(range(8), lambda j: b[i * 8 + j + 1] * (1 << (7 - j)::INTEGER))) AS BIGINT) AS value FROM bits, (SELECT unnest(range(8)) AS i))"
-
-
-@query(f"WITH bits AS ({_BITS}), {_BANDS} SELECT vec_id, band, value FROM bands")
-def lsh_bands(t):
-    return _bands(t).select("vec_id", "band", "value")
-
-
-def _bands(t):
-    bits = t.embeddings.select("vec_id", R.sign_bits(F.col("embedding")).alias("b"))
-    return bits.select("vec_id", F.explode(R.band_values(F.col("b"), 8, 8)).alias("x")).select("vec_id", F.col("x.band").cast("long").alias("band"), F.col("x.value").cast("long").alias("value"))
-
-
-@query(f"""
-WITH bits AS ({_BITS}), {_BANDS}, {_VEC}, c AS (SELECT DISTINCT a.vec_id AS q, b.vec_id AS vec_id FROM bands a JOIN bands b ON a.band = b.band AND a.value = b.value AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
-s AS (SELECT c.q, c.vec_id, {_COS} AS score FROM c JOIN e a ON a.vec_id = c.q JOIN e b ON b.vec_id = c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
-SELECT q, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""")
-def lsh_route_search(t):
-    """Candidates share a band with the query; exact cosine ranks them."""
-    return _routed(t).filter("rank <= 10").select("q", "vec_id", F.round("score", 5).alias("score"), "rank")
-
-
-def _routed(t):
-    return _ranked_candidates(t, _bands(t))
-
-
 def _candidates(bands):
     q = bands.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "q")
     return bands.join(q, ["band", "value"]).filter("q <> vec_id").select("q", "vec_id").distinct()
@@ -179,15 +142,6 @@ def _ranked_candidates(t, bands):
     return J.ranked(scored, ["q"], F.desc(F.round("score", 9)), F.asc("vec_id"))
 
 
-@query(f"""
-{_NEAR}, bits AS ({_BITS}), {_BANDS}, c AS (SELECT DISTINCT a.vec_id AS q, b.vec_id AS vec_id FROM bands a JOIN bands b ON a.band = b.band AND a.value = b.value AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
-SELECT r.q, round(count(c.vec_id) / 10.0, 6) AS recall FROM r LEFT JOIN c ON c.q = r.q AND c.vec_id = r.vec_id WHERE r.rank <= 10 GROUP BY 1""")
-def recall_at_ten(t):
-    exact = _exact(t).filter("rank <= 10").select("q", "vec_id")
-    routed = _routed(t).select("q", "vec_id", F.lit(1).alias("hit"))
-    return exact.join(routed, ["q", "vec_id"], "left").groupBy("q").agg(F.round(F.count("hit") / F.lit(10.0), 6).alias("recall"))
-
-
 _PLANES = """pl AS (SELECT p, list_transform(range((SELECT max(len(embedding)) FROM embeddings)), lambda d: CASE WHEN md5(p || '|' || d)[1] >= '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS pv FROM (SELECT unnest(range({n})) AS p)),
 side AS (SELECT vec_id, p, list_dot_product(v, pv) >= 0 AS up FROM e, pl)"""
 #: Bands and bits a band of the projected index: 0.97 of the true ten nearest on sf0.1 (0.59 with the 6 bands of 4 that are usual).
@@ -200,7 +154,7 @@ c AS (SELECT DISTINCT a.vec_id AS q, b.vec_id AS vec_id FROM bands a JOIN bands
 WITH {_VEC}, {_PROJECTED}, s AS (SELECT c.q, c.vec_id, {_COS} AS score FROM c JOIN e a ON a.vec_id = c.q JOIN e b ON b.vec_id = c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
 SELECT q, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""")
 def projected_route_search(t):
-    """As lsh_route_search, with bands of projections on random planes over all dimensions."""
+    """Candidates share a band of projections on random planes over all dimensions with the query; exact cosine ranks them."""
     return _ranked_candidates(t, _projected_bands(t)).filter("rank <= 10").select("q", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
@@ -218,18 +172,6 @@ def projected_recall_at_ten(t):
     return exact.join(routed, ["q", "vec_id"], "left").groupBy("q").agg(F.round(F.count("hit") / F.lit(10.0), 6).alias("recall"))
 
 
-@query(f"""
-WITH bits AS ({_BITS}), w AS (SELECT vec_id, CAST(list_sum(list_transform(range(32), lambda j: b[j + 1]::BIGINT * (1::BIGINT << (31 - j)::INTEGER))) AS BIGINT) AS code FROM bits)
-SELECT a.vec_id AS q, b.vec_id AS vec_id, CAST(bit_count(xor(a.code, b.code)) AS BIGINT) AS distance FROM w a JOIN w b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND bit_count(xor(a.code, b.code)) <= 9""")
-def simhash_neighbours(t):
-    """32 sign bits packed in one number; Hamming distance by exclusive or and bit count."""
-    code = F.aggregate(F.slice(R.sign_bits(F.col("embedding")), 1, 32), F.lit(0).cast("long"), lambda s, b: s * 2 + b)
-    w = t.embeddings.select("vec_id", code.alias("code"))
-    q = w.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("code").alias("qc"))
-    distance = F.bit_count(F.col("code").bitwiseXOR(F.col("qc"))).cast("long")
-    return w.join(q, (F.col("q") != F.col("vec_id")) & (distance <= 9)).select("q", "vec_id", distance.alias("distance"))
-
-
 #: Planes of the projected code, and the distance that keeps 0.97 to 0.98 of the true ten nearest on sf0.001 and sf0.01 (0.03 and 0.12 with 32 signs).
 SIMHASH_PLANES, SIMHASH_DISTANCE = 256, 117
 
@@ -238,25 +180,9 @@ SIMHASH_PLANES, SIMHASH_DISTANCE = 256, 117
 WITH {_VEC}, {_PLANES.format(n=SIMHASH_PLANES)}
 SELECT a.vec_id AS q, b.vec_id AS vec_id, count(*) FILTER (WHERE a.up <> b.up) AS distance FROM side a JOIN side b ON a.p = b.p AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1, 2 HAVING distance <= {SIMHASH_DISTANCE}""")
 def projected_simhash_neighbours(t):
-    """As simhash_neighbours, with one bit for each of 256 random planes over all dimensions, packed in four numbers."""
+    """One bit for each of 256 random planes over all dimensions, packed in four numbers; Hamming distance by exclusive or and bit count."""
     words = SIMHASH_PLANES // 64
     w = t.embeddings.select("vec_id", R.projected_words(F.col("embedding"), words, 64).alias("code"))
     q = w.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("code").alias("qc"))
     distance = sum((F.bit_count(F.get("code", F.lit(i)).bitwiseXOR(F.get("qc", F.lit(i)))) for i in range(words)), F.lit(0)).cast("long")
     return w.join(q, (F.col("q") != F.col("vec_id")) & (distance <= SIMHASH_DISTANCE)).select("q", "vec_id", distance.alias("distance"))
-
-
-_NB = f"""WITH x AS (SELECT d.doc_id, l.quality AS role, {_TERMS.format(c='d.text')} AS ts FROM documents d JOIN labels l USING (doc_id)), tr AS (SELECT * FROM x WHERE doc_id % 5 <> 0), te AS (SELECT * FROM x WHERE doc_id % 5 = 0),
-p AS (SELECT role, count(*) AS docs FROM tr GROUP BY 1), c AS (SELECT role, term, count(*) AS n FROM (SELECT role, unnest(ts) AS term FROM tr) GROUP BY 1, 2), z AS (SELECT role, sum(n) AS total FROM c GROUP BY 1), vocab AS (SELECT count(DISTINCT term) AS v FROM c),
-tt AS (SELECT doc_id, term, count(*) AS k FROM (SELECT doc_id, unnest(ts) AS term FROM te) GROUP BY 1, 2),
-s AS (SELECT tt.doc_id, p.role, sum(tt.k * (ln(coalesce(c.n, 0) + 1) - ln(z.total + vocab.v))) AS ll FROM tt CROSS JOIN p JOIN z USING (role) CROSS JOIN vocab LEFT JOIN c ON c.role = p.role AND c.term = tt.term GROUP BY 1, 2),
-f AS (SELECT s.doc_id, s.role, s.ll + ln(p.docs::DOUBLE / (SELECT sum(docs) FROM p)) AS score FROM s JOIN p USING (role)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, role) AS k, lead(score) OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, role) AS second FROM f)
-SELECT doc_id, role AS predicted, round(score - second, 3) AS margin FROM r WHERE k = 1"""
-
-
-@query(_NB)
-def naive_bayes_margin(t):
-    """Multinomial Naive Bayes (add one), trained on four folds and applied to the fifth; margin to the second label."""
-    x = t.documents.select("doc_id", T.terms(F.col("text")).alias("ts")).join(t.labels.select("doc_id", F.col("quality").alias("role")), "doc_id")
-    model = bayes.fit(x.filter("doc_id % 5 <> 0"), "role", "ts")
-    return bayes.predict(model, x.filter("doc_id % 5 = 0"), "doc_id", "ts").select("doc_id", F.col("role").alias("predicted"), F.round("margin", 3).alias("margin"))
