@@ -1,6 +1,7 @@
 """Trained operators by held-out accuracy, and every operator on empty tables and loose rows."""
 
 import importlib.util
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -175,3 +176,20 @@ def test_kept_rows_are_those_judged_kept(spark, sf_dir, documents):
         assert kept.schema == documents.schema
         assert ids(kept) == ids(judged.filter("kept")) != []
         assert sorted(map(repr, kept.collect())) == sorted(map(repr, documents.join(judged.filter("kept"), "doc_id", "left_semi").select(*documents.columns).collect()))
+
+
+def test_flattened_trees_score_as_a_walk_through_them_does():
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(400, 4)), 1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    trees = quality_rules.grow(x, y, np.array([1, 0, 0, -1]), trees=12)
+    inner = trees.feature.shape[1]
+    asked = np.concatenate([x, rng.normal(scale=4, size=(100, 4)), trees.cut[:, :1].repeat(4, 1)[np.isfinite(trees.cut[:, 0])]])
+    for row, score in zip(asked, trees.score(asked)):
+        total = trees.base
+        for feature, cut, value in zip(trees.feature, trees.cut, trees.value):
+            node = 0
+            while node < inner:
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += value[node - inner]
+        assert score == pytest.approx(1 / (1 + math.exp(-total)))
