@@ -19,8 +19,8 @@ def _all(text: Column, pattern: str) -> Column:
 
 
 def claims(answer: Column) -> Column:
-    """The checkable tokens of an answer: array of struct(token, element), citations left out."""
-    plain = F.filter(_all(answer, TOKENS), lambda k: ~k.startswith("["))
+    """The checkable tokens of an answer, each once: array of struct(token, element), citations left out."""
+    plain = F.array_distinct(F.filter(_all(answer, TOKENS), lambda k: ~k.startswith("[")))
     return F.filter(F.transform(plain, lambda k: F.struct(k.alias("token"), element(k).alias("element"))), lambda x: x["element"].isin("ENTITY", "NUMBER", "DATE"))
 
 
@@ -33,15 +33,19 @@ def check(answer: Column, source: Column, keys: Column | None = None, require_ci
 
     keys: an array of names of sources; naming one counts as a citation.
     """
-    low = F.lower(F.coalesce(source, F.lit("")))
-    found = claims(answer)
-    missing = lambda kinds: F.transform(F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda x: x["element"].isin(*kinds) & ~F.contains(low, F.lower(x["token"]))), lambda x: F.struct(F.lower(x["token"]).alias("low"), x["token"].alias("token"))))), lambda x: x["token"])
+    # Tagging tokens and finding content is the work: each is done once.
+    parts = F.struct(claims(answer).alias("found"), F.lower(F.coalesce(source, F.lit(""))).alias("low"), F.arrays_overlap(content(answer), content(source)).alias("shared"))
+    return F.element_at(F.transform(F.array(parts), lambda p: _checked(answer, p["found"], p["low"], p["shared"], keys, require_citation)), 1)
+
+
+def _checked(answer: Column, found: Column, low: Column, shared: Column, keys: Column | None, require_citation: bool) -> Column:
+    missing = lambda kinds: F.transform(F.array_sort(F.transform(F.filter(found, lambda x: x["element"].isin(*kinds) & ~F.contains(low, F.lower(x["token"]))), lambda x: F.struct(F.lower(x["token"]).alias("low"), x["token"].alias("token")))), lambda x: x["token"])
     entities, quantities = missing(["ENTITY"]), missing(["NUMBER", "DATE"])
     named = F.exists(keys, lambda k: (k != "") & F.contains(F.lower(answer), F.lower(k))) if keys is not None else F.lit(False)
     cited = F.coalesce(answer, F.lit("")).rlike(CITATION) | F.coalesce(named, F.lit(False))
     reasons = [
         F.when(F.size(entities) > 0, F.concat(F.lit("missing entities: "), F.array_join(entities, ", "))), F.when(F.size(quantities) > 0, F.concat(F.lit("missing numbers/dates: "), F.array_join(quantities, ", "))),
-        F.when(~cited, "missing citation marker") if require_citation else F.lit(None).cast("string"), F.when(~F.arrays_overlap(content(answer), content(source)), "no non-trivial evidence overlap"),
+        F.when(~cited, "missing citation marker") if require_citation else F.lit(None).cast("string"), F.when(~shared, "no non-trivial evidence overlap"),
     ]
     failed = F.array_compact(F.array(*reasons))
     nothing = F.size(found) == 0

@@ -18,19 +18,28 @@ def numeric_means(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(*(F.avg(c).alias(c) for c in columns))
 
 
+#: Rows that a group may have to be sorted as a whole.
+SORTED_ROWS = 2_000_000
+
+
 def nearest_ranks(df: DataFrame, by: str, value: str, shares: dict[str, float], parts: int = 100) -> DataFrame:
     """by and, under each name of shares, the value at the place round-half-even((n - 1) * share) of the sorted values (nulls left out).
 
-    Approximate bounds cut each group into parts; counts tell in which part a place lies, and only such parts are sorted, so
+    Where all rows are SORTED_ROWS at most, groups are sorted as they are. Beyond, with the same result, approximate bounds cut each group into parts; counts tell in which part a place lies, and only such parts are sorted, so
     that no task sees a whole group. The groups themselves are few (one row of bounds is broadcast for each).
     """
     known = df.filter(F.col(value).isNotNull()).select(F.struct(F.col(by).alias("k")).alias("g"), F.col(value).alias("v"))  # a struct: null groups join too
+    at = lambda n, q: F.bround((n - 1) * F.lit(q), 0).cast("long")
+    if known.count() <= SORTED_ROWS:
+        own = Window.partitionBy("g")
+        sorted_ = known.select("g", "v", (F.row_number().over(own.orderBy("v")) - 1).alias("place"), F.count("*").over(own).alias("n"))
+        return sorted_.groupBy("g").agg(*(F.max(F.when(F.col("place") == at(F.col("n"), q), F.col("v"))).alias(k) for k, q in shares.items())).select(F.col("g.k").alias(by), *shares)
     bounds = known.groupBy("g").agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 20 * parts).alias("bounds"))
     placed = known.join(F.broadcast(bounds), "g").select("g", "v", F.size(F.filter("bounds", lambda b: b < F.col("v"))).alias("part"))
     counts = placed.groupBy("g", "part").agg(F.count("*").alias("n"))
     w = Window.partitionBy("g")
     before = counts.withColumn("before", F.sum("n").over(w.orderBy("part")) - F.col("n")).withColumn("all", F.sum("n").over(w))
-    wanted = F.array(*(F.struct(F.lit(k).alias("share"), F.bround((F.col("all") - 1) * F.lit(q), 0).cast("long").alias("at")) for k, q in shares.items()))
+    wanted = F.array(*(F.struct(F.lit(k).alias("share"), at(F.col("all"), q).alias("at")) for k, q in shares.items()))
     asked = before.select("g", "part", "before", "n", F.explode(wanted).alias("w")).filter((F.col("w.at") >= F.col("before")) & (F.col("w.at") < F.col("before") + F.col("n"))).select("g", "part", F.col("w.share").alias("share"), (F.col("w.at") - F.col("before") + 1).alias("place"))
     inside = placed.join(F.broadcast(asked.select("g", "part").distinct()), ["g", "part"])
     numbered = inside.withColumn("place", F.row_number().over(Window.partitionBy("g", "part").orderBy("v")).cast("long"))

@@ -118,7 +118,9 @@ def test_repair_and_traces(spark):
     assert got == {1: (3, "full_compute", "escalated"), 2: (0, "escalate", "escalated"), 3: (1, "repair", "escalated"), 4: (2, "repair", "repaired")}
 
 
-def test_nearest_ranks_are_those_of_sorted_values(spark):
+@pytest.mark.parametrize("sorted_rows", [0, 10**6])
+def test_nearest_ranks_are_those_of_sorted_values(spark, sorted_rows, monkeypatch):
+    monkeypatch.setattr(summaries, "SORTED_ROWS", sorted_rows)
     rng = random.Random(6)
     values = {g: [rng.choice([rng.random(), 0.5, 7.0]) for _ in range(n)] for g, n in (("a", 1), ("b", 4), ("c", 2_001))}
     rows = [(g, v) for g, vs in values.items() for v in vs] + [(None, 1.0), ("a", None)]
