@@ -22,7 +22,8 @@ from .common import materialize
 
 #: About so many training texts of each language at most, chosen by the hash of the id; rounds of expectation-maximisation.
 TRAIN_ROWS, ROUNDS = 1_200, 3
-#: Longest piece and longest word part in code points (longer words are scored in parts), and the probability of an unknown sign.
+#: Longest piece in code points; longest word that is scored side by side with others (longer ones are stepped through alone, and training
+#: takes them in parts); and the probability of an unknown sign.
 PIECE_CHARS, WORD_CHARS, UNKNOWN = 16, 32, 1e-8
 #: Words whose agreement makes a prediction certain: the score is the posterior of a text of so many words at most.
 SCORE_WORDS = 12
@@ -140,11 +141,45 @@ class Lattice:
         return out
 
 
-def letter_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct lower-cased words of letters (parts of WORD_CHARS at most); for each part of a piece its word and its piece."""
+#: Places of a long word whose pieces are looked up at once.
+_BLOCK = 1 << 16
+
+
+def long_word(word: str, p: np.ndarray, path: str) -> np.ndarray:
+    """Log probability [language] of a word of any length: the forward sums of the last PIECE_CHARS places go with it, and are scaled before they vanish."""
+    points = np.frombuffer((chr(BEGIN) + word).encode("utf-32-le"), np.uint32).astype(np.int64)
+    tree, logs, sums = pieces(path), np.zeros(p.shape[1]), np.zeros((PIECE_CHARS, p.shape[1]))
+    sums[0] = 1  # sums[j]: of all ways to come to the place j signs before the last one
+    for low in range(0, len(points), _BLOCK):
+        high = min(low + _BLOCK, len(points))
+        found = np.full((high - low + 1, PIECE_CHARS), -1)  # [end of a piece, its length less 1]
+        start = np.arange(max(0, low - PIECE_CHARS + 1), high)
+        node = np.zeros(len(start), np.int64)
+        for length in range(1, PIECE_CHARS + 1):
+            node = tree.step(node, points[start + length - 1])
+            start, node = start[node >= 0], node[node >= 0]
+            inside = start + length > low
+            found[start[inside] + length - low, length - 1] = tree.number[node[inside]]
+            more = start + length < high
+            start, node = start[more], node[more]
+        for at in found[1:]:
+            gain = p[at]
+            gain[1:][at[1:] < 0] = 0
+            now = (sums * gain).sum(0)
+            sums[1:] = sums[:-1]
+            sums[0] = now
+            if now.min() < 1e-30:
+                logs += np.log(now)
+                sums /= now
+    return logs + np.log(sums[0])
+
+
+def letter_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int | None = WORD_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct lower-cased words of letters, in parts of most signs (None: whole); for each part of a piece its word and its piece."""
     raw = data.tobytes()
     texts = [raw[a:b].decode().strip().lower().lstrip("'") for a, b in zip(starts.tolist(), ends.tolist())]
-    parts = [[w[i : i + WORD_CHARS] for i in range(0, len(w), WORD_CHARS)] if w.isalpha() else [] for w in texts]
+    cut = lambda w: [w] if most is None else [w[i : i + most] for i in range(0, len(w), most)]
+    parts = [cut(w) if w.isalpha() else [] for w in texts]
     places: dict[str, int] = {}
     flat = np.array([places.setdefault(x, len(places)) for p in parts for x in p], np.int64)
     return list(places), flat, np.repeat(np.arange(len(parts)), np.array([len(p) for p in parts], np.int64))
@@ -175,8 +210,13 @@ class Scorer:
 
     def _add(self, data: np.ndarray, names: pretokens.Names, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Score new words; their places in self.logs and self.parts."""
-        words, flat, piece = letter_parts(data, starts, ends)
-        logs = np.concatenate([self.logs[:0], *(Lattice(words[i : i + LATTICE_WORDS], self.path).words(self.p) for i in range(0, len(words), LATTICE_WORDS))])
+        words, flat, piece = letter_parts(data, starts, ends, None)
+        short, long = ([i for i, w in enumerate(words) if (len(w) > WORD_CHARS) == far] for far in (False, True))
+        logs = np.zeros((len(words), self.p.shape[1]))
+        for i in range(0, len(short), LATTICE_WORDS):
+            logs[short[i : i + LATTICE_WORDS]] = Lattice([words[j] for j in short[i : i + LATTICE_WORDS]], self.path).words(self.p)
+        for i in long:
+            logs[i] = long_word(words[i], self.p, self.path)
         own = np.column_stack([np.bincount(piece, logs[flat, k], len(names)) for k in range(self.p.shape[1])])
         at = len(self.logs) + np.arange(len(names))
         self.known.add(names, at)

@@ -193,3 +193,24 @@ def test_flattened_trees_score_as_a_walk_through_them_does():
                 node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
             total += value[node - inner]
         assert score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+@pytest.mark.parametrize("size, block", [(33, 1 << 16), (100, 1 << 16), (100, 7), (1_500, 64)])
+def test_long_words_are_scored_by_the_plain_forward_sum(size, block, monkeypatch):
+    monkeypatch.setattr(language_id, "_BLOCK", block)
+    path = P.path("piece_bpe_32k.model")
+    names = language_id.pieces(path).names
+    number = {n: i for i, n in enumerate(names)}
+    rng = np.random.default_rng(size)
+    p = np.vstack([rng.random((len(names), 2)) / 1_000, np.full((1, 2), language_id.UNKNOWN)])
+    word = "".join(rng.choice(["the", "haus", "water", "q", "é", "語", "tion"], size))[:size]
+    marked = chr(language_id.BEGIN) + word
+    f = [0.0] + [-math.inf] * len(marked)
+    for b in range(1, len(marked) + 1):
+        terms = [f[a] + math.log(p[number.get(marked[a:b], -1), 1]) for a in range(max(0, b - language_id.PIECE_CHARS), b) if marked[a:b] in number or b == a + 1]
+        top = max(terms)
+        f[b] = top + math.log(sum(math.exp(t - top) for t in terms))
+    assert language_id.long_word(word, p, path)[1] == pytest.approx(f[-1], rel=1e-9)
+    data = word.encode()
+    total, n = language_id.Scorer(p, path)(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert total[0, 1] == pytest.approx(f[-1], rel=1e-9) and n[0] == 1
