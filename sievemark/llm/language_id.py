@@ -185,11 +185,11 @@ def letter_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: i
     return list(places), flat, np.repeat(np.arange(len(parts)), np.array([len(p) for p in parts], np.int64))
 
 
-def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+def letter_words(data: np.ndarray, offsets: np.ndarray, most: int | None = WORD_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """As letter_parts of all pre-tokens: distinct words, and for each occurrence its word and its text."""
     starts, first = pretokens.cut(data, offsets)
     names, s, e, back = pretokens.distinct(data, starts)
-    words, flat, piece = letter_parts(data, s, e)
+    words, flat, piece = letter_parts(data, s, e, most)
     size = np.bincount(piece, minlength=len(names))
     begin = np.cumsum(size) - size
     n = size[back]

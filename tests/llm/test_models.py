@@ -158,8 +158,10 @@ def test_kept_word_scores_equal_direct_sums():
     scorer = language_id.Scorer(p / p.sum(0), path)
     for texts in (["", "Hello hello world's 12 x" + "ab" * 40, "123 !!"], ["hello again", "été"]):
         ((lo, hi, data, offsets),) = ragged.slices(pa.array(texts))
-        words, word, owner = language_id.letter_words(data, offsets)
+        words, word, owner = language_id.letter_words(data, offsets, None)
         logs = language_id.Lattice(words, path).words(scorer.p)
+        for i in (i for i, w in enumerate(words) if len(w) > language_id.WORD_CHARS):
+            logs[i] = language_id.long_word(words[i], scorer.p, path)
         total, seen = scorer(data, offsets)
         assert np.allclose(total, np.column_stack([np.bincount(owner, logs[word, k], hi - lo) for k in range(3)]))
         assert (seen == np.bincount(owner, minlength=hi - lo)).all()
