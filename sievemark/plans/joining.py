@@ -82,9 +82,15 @@ WITH c AS (SELECT s.s_suppkey, p.p_partkey, p.p_size, p.p_size % 5 = s.s_suppkey
 m AS (SELECT *, max(CASE WHEN strict THEN 1 ELSE 0 END) OVER (PARTITION BY s_suppkey) AS found FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY p_size DESC, p_partkey) AS k FROM m WHERE strict OR found = 0)
 SELECT s_suppkey, p_partkey, p_size, strict FROM r WHERE k <= 3""")
 def candidates_with_fallback(t):
-    pairs = t.supplier.join(t.part, F.col("s_nationkey") == F.col("p_size") % 25)
-    c = pairs.select("s_suppkey", "p_partkey", "p_size", ((F.col("p_size") % 5 == F.col("s_suppkey") % 5) & (F.col("p_retailprice") > 1000)).alias("strict"))
-    return J.pick(J.with_fallback(c, "s_suppkey", "strict"), "s_suppkey", F.desc("p_size"), F.asc("p_partkey"), n=3)
+    """A supplier's candidates hang on its nation and its key modulo 5 alone: three of each such group are kept before suppliers meet them, so that pairs aren't made."""
+    strict = (F.col("p_size") % 5 == F.col("s_suppkey") % 5) & (F.col("p_retailprice") > 1000)
+    parts = t.part.select("p_partkey", "p_size", "p_retailprice", (F.col("p_size") % 25).alias("s_nationkey"), (F.col("p_size") % 5).alias("fifth"))
+    first = lambda df, *key: J.pick(df, list(key), F.desc("p_size"), F.asc("p_partkey"), n=3)
+    suppliers = t.supplier.select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 5).alias("fifth"))
+    fields = ["s_suppkey", "p_partkey", "p_size", strict.alias("strict")]
+    met = suppliers.join(first(parts.filter("p_retailprice > 1000"), "s_nationkey", "fifth"), ["s_nationkey", "fifth"]).select(*fields)
+    other = suppliers.join(first(parts.drop("fifth"), "s_nationkey"), "s_nationkey").select(*fields).filter(~F.coalesce("strict", F.lit(False)))
+    return J.pick(J.with_fallback(met.unionByName(other), "s_suppkey", "strict"), "s_suppkey", F.desc("p_size"), F.asc("p_partkey"), n=3)
 
 
 @query("""
