@@ -14,11 +14,12 @@ from pyspark.sql import types as St
 from .tables import pick
 
 
-def term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """key, term, tf (share of the key's tokens). The tokens are bound once, so that no row cuts its whole text again."""
+def term_counts(df: DataFrame, key: str | list[str], tokens: Column) -> DataFrame:
+    """key (or keys), term, tf (share of the key's tokens). The tokens are bound once, so that no row cuts its whole text again."""
+    keys = [key] if isinstance(key, str) else key
     sized = F.flatten(F.transform(F.array(tokens), lambda ts: F.transform(ts, lambda term: F.struct(F.size(ts).alias("size"), term.alias("term")))))
-    each = df.select(key, F.inline(sized))
-    return each.groupBy(key, "term").agg((F.count("*") / F.max("size")).alias("tf"))
+    each = df.select(*keys, F.inline(sized))
+    return each.groupBy(*keys, "term").agg((F.count("*") / F.max("size")).alias("tf"))
 
 
 def smoothed_idf(n: Column, df: Column) -> Column:

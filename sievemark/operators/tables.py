@@ -50,6 +50,11 @@ def ranked(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long"))
 
 
+def top(df: DataFrame, key: list[str], *order: Column, n: int) -> DataFrame:
+    """The first n rows of each key with their rank: tasks cut to n before a key's rows meet."""
+    return ranked(pick(df, key, *order, n=n), key, *order)
+
+
 def placed(df: DataFrame, group: str, block: Column, *order: Column) -> DataFrame:
     """df with place (from 0, in the given order inside each group) and whole (the group's rows).
 
@@ -74,3 +79,19 @@ def split_by_position(df: DataFrame, group: str, block: Column, *order: Column,
 def with_fallback(candidates: DataFrame, key: str, strict: str) -> DataFrame:
     """The strict rows of each key; all its rows where none is strict."""
     return candidates.withColumn("any_strict", F.max(F.col(strict).cast("int")).over(Window.partitionBy(key))).filter(F.col(strict) | (F.col("any_strict") == 0)).drop("any_strict")
+
+
+#: Keys with one in so many of all rows are joined by broadcast: they are at most as many.
+HOT_KEYS = 4_096
+
+
+def often(counted: DataFrame, key: str, rows: str, keys: int = HOT_KEYS) -> DataFrame:
+    """The keys, of a table with one row and a count (rows) for each, that hold one in keys of all rows or more."""
+    total = counted.agg(F.sum(rows).alias("hot_total"))  # one row
+    return counted.crossJoin(F.broadcast(total)).filter(F.col(rows) * keys >= F.col("hot_total")).select(key)
+
+
+def join_often(rows: DataFrame, table: DataFrame, on: str | list[str], hot: DataFrame, key: str) -> DataFrame:
+    """rows joined with table: what has a hot key (a table of few keys) meets it by broadcast where it lies, only the rest is shuffled. rows is read twice and should be written."""
+    hot = F.broadcast(hot)
+    return rows.join(F.broadcast(table.join(hot, key, "left_semi")), on).unionByName(rows.join(hot, key, "left_anti").join(table, on))

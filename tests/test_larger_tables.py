@@ -28,3 +28,14 @@ def test_fallback_candidates_are_cut_before_the_join(spark, tmp_path):
     plan = plan_of(found)
     # Every way from a part to a join leads through a limit of its group.
     assert plan.count("WindowGroupLimit") >= 3
+
+
+@pytest.mark.parametrize("name, most", [("centroid_fold_predictions", 0), ("naive_bayes_folds", 0), ("naive_bayes_fold_margins", 0), ("tfidf_top_k", 2)])
+def test_texts_are_cut_into_terms_once(name, most, spark, sf_dir):
+    """What follows the count reads written terms; tfidf_top_k cuts its few questions again."""
+    assert plan_of(registry.queries()[name](spark, sf_dir)).count("Generate ") <= most
+
+
+@pytest.mark.parametrize("name", ["keyword_top_k", "retrieval_scores_of_all", "tfidf_top_k"])
+def test_no_task_ranks_all_documents_of_a_question(name, spark, sf_dir):
+    assert "WindowGroupLimit" in plan_of(registry.queries()[name](spark, sf_dir))
