@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables
+from .written import written
+
 
 @dataclass
 class Model:
@@ -41,10 +44,11 @@ def predict(model: Model, rows: DataFrame, key: str, tokens: str) -> DataFrame:
 def cross_validated(rows: DataFrame, key: str, role: str, tokens: str, fold: str) -> DataFrame:
     """key, fold, role, score, margin of every row by the model of the other folds: one count of everything, less the fold's own."""
     rows = rows.select(key, F.col(fold).alias("fold"), F.col(role).alias("own"), F.col(tokens).alias("ts"))
-    terms = rows.select(key, "fold", "own", F.explode("ts").alias("term")).groupBy(key, "fold", "own", "term").agg(F.count("*").alias("k"))
-    held = terms.groupBy("fold", F.col("own").alias("role"), "term").agg(F.sum("k").alias("n_held"))
+    # The counts of a text lie together, so that a task sums most of it itself.
+    terms = written(rows.repartition(key).select(key, "fold", "own", F.explode("ts").alias("term")).groupBy(key, "fold", "own", "term").agg(F.count("*").alias("k")))
+    held = written(terms.groupBy("fold", F.col("own").alias("role"), "term").agg(F.sum("k").alias("n_held"), F.count("*").alias("rows")))
     every = held.groupBy("role", "term").agg(F.sum("n_held").alias("n"))
-    apart = terms.groupBy("term").agg(F.count_distinct("fold").alias("folds"), F.min("fold").alias("fold"))
+    apart = held.groupBy("term").agg(F.count_distinct("fold").alias("folds"), F.min("fold").alias("fold"))
     only = apart.filter("folds = 1").groupBy("fold").agg(F.count("*").alias("n_only"))
     whole = apart.agg(F.count("*").alias("v"))
     docs = rows.groupBy("fold", F.col("own").alias("role")).agg(F.count("*").alias("d_held"))
@@ -55,8 +59,11 @@ def cross_validated(rows: DataFrame, key: str, role: str, tokens: str, fold: str
     grid = grid.join(docs, ["fold", "role"], "left").join(sums, ["fold", "role"], "left").join(only, "fold", "left").fillna(0, zero).crossJoin(F.broadcast(whole))
     grid = grid.select("fold", "role", (F.col("d") - F.col("d_held")).alias("docs"), F.log(F.col("t") - F.col("t_held") + F.col("v") - F.col("n_only")).alias("floor")).filter("docs > 0")
     grid = grid.withColumn("prior", F.log(F.col("docs") / F.sum("docs").over(Window.partitionBy("fold"))))
-    seen = terms.join(every, "term").join(held, ["fold", "role", "term"], "left").withColumn("left_n", F.col("n") - F.coalesce("n_held", F.lit(0)))
-    gains = seen.groupBy(key, "fold", "role").agg(F.sum(F.col("k") * F.log(F.col("left_n") + F.lit(1.0))).alias("gain"))
+    rest = every.crossJoin(F.broadcast(held.select("fold").distinct())).join(held.select("fold", "role", "term", "n_held"), ["fold", "role", "term"], "left").withColumn("left_n", F.col("n") - F.coalesce("n_held", F.lit(0)))
+    gain = written(rest.filter("left_n > 0").select("fold", "role", "term", F.log(F.col("left_n") + F.lit(1.0)).alias("gain")))
+    hot = tables.often(held.groupBy("term").agg(F.sum("rows").alias("rows")), "term", "rows")
+    seen = tables.join_often(terms.select(key, "fold", "term", "k"), gain, ["fold", "term"], hot, "term")
+    gains = seen.groupBy(key, "fold", "role").agg(F.sum(F.col("k") * F.col("gain")).alias("gain"))
     sizes = terms.groupBy(key, "fold").agg(F.sum("k").alias("size"))
     scored = sizes.join(F.broadcast(grid), "fold").join(gains, [key, "fold", "role"], "left")
     scored = scored.withColumn("score", F.coalesce("gain", F.lit(0.0)) - F.col("size") * F.col("floor") + F.col("prior"))
