@@ -21,6 +21,8 @@ SCALE = 65_536
 ROUNDS = 8
 #: Vectors that a task holds against the codes at once, and vectors of a block of a search.
 SLICE_ROWS, BLOCK_ROWS = 2_048, 4_096
+#: Tasks among which a search deals its blocks, and queries whose scores a task holds at once.
+SPREAD, QUERY_ROWS = 64, 256
 
 
 def fixed(vectors: pa.Array) -> np.ndarray:
@@ -133,7 +135,65 @@ def _blocks(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.select("group", *fields).mapInArrow(run, "group long, " + ", ".join(f"{f} array<{types[f]}>" for f in fields))
 
 
-def shortlists(codes: DataFrame, asked: DataFrame, key: str, books: np.ndarray, limit: int) -> DataFrame:
+def met_blocks(held: DataFrame, held_fields: list[str], asked: DataFrame, asked_fields: list[str], spread: int = SPREAD) -> DataFrame:
+    """Blocks of held rows beside blocks of asked ones of their group: the held blocks are dealt into spread tasks a group, to each of which the asked ones, few beside them, are copied."""
+    buckets = F.pmod(F.xxhash64(F.get(held_fields[0], F.lit(0))), F.lit(spread))
+    left = _blocks(held, held_fields).withColumn("bucket", buckets)
+    right = _blocks(asked, asked_fields).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    return left.hint("merge").join(right, ["group", "bucket"]).drop("group", "bucket")
+
+
+def nearest(held: DataFrame, asked: DataFrame, k: int, bands: bool = False) -> DataFrame:
+    """query, key, score: the k rows of the highest cosine to each query (ties at nine digits go to the smaller key), never the query itself.
+
+    held: key, vector; asked: query, vector; with bands each has bands too (numbers under 256), and only rows that have
+    one in common with the query count. Blocks meet blocks, so that a task holds two of them whatever the tables' sizes;
+    of each pair of blocks k rows a query go on. Null vectors are left out; all have one length.
+    """
+    fields = ["vector", "bands"] if bands else ["vector"]
+    everywhere = lambda df: df.filter("vector IS NOT NULL").withColumn("group", F.lit(0).cast("long"))
+    as_bytes = lambda df: df.withColumn("bands", F.transform("bands", lambda x: x.cast("smallint"))) if bands else df
+    renamed = lambda df: as_bytes(everywhere(df)).withColumnsRenamed({f: f"asked_{f}" for f in fields})
+    key_type, query_type = held.schema["key"].dataType.simpleString(), asked.schema["query"].dataType.simpleString()
+    met = met_blocks(as_bytes(everywhere(held)), ["key", *fields], renamed(asked), ["query", *(f"asked_{f}" for f in fields)])
+
+    def unit(lists: pa.Array) -> np.ndarray:
+        v = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+        return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+    def small(lists: pa.Array) -> np.ndarray:
+        return lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(len(lists), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                of = lambda c: b.column(c)[i].values  # noqa: B023, E731
+                keys, queries = of("key"), of("query")
+                ids, wanted, found = keys.to_numpy(), queries.to_numpy(), []
+                rows = unit(of("vector"))
+                if bands:
+                    codes, own = small(of("bands")), small(of("asked_bands"))
+                for lo in range(0, len(wanted), QUERY_ROWS):
+                    scores = unit(of("asked_vector").slice(lo, QUERY_ROWS)) @ rows.T
+                    for q, far in enumerate(scores, lo):
+                        other = ids != wanted[q]
+                        if bands:
+                            other &= (codes == own[q]).any(1)
+                        other = np.flatnonzero(other)
+                        if len(other) > k:
+                            least = np.partition(far[other], -k)[-k]
+                            other = other[far[other] >= least - 2e-9]
+                        best = other[np.lexsort((ids[other], -np.round(far[other], 9)))[:k]]
+                        found.append((np.full(len(best), q), best, far[best]))
+                if found:
+                    at, best, far = (np.concatenate(x) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays([queries.take(pa.array(at)), keys.take(pa.array(best)), pa.array(far)], ["query", "key", "score"])
+
+    found = met.mapInArrow(run, f"query {query_type}, key {key_type}, score double")
+    return pick(found, "query", F.desc(F.round("score", 9)), F.asc("key"), n=k)
+
+
+def shortlists(codes: DataFrame, asked: DataFrame, key: str, books: np.ndarray, limit: int, spread: int = SPREAD) -> DataFrame:
     """query, key, distance: the limit nearest keys of each query by its distance tables; ties go to the smaller key.
 
     codes: group, key, codes; asked: group, query, vector. Blocks of queries meet blocks of codes of their group: a
@@ -142,7 +202,7 @@ def shortlists(codes: DataFrame, asked: DataFrame, key: str, books: np.ndarray,
     """
     parts, _, width = books.shape
     key_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((codes, key), (asked, "query")))
-    met = _blocks(codes.withColumnRenamed(key, "key"), ["key", "codes"]).join(_blocks(asked, ["query", "vector"]), "group")
+    met = met_blocks(codes.withColumnRenamed(key, "key"), ["key", "codes"], asked, ["query", "vector"], spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,13 +210,17 @@ def shortlists(codes: DataFrame, asked: DataFrame, key: str, books: np.ndarray,
                 keys, raw, queries, vectors = (b.column(c)[i].values for c in ("key", "codes", "query", "vector"))
                 held = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, parts)
                 wanted = fixed(vectors)
-                tables = _distances(wanted.reshape(-1, parts, width), books)
+                tables = _distances(wanted.reshape(-1, parts, width), books).reshape(len(wanted), -1)
                 own = encode(wanted, books)
-                ranks = np.argsort(np.argsort(keys.to_numpy(), kind="stable"), kind="stable")
+                ids = keys.to_numpy()
+                ranks = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+                places = np.ascontiguousarray(held.T.astype(np.int64) + np.arange(parts)[:, None] * books.shape[1])
                 for q in range(len(queries)):
-                    far = 2 * tables[q][np.arange(parts), held].sum(1)
+                    far = 2 * tables[q].take(places).sum(0)
                     far[(held == own[q]).all(1)] //= 2
-                    other = np.flatnonzero(keys.to_numpy() != queries[q].as_py())
+                    other = np.flatnonzero(ids != queries[q].as_py())
+                    if len(other) > limit:
+                        other = other[far[other] <= np.partition(far[other], limit - 1)[limit - 1]]
                     best = other[np.lexsort((ranks[other], far[other]))[:limit]]
                     yield pa.RecordBatch.from_arrays([pa.array([queries[q].as_py()] * len(best), queries.type), keys.take(pa.array(best)), pa.array(far[best])], ["query", "key", "distance"])
 
@@ -186,7 +250,7 @@ def quantised_search(df: DataFrame, asked: DataFrame, key: str, vector: str, boo
     else:
         first = lambda c: F.ascii(F.unhex(F.hex(c))).cast("long")
         placed = coded(df, key, vector, lists).select(key, first("codes").alias("group"))
-        found = shortlists(codes.join(placed, key), _probed(asked, lists, probes), key, books, k * shortlist_mult)
+        found = shortlists(codes.join(placed, key), _probed(asked, lists, probes), key, books, k * shortlist_mult, max(1, SPREAD // lists.shape[1]))
     return reranked(found, df, asked, key, vector, k)
 
 

@@ -63,7 +63,7 @@ def _ranked(found):
 
 
 def _recall(t, short):
-    exact = _exact(t).filter("rank <= 10").select("q", "vec_id")
+    exact = _exact(t).select("q", "vec_id")
     found = short.select(F.col("query").alias("q"), "vec_id")
     sizes = found.groupBy("q").agg(F.count("*").alias("candidates"))
     hits = exact.join(found.withColumn("hit", F.lit(1)), ["q", "vec_id"], "left").groupBy("q").agg(F.round(F.count("hit") / F.lit(10.0), 6).alias("recall"))

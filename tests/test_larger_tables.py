@@ -39,3 +39,10 @@ def test_texts_are_cut_into_terms_once(name, most, spark, sf_dir):
 @pytest.mark.parametrize("name", ["keyword_top_k", "retrieval_scores_of_all", "tfidf_top_k"])
 def test_no_task_ranks_all_documents_of_a_question(name, spark, sf_dir):
     assert "WindowGroupLimit" in plan_of(registry.queries()[name](spark, sf_dir))
+
+
+@pytest.mark.parametrize("name", ["exact_cosine_top_k", "projected_recall_at_ten", "projected_route_search", "quantised_search", "quantised_recall"])
+def test_searches_are_dealt_to_many_tasks_in_blocks(name, spark, sf_dir):
+    """No join of single rows by pairs, and none on one key for all."""
+    plan = plan_of(registry.queries()[name](spark, sf_dir))
+    assert "bucket" in plan and "Join Inner, NOT" not in plan and "cosine" not in plan
