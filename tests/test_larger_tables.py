@@ -46,3 +46,14 @@ def test_searches_are_dealt_to_many_tasks_in_blocks(name, spark, sf_dir):
     """No join of single rows by pairs, and none on one key for all."""
     plan = plan_of(registry.queries()[name](spark, sf_dir))
     assert "bucket" in plan and "Join Inner, NOT" not in plan and "cosine" not in plan
+
+
+def test_windows_of_words_are_counted_in_their_task(spark, sf_dir):
+    plan = plan_of(registry.queries()["document_chunks"](spark, sf_dir))
+    assert "Aggregate" not in plan and "Window" not in plan
+
+
+def test_covered_names_are_told_by_one_grouping(spark, sf_dir):
+    """No join from a word to all phrases that begin with it."""
+    plan = plan_of(registry.queries()["dictionary_names"](spark, sf_dir))
+    assert "LeftAnti" not in plan and "LeftSemi" not in plan and plan.count("Aggregate") == 1
