@@ -19,7 +19,7 @@ def grid_predictions(rows: DataFrame, key: str, split: str, role: str, tokens: s
     the smaller role.
     """
     rows = rows.select(F.col(key).alias("key"), F.col(split).alias("split"), F.col(role).alias("role"), F.col(tokens).alias("ts"))
-    terms = written(rows.select("key", "split", "role", F.explode("ts").alias("term")).groupBy("key", "split", "role", "term").agg(F.count("*").alias("k")))
+    terms = written(rows.repartition("key").select("key", "split", "role", F.explode("ts").alias("term")).groupBy("key", "split", "role", "term").agg(F.count("*").alias("k")))
     cube = terms.groupBy("split", "role", "term").agg(F.sum("k").alias("n"))
     model = written(cube.join(F.broadcast(settings), "split").groupBy("setting", "role", "term").agg(F.sum("n").alias("n")))
     docs = rows.groupBy("split", "role").agg(F.count("*").alias("docs")).join(F.broadcast(settings), "split").groupBy("setting", "role").agg(F.sum("docs").alias("docs"))
@@ -28,21 +28,22 @@ def grid_predictions(rows: DataFrame, key: str, split: str, role: str, tokens: s
     # settings x roles rows
     heads = docs.join(totals, ["setting", "role"], "left").join(vocabulary, "setting").withColumn("prior", F.log(F.col("docs") / F.sum("docs").over(Window.partitionBy("setting"))))
     heads = heads.select("setting", F.col("role").alias("predicted"), "prior", F.log(F.coalesce("t", F.lit(0)) + F.col("v")).alias("floor"))
-    asked = terms.join(F.broadcast(tests), "split")
+    # A text's scores don't hang on the test: tests that share a split meet its predictions only.
+    asked = terms.join(F.broadcast(tests.select("split").distinct()), "split", "left_semi")
     gains = model.select("setting", F.col("role").alias("predicted"), "term", F.log(F.col("n") + F.lit(1.0)).alias("gain"))
     counted = terms.groupBy("term").agg(F.count("*").alias("rows"))
     least = (terms.count() or 1) / HOT_TERMS
     hot = F.broadcast(counted.filter(F.col("rows") >= least).select("term"))
     often = asked.join(hot, "term", "left_semi").join(F.broadcast(gains.join(hot, "term", "left_semi")), "term")
     seldom = asked.join(hot, "term", "left_anti").join(gains, "term")
-    fields = ["setting", "test", "key", "predicted", "k", "gain"]
-    found = often.select(*fields).unionByName(seldom.select(*fields)).groupBy("setting", "test", "key", "predicted").agg(F.sum(F.col("k") * F.col("gain")).alias("gain"))
-    sizes = asked.groupBy("test", "key", "role").agg(F.sum("k").alias("size"))
-    scored = sizes.crossJoin(F.broadcast(heads)).join(found, ["setting", "test", "key", "predicted"], "left")
+    fields = ["setting", "key", "split", "predicted", "k", "gain"]
+    found = often.select(*fields).unionByName(seldom.select(*fields)).groupBy("setting", "key", "split", "predicted").agg(F.sum(F.col("k") * F.col("gain")).alias("gain"))
+    sizes = asked.groupBy("key", "split", "role").agg(F.sum("k").alias("size"))
+    scored = sizes.crossJoin(F.broadcast(heads)).join(found, ["setting", "key", "split", "predicted"], "left")
     scored = scored.withColumn("score", F.coalesce("gain", F.lit(0.0)) - F.col("size") * F.col("floor") + F.col("prior"))
-    best = scored.groupBy("setting", "test", "key").agg(F.max(F.round("score", 6)).alias("top"))
-    tied = scored.join(best, ["setting", "test", "key"]).filter(F.round("score", 6) == F.col("top"))
-    return tied.groupBy("setting", "test", "key", "role").agg(F.min("predicted").alias("predicted"))
+    best = F.min_by("predicted", F.struct(-F.round("score", 6), F.col("predicted"))).alias("predicted")
+    said = scored.groupBy("setting", "key", "split", "role").agg(best)
+    return said.join(F.broadcast(tests), "split").select("setting", "test", "key", "role", "predicted")
 
 
 def grid_metrics(predictions: DataFrame, taxonomies: DataFrame) -> DataFrame:
@@ -73,26 +74,40 @@ def loss_curve(rows: DataFrame, score: Column, needed: Column) -> DataFrame:
 
 
 def ordered_drop(rows: DataFrame, order: list[str], place: str, needed: str, share: float) -> tuple[float, float]:
-    """Reduction and recall after dropping round(share x rows) rows (a half to the even number) in the order of the columns order, then place.
+    """Reduction and recall after dropping round(share x rows) rows (a half to the even number) in the order of the columns order, then place."""
+    return ordered_drops(rows, order, place, needed, [share])[0]
 
-    Groups of one order are added up; only the group in which the drop ends is looked at row by row.
+
+def ordered_drops(rows: DataFrame, order: list[str], place: str, needed: str, shares: list[float]) -> list[tuple[float, float]]:
+    """As ordered_drop, for several shares of the same rows, which are made once.
+
+    Groups of one order are added up; only the group in which a drop ends is looked at row by row, dealt by its places
+    into parts, of which the one that holds the end is sorted.
     """
-    groups = rows.groupBy(*order).agg(F.count("*").alias("n"), F.sum(F.col(needed).cast("long")).alias("wanted"))
-    groups = written(groups)
+    rows = written(rows.select(*order, place, F.col(needed).cast("long").alias(needed)))
+    groups = written(rows.groupBy(*order).agg(F.count("*").alias("n"), F.sum(needed).alias("wanted")))
     total, wanted = groups.agg(F.sum("n"), F.sum("wanted")).first()
     if not total:
-        return 0.0, 1.0
-    drop = round(total * share)
+        return [(0.0, 1.0)] * len(shares)
     w = Window.orderBy(*order)
     placed = groups.withColumn("upto", F.sum("n").over(w)).withColumn("lost", F.sum("wanted").over(w))
+    return [_dropped(rows, placed, order, place, needed, round(total * share), total, wanted) for share in shares]
+
+
+def _dropped(rows: DataFrame, placed: DataFrame, order: list[str], place: str, needed: str, drop: int, total: int, wanted: int | None) -> tuple[float, float]:
     edge = placed.filter(F.col("upto") >= drop).orderBy(*order).limit(1).collect()  # one group
     if not drop or not edge:
         return drop / total, 1.0
     last = edge[0]
-    rest = drop - (last["upto"] - last["n"])
+    rest, lost = drop - (last["upto"] - last["n"]), last["lost"] - last["wanted"]
     same = F.lit(True)
     for c in order:
         same = same & F.col(c).eqNullSafe(F.lit(last[c]))
-    inside = rows.filter(same).orderBy(place).limit(rest).agg(F.sum(F.col(needed).cast("long"))).first()[0] or 0
-    lost = last["lost"] - last["wanted"] + inside
+    inside = written(rows.filter(same).repartitionByRange(place).withColumn("part", F.spark_partition_id()))
+    # A row for each part, in the order of places.
+    for part in inside.groupBy("part").agg(F.count("*").alias("n"), F.sum(needed).alias("wanted")).orderBy("part").collect():
+        if rest < part["n"]:
+            lost += inside.filter(F.col("part") == part["part"]).orderBy(place).limit(rest).agg(F.sum(needed)).first()[0] or 0
+            break
+        rest, lost = rest - part["n"], lost + part["wanted"]
     return drop / total, 1.0 if not wanted else 1 - lost / wanted

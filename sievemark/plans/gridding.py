@@ -62,7 +62,8 @@ def naive_drop_baseline(t):
     s = _scored(t)
     df = s.groupBy(F.lower("k").alias("term")).agg(F.count_distinct("conv_id").alias("df"))
     rows = s.withColumn("term", F.lower("k")).join(df, "term").select((-F.col("df")).alias("rare"), F.when(F.col("class").isin("function_word", "punctuation"), 0).otherwise(1).alias("content"), F.struct("conv_id", "turn", "i").alias("place"), "needed")
-    found = [(share, *(round(x, 6) for x in G.ordered_drop(rows, ["rare", "content"], "place", "needed", share))) for share in (0.1, 0.33, 0.5)]
+    shares = [0.1, 0.33, 0.5]
+    found = [(share, *(round(x, 6) for x in drop)) for share, drop in zip(shares, G.ordered_drops(rows, ["rare", "content"], "place", "needed", shares))]
     return t.spark.createDataFrame(found, "share double, token_reduction double, recall double")
 
 

@@ -57,3 +57,24 @@ def test_covered_names_are_told_by_one_grouping(spark, sf_dir):
     """No join from a word to all phrases that begin with it."""
     plan = plan_of(registry.queries()["dictionary_names"](spark, sf_dir))
     assert "LeftAnti" not in plan and "LeftSemi" not in plan and plan.count("Aggregate") == 1
+
+
+def test_drops_of_several_shares_are_those_of_sorted_rows(spark):
+    from sievemark.operators import grids
+
+    data = [(i % 3, (i * 7) % 100, i % 4 == 0) for i in range(100)]
+    shares = [0.0, 0.1, 0.33, 0.5, 0.9, 1.0]
+    found = grids.ordered_drops(spark.createDataFrame(data, "rare long, place long, needed boolean"), ["rare"], "place", "needed", shares)
+    for share, (reduction, recall) in zip(shares, found):
+        n = round(len(data) * share)
+        assert (reduction, round(recall, 9)) == (n / 100, round(1 - sum(x[2] for x in sorted(data)[:n]) / 25, 9))
+
+
+def test_scores_of_the_grid_are_made_once_for_all_tests(spark):
+    from sievemark.operators import grids
+
+    rows = spark.createDataFrame([(i, i % 3, "ab"[i % 2], ["x", "yz"[i % 2]]) for i in range(12)], "key long, split long, role string, ts array<string>")
+    frame = lambda name, pairs: spark.createDataFrame(pairs, f"{name} string, split long")
+    found = grids.grid_predictions(rows, "key", "split", "role", "ts", frame("setting", [("one", 0), ("two", 0), ("two", 1)]), frame("test", [("near", 1), ("far", 2), ("both", 1), ("both", 2)]))
+    assert not [x for x in plan_of(found).splitlines() if "Aggregate" in x and "test#" in x]
+    assert {(r["test"], r["key"]) for r in found.collect()} == {(t, i) for i in range(12) for t in ("near", "far", "both") if i % 3 in {"near": (1,), "far": (2,), "both": (1, 2)}[t]}
