@@ -52,6 +52,10 @@ def band_values(bits: Column, bands: int, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), value(b).alias("value")))
 
 
+#: Vectors that a task lays against the planes at once.
+PLANE_ROWS = 512
+
+
 @lru_cache(8)
 def planes(n: int, dims: int) -> np.ndarray:
     """n planes of +1 and -1 [dimension, plane]: +1 where the MD5 of "plane|dimension" begins with 8 to f."""
@@ -67,11 +71,12 @@ def projected_words(vector: Column, words: int, width: int) -> Column:
         sizes = vectors.map(lambda v: -1 if v is None else len(v)).to_numpy()
         powers = np.uint64(1) << np.arange(width - 1, -1, -1, dtype=np.uint64)
         for dims in np.unique(sizes[sizes >= 0]):
-            at = np.flatnonzero(sizes == dims)
-            bits = np.array([vectors.iloc[i] for i in at], float).reshape(len(at), dims) @ planes(words * width, int(dims)) >= 0
-            values = (bits.reshape(len(at), words, width) * powers).sum(2, dtype=np.uint64).view(np.int64)
-            for i, v in zip(at, values):
-                out.iat[i] = v
+            every = np.flatnonzero(sizes == dims)
+            for at in (every[lo : lo + PLANE_ROWS] for lo in range(0, len(every), PLANE_ROWS)):
+                bits = np.array([vectors.iloc[i] for i in at], float).reshape(len(at), dims) @ planes(words * width, int(dims)) >= 0
+                values = (bits.reshape(len(at), words, width) * powers).sum(2, dtype=np.uint64).view(np.int64)
+                for i, v in zip(at, values):
+                    out.iat[i] = v
         return out
 
     return F.pandas_udf(run, St.ArrayType(St.LongType()))(vector)

@@ -78,3 +78,16 @@ def test_scores_of_the_grid_are_made_once_for_all_tests(spark):
     found = grids.grid_predictions(rows, "key", "split", "role", "ts", frame("setting", [("one", 0), ("two", 0), ("two", 1)]), frame("test", [("near", 1), ("far", 2), ("both", 1), ("both", 2)]))
     assert not [x for x in plan_of(found).splitlines() if "Aggregate" in x and "test#" in x]
     assert {(r["test"], r["key"]) for r in found.collect()} == {(t, i) for i in range(12) for t in ("near", "far", "both") if i % 3 in {"near": (1,), "far": (2,), "both": (1, 2)}[t]}
+
+
+def test_planes_meet_few_vectors_at_once(spark, monkeypatch):
+    """The words are the same whatever is held at once."""
+    from pyspark.sql import functions as F
+
+    from sievemark.operators import retrieval
+
+    df = spark.createDataFrame([(i, [float((i * j) % 7 - 3) for j in range(8)] if i % 5 else None) for i in range(40)], "id long, v array<float>").coalesce(1)
+    words = lambda: sorted((r[0], r[1]) for r in df.select("id", retrieval.projected_words(F.col("v"), 4, 6)).collect())
+    whole = words()
+    monkeypatch.setattr(retrieval, "PLANE_ROWS", 3)
+    assert words() == whole and whole[0][1] is None
