@@ -129,31 +129,31 @@ def _residue(expr: Column, m: Column) -> Column:
 
 
 def exact_value(expr: Column) -> Column:
-    """The expression's value as a decimal string; null where it would have over MOST_DIGITS digits."""
-    return _let(expr, _exact_value)
+    """The value of an expression (a column of its own) as a decimal string; null where it would have over MOST_DIGITS digits."""
+    return B.evaluated(expr["family"], _let(expr, _operands))
 
 
-def _exact_value(expr: Column) -> Column:
+def _operands(expr: Column) -> Column:
+    """What the expression's value is made of, with one space between; null where it isn't to be made."""
     n, texts, family = expr["exponent"], expr["texts"], expr["family"]
     size = lambda x: F.length(B.magnitude(x))
     odd = F.substring(texts["exponent"], -1, 1).isin("1", "3", "5", "7", "9")
-    small = lambda bound: n.isNotNull() & (n <= bound)
+    small = lambda bound: F.when(n <= bound, texts["exponent"])
     whole = F.when(size(texts["base"]) <= 1, F.when(B.magnitude(texts["base"]).isin("", "1"), True))  # 0, 1 and -1 to any exponent
     trivial = F.when(texts["exponent"] == "0", "1").when(B.magnitude(texts["base"]) == "", "0").otherwise(F.when(texts["base"].startswith("-") & odd, "-1").otherwise("1"))
-    raised = F.when(whole | (texts["exponent"] == "0"), trivial).when(small(MOST_DIGITS * 4) & (n * size(texts["base"]) <= MOST_DIGITS), B.signed(texts["base"].startswith("-") & odd, B.power(B.limbs(texts["base"]), n)))
+    raised = F.when(whole | (texts["exponent"] == "0"), F.concat(trivial, F.lit(" 1"))).when(n * size(texts["base"]) <= MOST_DIGITS, F.concat(texts["base"], F.lit(" "), small(MOST_DIGITS * 4)))
     sized = F.aggregate(F.transform(texts["values"], size), F.lit(0), lambda a, x: a + x)
     return (
-        F.when(family == "power", raised).when((family == "fibonacci") & small(MOST_DIGITS * 4), B.digits(B.fibonacci(n))).when((family == "factorial") & small(MOST_DIGITS // 4), B.digits(B.factorial(n)))
-        .when((family == "bigsum") & (sized <= MOST_DIGITS), B.total(texts["values"])).when((family == "bigprod") & (sized <= MOST_DIGITS), B.product(texts["values"]))
+        F.when(family == "power", raised).when(family == "fibonacci", small(MOST_DIGITS * 4)).when(family == "factorial", small(MOST_DIGITS // 4))
+        .when(family.isin("bigsum", "bigprod") & (sized <= MOST_DIGITS), F.array_join(texts["values"], " "))
     )
 
 
 def answer(expr: Column, value: Column) -> Column:
     """The expression modulo its own modulus, of any size, as a decimal string; without a modulus its value (its exact_value(), in a column of its own). Null where neither can be had."""
-    m = expr["texts"]["modulus"]
-    of = lambda r, k: F.when(value.startswith("-") & (F.size(r) > 0), B.digits(B.subtract(k, r))).otherwise(B.digits(r))
-    through_value = F.when(value.isNotNull(), _let(B.limbs(m), lambda k: _let(B.modulo(B.limbs(value), k), lambda r: of(r, k))))
-    return F.when(m.isNull(), value).when(expr["modulus"].isNotNull() & (expr["modulus"] <= 2**31), residue(expr, expr["modulus"]).cast("string")).otherwise(through_value)
+    m, short = expr["texts"]["modulus"], expr["modulus"].isNotNull() & (expr["modulus"] <= 2**31)
+    through_value = B.remainder(F.when(~short, value), m)
+    return F.when(m.isNull(), value).when(short, residue(expr, expr["modulus"]).cast("string")).otherwise(through_value)
 
 
 def digits_residue(digits: Column, m: int | Column) -> Column:
@@ -173,7 +173,10 @@ def residues(digits: Column, moduli: tuple[int, ...] = MODULI) -> Column:
 
 def verdict(expr: Column, claim: Column, moduli: tuple[int, ...] = MODULI) -> Column:
     """RULED_OUT_WRONG where a claimed decimal string differs from the expression modulo one of the moduli; agreement proves nothing. Null where there is no expression."""
-    own = _let(expr, lambda e: F.array(*(_residue(e, F.lit(m).cast(_LONG)) for m in moduli)))
+    each = lambda e: F.array(*(_residue(e, F.lit(m).cast(_LONG)) for m in moduli))
+    # Once modulo the product where that is small enough; a factorial's factors would then not end at the greatest modulus.
+    whole = lambda e: _let(_residue(e, F.lit(prod(moduli)).cast(_LONG)), lambda r: F.array(*(r % m for m in moduli)))
+    own = _let(expr, lambda e: F.when(e["family"] == "factorial", each(e)).otherwise(whole(e))) if prod(moduli) <= 2**31 else _let(expr, each)
     return F.when(own == residues(claim, moduli), "NOT_RULED_OUT").when(expr.isNotNull(), "RULED_OUT_WRONG")
 
 

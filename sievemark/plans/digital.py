@@ -99,6 +99,8 @@ def exact_by_structure(t):
     return t.part.select("p_partkey", D.factorial_zeros(F.col("p_partkey")).alias("zeros"), D.binomial_mod(F.col("p_size"), F.col("p_partkey") % 13, 7).alias("binomial"))
 
 
+#: Small files of rows that cost much each: dealt to so many tasks before anything is parsed. A number, as rows this narrow would be put together again.
+_TASKS = 64
 _WIDE = """CASE o_orderkey % 6 WHEN 0 THEN (o_custkey % 9 + 2) || '^' || (o_orderkey % 36) WHEN 1 THEN 'fib(' || (o_orderkey % 150) || ')' WHEN 2 THEN (o_orderkey % 30) || '!' WHEN 3 THEN o_orderkey || '00000000000 * ' || o_custkey || '*-3' WHEN 4 THEN o_orderkey || '000000000000000000000 + -' || o_custkey || '77777777777777777777777' ELSE 'so ' || o_orderkey END"""
 _VALUES = """w AS (SELECT o_orderkey, o_custkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(list_reduce(list_concat([1::HUGEINT], list_transform(range(o_orderkey % 36), lambda i: (o_custkey % 9 + 2)::HUGEINT)), lambda a, y: a * y) AS HUGEINT) WHEN 1 THEN (SELECT fib FROM fibs WHERE n = o_orderkey % 150)
     WHEN 2 THEN CAST(list_reduce(list_concat([1::HUGEINT], list_transform(range(1, o_orderkey % 30 + 1), lambda i: i::HUGEINT)), lambda a, y: a * y) AS HUGEINT) WHEN 3 THEN o_orderkey::HUGEINT * 100000000000 * o_custkey * -3 WHEN 4 THEN o_orderkey::HUGEINT * 1000000000000000000000 - (o_custkey::HUGEINT * 100000000000000000000000 + 77777777777777777777777) END AS v FROM orders)"""
@@ -111,10 +113,11 @@ WITH RECURSIVE {_LONG_FIBS}, {_VALUES} SELECT o_orderkey, CAST(v AS VARCHAR) AS
 def expanded_expressions(t):
     """Exact values of expressions of many digits, their answers under moduli of two and twenty digits, and claims about them held against residues."""
     off = F.when(F.col("o_custkey") % 3 == 0, 0).when(F.col("o_custkey") % 3 == 1, F.col("o_custkey")).otherwise(prod(MODULI)).cast("string")
-    stated = t.orders.select("o_orderkey", off.alias("off"), F.expr(_WIDE).alias("s"), F.when(F.col("o_orderkey") % 2 == 0, str(_BIG_MODULUS)).otherwise("97").alias("m"))
-    parsed = stated.select("o_orderkey", "off", D.parse(F.col("s")).alias("e"), D.parse(F.concat("s", F.lit(" mod "), "m")).alias("x"))
-    valued = parsed.select("*", D.exact_value(F.col("e")).alias("value")).withColumn("claim", B.total(F.array("value", "off")))
-    return valued.select("o_orderkey", "value", D.answer(F.col("x"), F.col("value")).alias("answer"), (D.verdict(F.col("e"), F.col("claim")) == "RULED_OUT_WRONG").alias("ruled_out"))
+    orders = t.orders.select("o_orderkey", "o_custkey").repartition(_TASKS, "o_orderkey")
+    stated = orders.select("o_orderkey", off.alias("off"), F.expr(_WIDE).alias("s"), F.when(F.col("o_orderkey") % 2 == 0, str(_BIG_MODULUS)).otherwise("97").alias("m"))
+    parsed = stated.select("o_orderkey", "off", D.parse(F.concat("s", F.lit(" mod "), "m")).alias("x"))
+    valued = parsed.select("*", D.exact_value(F.col("x")).alias("value")).withColumn("claim", B.total(F.array("value", "off")))
+    return valued.select("o_orderkey", "value", D.answer(F.col("x"), F.col("value")).alias("answer"), (D.verdict(F.col("x"), F.col("claim")) == "RULED_OUT_WRONG").alias("ruled_out"))
 
 
 _BLOCKS = 200

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import bigint as B
 from sievemark.functions import digital
+from sievemark.plans import registry
 
 sys.set_int_max_str_digits(0)
 
@@ -67,3 +68,25 @@ def test_bad_rows_are_null_and_fail_nothing(spark):
     e = F.col("e")
     assert all(r[0] is None and r[1] is None for r in ask(spark, [(s,) for s in texts], "s", e, digital.answer(e, F.col("v"))))
     assert ask(spark, [("99999999! mod 100000007",)], "s", digital.answer(e, F.col("v")))[0][0] is None
+
+
+def test_values_of_tables_are_made_in_arrow_batches(spark, sf_dir):
+    """Limb by limb a product of 1,000 digits costs some 20,000 interpreted steps; tables of any file size are dealt to tasks before they are parsed."""
+    for name in ("expanded_expressions",):
+        plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in plan and "zip_with" not in plan
+        assert plan.rindex("RepartitionByExpression") > plan.rindex("regexp_replace")
+
+
+def test_sums_and_products_of_strings(spark):
+    rows = [("7 -9", "-2", "-63"), ("-5 5", "0", "-25"), ("-0 3", "3", "0"), ("", "0", "1"), (None, None, None), ("8", "8", "8")]
+    values = F.split(F.nullif(F.col("s"), F.lit("")), " ")
+    df = spark.createDataFrame(rows, "s string, total string, product string").select("*", F.when(F.col("s") == "", F.array().cast("array<string>")).otherwise(values).alias("v"))
+    assert all(tuple(r) == tuple(r)[:2] * 2 for r in df.select("total", "product", B.total("v"), B.product("v")).collect())
+
+
+def test_verdicts_of_factorials_between_moduli_and_their_product(spark):
+    """The bank's product must not make a factorial run over more factors than its greatest modulus has."""
+    e, c = F.col("e"), F.col("c")
+    df = spark.createDataFrame([("7000000!", "0"), ("7000000!", "1"), ("fib(90)", "2880067194370816120")], "s string, c string").select(digital.parse(F.col("s")).alias("e"), "c")
+    assert [r[0] for r in df.select(digital.verdict(e, c)).collect()] == ["NOT_RULED_OUT", "RULED_OUT_WRONG", "NOT_RULED_OUT"]
