@@ -131,9 +131,10 @@ SELECT s_suppkey, a * b % {_PRIME} AS product, (a + b) % {_PRIME} AS total, a *
 def thousand_digits(t):
     """Products and sums of integers of 1,000 digits each, modulo a prime: by residues alone, and from the product's own 2,000 digits."""
     digits = lambda c: F.repeat((10_000 + c % 90_000).cast("string"), _BLOCKS)
-    made = t.supplier.select("s_suppkey", digits(F.col("s_suppkey")).alias("a"), digits(F.col("s_nationkey") * 3001 + F.col("s_suppkey")).alias("b"))
+    suppliers = t.supplier.select("s_suppkey", "s_nationkey").repartition(_TASKS, "s_suppkey")
+    made = suppliers.select("s_suppkey", digits(F.col("s_suppkey")).alias("a"), digits(F.col("s_nationkey") * 3001 + F.col("s_suppkey")).alias("b"))
     parsed = made.select("s_suppkey", D.parse(F.concat_ws(" * ", "a", "b")).alias("x"), D.parse(F.concat_ws("+", "a", "b")).alias("y"))
-    valued = parsed.repartition("s_suppkey").select("*", D.exact_value(F.col("x")).alias("v"))
+    valued = parsed.select("*", D.exact_value(F.col("x")).alias("v"))
     return valued.select("s_suppkey", D.residue(F.col("x"), _PRIME).alias("product"), D.residue(F.col("y"), _PRIME).alias("total"), D.digits_residue(F.col("v"), _PRIME).alias("through_value"))
 
 

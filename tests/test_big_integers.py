@@ -72,7 +72,7 @@ def test_bad_rows_are_null_and_fail_nothing(spark):
 
 def test_values_of_tables_are_made_in_arrow_batches(spark, sf_dir):
     """Limb by limb a product of 1,000 digits costs some 20,000 interpreted steps; tables of any file size are dealt to tasks before they are parsed."""
-    for name in ("expanded_expressions",):
+    for name in ("expanded_expressions", "thousand_digits"):
         plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "ArrowEvalPython" in plan and "zip_with" not in plan
         assert plan.rindex("RepartitionByExpression") > plan.rindex("regexp_replace")
