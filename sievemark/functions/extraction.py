@@ -80,12 +80,27 @@ def _balanced(text: Column) -> Column:
     return _let(tokens, lambda k: _let(marks(k), lambda m: F.array_sort(F.concat(side(m, 0), side(m, 1)))))
 
 
+#: A brace that may begin an object (no parser takes one without a name and a colon, or a closing brace, behind it), and what stands behind one up to its partner where no other brace, bracket or backslash is outside of strings.
+_BEGINS, _PLAIN_REST = r"\{(?=\s*+(?:\}|\"(?:[^\\\"]++|\\(?s:.))*+\"\s*+:))", r"(?:[^\\\"{}\[\]]++|\"[^\\\"]*+\")*+\}"
+
+
+def _plain_first(text: Column) -> Column:
+    """The first of the braces that may begin an object which parses as a plain one, or "{" where one comes first that isn't plain; null if there is neither.
+
+    A plain object's partner is the next closing brace outside of strings, as _balanced() finds it. Every brace is
+    looked at, also inside what begins at an earlier one; a look ends at the next sign, so that the work stays near the
+    text's length.
+    """
+    rests = F.regexp_extract_all(text, F.lit(rf"{_BEGINS}(?=({_PLAIN_REST})?)"), F.lit(1))
+    return F.aggregate(rests, F.lit(None).cast("string"), lambda done, r: F.when(done.isNotNull(), done).when(r == "", "{").otherwise(_let(F.concat(F.lit("{"), r), lambda s: F.when(is_json_object(s), s))))
+
+
 def json_object(output: Column) -> Column:
     """The first JSON object in a text as it is written; null if there is none.
 
     That is what the first fence with a brace behind it holds up to the next fence behind a closing brace, if it parses;
     else the first that parses of those that begin at a brace with a quote or a closing brace behind it. One scan of the
-    text finds all of them.
+    text finds all of them; it is left out where plain objects decide.
     """
     text = F.coalesce(output, F.lit(""))
     fence = r"```(?i:json)?\s*+\{"
@@ -93,9 +108,11 @@ def json_object(output: Column) -> Column:
     fenced = F.when(text.contains("```") & text.rlike(fence), F.regexp_extract(behind, r"(?s)\A```(?i:json)?\s*+(\{.*?\})\s*+```", 1))
     whole = lambda b: F.substring(text, b["pos"] + 1, b["length"])
     scanned = F.aggregate(_balanced(text), F.lit(None).cast("string"), lambda done, b: F.coalesce(done, _let(whole(b), lambda s: F.when(is_json_object(s), s))))
-    partners = lambda s: F.exists(_balanced(s), lambda b: (b["pos"] == 0) & (b["length"] == F.length(s)))
+    plain = rf"\A{_BEGINS}{_PLAIN_REST}\z"
+    partners = lambda s: F.when(s.rlike(plain), True).otherwise(F.exists(_balanced(s), lambda b: (b["pos"] == 0) & (b["length"] == F.length(s))))
     found = _let(fenced, lambda s: F.when((s != "") & partners(s) & is_json_object(s), s))
-    return F.coalesce(found, F.when(text.contains("{"), scanned))
+    behind_fence = F.when(text.contains("{"), _let(_plain_first(text), lambda p: F.when(p == "{", scanned).otherwise(p)))
+    return F.coalesce(found, behind_fence)
 
 
 @F.pandas_udf(StringType())

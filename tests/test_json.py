@@ -180,3 +180,14 @@ def test_answer_integers(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "id long, s string").select("id", text.answer_integer(F.col("s")).alias("x"))
     found = dict(map(tuple, df.collect()))
     assert [found[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_plain_objects_need_no_scan_of_all_signs(spark, sf_dir):
+    """Where plain objects decide, braces and quotes aren't paired: never in the outputs made of events."""
+    from sievemark.plans import validating
+
+    cases = {'{margin:0} of x {"k": } {"user": 3, "of": "}"} {"z": 0}': '{"user": 3, "of": "}"}', "{ } {}": "{ }", '{"k": } {"a: 1} {"k": 76} {"z": 0}': '{"k": 76}', '{"k": } {"l" 1}': None, '{"a": [{"b": 1}]}': "{", "no { brace": None}
+    df = spark.createDataFrame([(s,) for s in cases], "s string")
+    assert {r[0]: r[1] for r in df.select("s", extraction._plain_first(F.col("s"))).collect()} == cases
+    outputs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(validating._OUT).alias("s"))
+    assert outputs.filter(extraction._plain_first(F.col("s")) == "{").count() == 0
