@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import elements as E
 from ..operators import retrieval as R  # noqa: F401
+from ..operators.written import written
 from .query import query
 
 _LIST = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
@@ -38,11 +39,24 @@ def _tokens(t) -> DataFrame:
     return each.select("conv_id", "turn", "pos", F.col("led_k").startswith("\n").alias("led"), F.ltrim(F.col("led_k"), F.lit("\n")).alias("k"))
 
 
-def _idf(t, tokens: DataFrame) -> DataFrame:
-    """word and idf over all turns as documents."""
-    df = tokens.select("conv_id", "turn", F.lower("k").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("df"))
+_BARE = lambda x: F.ltrim(x, F.lit("\n"))
+
+
+def _idf(t) -> DataFrame:
+    """word and idf over all turns as documents, written once: the texts of a turn come together, so that its words are told apart in their row."""
+    texts = t.conversations.groupBy("conv_id", "turn").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
+    words = F.array_distinct(F.flatten(F.transform("texts", lambda x: F.transform(E.tokens(x), lambda k: F.lower(_BARE(k))))))
+    df = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     n = t.conversations.agg(F.count("*").alias("n"))
-    return df.crossJoin(F.broadcast(n)).select("word", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n: one row
+    return written(df.crossJoin(F.broadcast(n)).select("word", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))  # n: one row
+
+
+#: Scores take the same part of every idf from here on (clamp((idf - 1) / 2) is 1). Below it are words of over an eighth of all turns: at most eight times as many as a turn's mean, whatever the table's size.
+_RARE = 3.0
+
+
+def _frequent(idf: DataFrame, word: str, value: str) -> DataFrame:
+    return F.broadcast(idf.filter(F.col("idf") < _RARE).select(F.col("word").alias(word), F.col("idf").alias(value)))
 
 
 @query(f"""
@@ -51,7 +65,7 @@ SELECT conv_id, turn, pos, k AS token, class, round(greatest(0, least(1, 0.65 *
 def token_priors(t):
     """Class and static score of every token."""
     k = _tokens(t)
-    scored = k.withColumn("word", F.lower("k")).join(_idf(t, k), "word").withColumn("class", E.token_class(F.col("k")))
+    scored = k.withColumn("word", F.lower("k")).join(_frequent(_idf(t), "word", "idf"), "word", "left").withColumn("idf", F.coalesce("idf", F.lit(_RARE))).withColumn("class", E.token_class(F.col("k")))
     return scored.select("conv_id", "turn", "pos", F.col("k").alias("token"), "class", F.round(E.prior(F.col("class"), F.col("idf")), 6).alias("prior"))
 
 
@@ -105,9 +119,46 @@ a AS (SELECT *, CASE WHEN class IN ('negation', 'code_token', 'citation', 'instr
     WHEN class IN ('function_word', 'punctuation') AND (query_overlap OR negation_modal OR citation_boundary OR quote_boundary) THEN 'keep' WHEN round(score, 9) < {_THRESHOLD} THEN 'cheap' ELSE 'keep' END AS action FROM s)"""
 
 
-def _asked(k: DataFrame) -> DataFrame:
-    """The normalised words of a turn, as the question of the turn after it."""
-    return k.filter(F.col("k").rlike(r"[\p{L}\p{N}_]")).select("conv_id", (F.col("turn") + 1).alias("turn"), E.normalised(F.col("k")).alias("norm")).distinct().withColumn("query_overlap", F.lit(True))
+#: So many parts hold the tokens of a turn together from its text to its summary; 200 million tokens make parts that are sorted in memory.
+_PARTS = 256
+
+
+def _met(t, low: DataFrame | None = None) -> DataFrame:
+    """Every token with its norm, whether the turn before, as the question, has it, whether it stood in the turn before, and whether it is one of the turn's norms in low.
+
+    Texts are shuffled, not tokens: a turn's tokens, the question's and low's lie in one row that is cut apart where all
+    windows over the turn are.
+    """
+    turns = t.conversations.select("conv_id", "turn", "text")
+    asked = turns.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.collect_list("text").alias("before"))
+    if low is None:
+        turns = turns.withColumn("low", F.array().cast("array<string>"))
+    else:
+        low = low.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "low")
+        turns = turns.join(low, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")), "left").drop("c", "t")
+    rows = lambda kind, values: F.transform(values, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.alias("led_k")))
+    question = F.array_distinct(F.flatten(F.transform(F.coalesce("before", F.array().cast("array<string>")), E.tokens)))
+    every = F.concat(rows("own", E.tokens(F.col("text"))), rows("asked", question), rows("low", F.coalesce("low", F.array().cast("array<string>"))))
+    each = turns.join(asked, ["conv_id", "turn"], "left").repartition(_PARTS, "conv_id", "turn").select("conv_id", "turn", F.explode(every).alias("x"))
+    k = each.select("conv_id", "turn", "x.kind", "x.pos", F.col("x.led_k").startswith("\n").alias("led"), _BARE(F.col("x.led_k")).alias("k"))
+    k = k.withColumn("worded", F.col("k").rlike(r"[\p{L}\p{N}_]")).filter((F.col("kind") != "asked") | F.col("worded")).withColumn("norm", F.when(F.col("kind") == "low", F.col("k")).otherwise(E.normalised(F.col("k"))))
+    own = F.col("kind") == "own"
+    # A norm's rows of the question and of low come first.
+    w = Window.partitionBy("conv_id", "turn", "norm").orderBy(own, "pos").rowsBetween(Window.unboundedPreceding, 0)
+    k = k.select("*", F.max(F.col("kind") == "asked").over(w).alias("query_overlap"), F.max(F.col("kind") == "low").over(w).alias("low"), (F.count_if(own).over(w) > 1).alias("again"))
+    return k.filter(own).drop("kind")
+
+
+def _low_norms(t, idf: DataFrame, cutoff: DataFrame) -> DataFrame:
+    """conv_id, turn, low: norms that a turn repeats and that are rare words up to the cutoff."""
+    norms = F.array_sort(F.transform(E.tokens(F.col("text")), lambda k: E.normalised(_BARE(k))))
+    # Texts of one turn are put together, so that what each has once is repeated.
+    texts = t.conversations.groupBy("conv_id", "turn").agg(F.array_join(F.collect_list("text"), " \n ").alias("text"))
+    repeated = F.array_distinct(F.filter("norms", lambda x, i: x == F.get(F.col("norms"), i - 1)))
+    each = texts.select("conv_id", "turn", norms.alias("norms")).select("conv_id", "turn", F.explode(repeated).alias("norm"))
+    words = idf.crossJoin(F.broadcast(cutoff)).filter((F.col("idf") >= _RARE) & (F.col("idf") <= F.col("cutoff")) & (F.col("cutoff") < F.col("top")))  # one row
+    rare = each.join(_frequent(idf, "norm", "known"), "norm", "left_anti")
+    return rare.join(words.select(F.col("word").alias("norm")), "norm").groupBy("conv_id", "turn").agg(F.collect_list("norm").alias("low"))
 
 
 def _cutoff(idf: DataFrame) -> DataFrame:
@@ -119,20 +170,21 @@ def _cutoff(idf: DataFrame) -> DataFrame:
 
 def _featured(t) -> DataFrame:
     """Every token with its contextual features, scores and action; the turn before is the question."""
-    k = _tokens(t)
-    idf = _idf(t, k)
-    words = k.withColumn("class", E.token_class(F.col("k"))).withColumn("norm", E.normalised(F.col("k"))).withColumn("worded", F.col("k").rlike(r"[\p{L}\p{N}_]"))
+    idf = _idf(t)
+    cutoff = _cutoff(idf)
+    words = _met(t, _low_norms(t, idf, cutoff)).withColumn("class", E.token_class(F.col("k")))
     w, before = _of_turn(), _of_turn().rowsBetween(Window.unboundedPreceding, -1)
     near = lambda f, c: f(c).over(w)
-    n = words.select("*", near(F.lag, "k").alias("l"), near(F.lead, "k").alias("r"), near(F.lag, "class").alias("lc"), near(F.lead, "class").alias("rc"), (F.row_number().over(Window.partitionBy("conv_id", "turn", "norm").orderBy("pos")) > 1).alias("again"), F.coalesce(F.count_if(F.col("k").isin(".", "!", "?")).over(before), F.lit(0)).alias("sentence"))
-    n = n.withColumn("first", ~F.col("k").isin(".", "!", "?") & F.col("worded") & (F.row_number().over(Window.partitionBy("conv_id", "turn", "sentence", "worded").orderBy("pos")) == 1))
-    n = n.join(_asked(k), ["conv_id", "turn", "norm"], "left").withColumn("query_overlap", F.coalesce("query_overlap", F.lit(False)))
-    n = n.join(idf.select(F.col("word").alias("norm"), F.col("idf").alias("found")), "norm", "left").withColumn("word", F.lower("k")).join(idf.select("word", F.col("idf").alias("own_idf")), "word")
-    n = n.crossJoin(F.broadcast(_cutoff(idf)))  # one row
+    last = lambda c: F.max(F.when(c, F.col("pos"))).over(before)
+    n = words.select("*", near(F.lag, "k").alias("l"), near(F.lead, "k").alias("r"), near(F.lag, "class").alias("lc"), near(F.lead, "class").alias("rc"), last(F.col("worded")).alias("word_at"), last(F.col("k").isin(".", "!", "?")).alias("stop_at"))
+    # The first word behind the last sign that ends a sentence.
+    n = n.withColumn("first", F.col("worded") & F.coalesce(F.col("word_at") < F.col("stop_at"), F.col("word_at").isNull()))
+    n = n.join(_frequent(idf, "norm", "found"), "norm", "left").withColumn("word", F.lower("k")).join(_frequent(idf, "word", "own_idf"), "word", "left").withColumn("own_idf", F.coalesce("own_idf", F.lit(_RARE)))
+    n = n.crossJoin(F.broadcast(cutoff))  # one row
     kind, some = F.col("class"), lambda c: F.coalesce(c, F.lit(False))
     beside = lambda x: (kind == x) | some(F.col("lc") == x) | some(F.col("rc") == x)
     quote = lambda c: some(F.col(c).isin('"', "'"))
-    n = n.withColumn("low_information", (F.coalesce("found", "top") <= F.col("cutoff")) & F.col("again"))
+    n = n.withColumn("low_information", F.coalesce(F.col("found") <= F.col("cutoff"), (F.col("top") <= F.col("cutoff")) | F.col("low")) & F.col("again"))
     n = n.select("*", (kind == "named_entity").alias("entity_flag"), beside("negation").alias("negation_modal"), beside("citation").alias("citation_boundary"), (F.col("l").isNull() | some(F.col("l").isin(".", "?", "!")) | F.col("led") | F.col("first")).alias("sentence_start"), (quote("k") | quote("l") | quote("r")).alias("quote_boundary"), E.prior(kind, F.col("own_idf")).alias("static"))
     guarded = kind.isin("citation", "negation", "code_token", "instruction") | F.col("negation_modal") | F.col("citation_boundary") | F.col("sentence_start") | F.col("quote_boundary")
     features: dict[str, Column] = {name: F.col(name) for name in E.FEATURE_WEIGHTS}
@@ -167,10 +219,9 @@ s AS (SELECT *, greatest(0, least(1, 0.55 * ({_WEIGHT(E.ELEMENT_WEIGHTS, 'elemen
 SELECT conv_id, turn, pos, k AS token, element, round(score, 6) AS score, CASE WHEN element IN ({_LIST(E.ALWAYS_KEPT)}) OR (element IN ({_LIST(E.KEPT_IF_ASKED)}) AND asked) THEN 'keep' WHEN round(score, 9) < {_THRESHOLD} THEN 'cheap' ELSE 'keep' END AS action FROM s""")
 def element_routing(t):
     """The same by elements instead of classes."""
-    k = _tokens(t)
-    idf = _idf(t, k)
-    n = k.withColumn("element", E.element(F.col("k"))).withColumn("norm", E.normalised(F.col("k"))).join(_asked(k), ["conv_id", "turn", "norm"], "left").join(idf.select(F.col("word").alias("norm"), "idf"), "norm", "left")
-    n = n.crossJoin(F.broadcast(idf.agg(F.max("idf").alias("top")))).withColumn("asked", F.coalesce("query_overlap", F.lit(False)))  # one row
+    idf = _idf(t)
+    n = _met(t).withColumn("element", E.element(F.col("k"))).withColumn("asked", F.col("query_overlap")).join(_frequent(idf, "norm", "idf"), "norm", "left")
+    n = n.crossJoin(F.broadcast(idf.agg(F.max("idf").alias("top"))))  # one row
     n = n.withColumn("score", E.element_score(F.col("element"), F.coalesce("idf", "top"), F.col("asked")))
     return n.select("conv_id", "turn", "pos", F.col("k").alias("token"), "element", F.round("score", 6).alias("score"), E.element_action(F.col("element"), F.round("score", 9), _THRESHOLD, F.col("asked")).alias("action"))
 

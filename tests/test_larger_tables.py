@@ -91,3 +91,30 @@ def test_planes_meet_few_vectors_at_once(spark, monkeypatch):
     whole = words()
     monkeypatch.setattr(retrieval, "PLANE_ROWS", 3)
     assert words() == whole and whole[0][1] is None
+
+
+@pytest.mark.parametrize("name", ["contextual_routing", "route_summaries", "element_routing"])
+def test_tokens_of_turns_are_never_shuffled(name, spark, sf_dir):
+    """From the result down to where texts are cut into tokens there is no exchange by keys."""
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan[: plan.index("Generate explode")]
+
+
+@pytest.mark.parametrize("name", ["contextual_routing", "route_summaries", "element_routing", "token_priors"])
+def test_rare_words_up_to_the_cutoff_are_low(name, spark, tmp_path):
+    """The cutoff lies among words of under an eighth of the turns, which are looked up only where a turn repeats them."""
+    import duckdb
+
+    word = lambda n: "".join("abcdefghij"[int(d)] for d in f"{n:04d}")
+    # Words 0 to 79 in three turns each, words from 1000 on in one each; some repeated, some names, some asked by the turn before.
+    text = lambda i: f"The {word(i % 80)} and {word((i + 20) % 80)}s {word((i + 40) % 80).title()} {word((i + 40) % 80).title()}! {word(i % 80)} {word(1000 + i)} not 7 {word(2000 + i)}, {word(1000 + i)}\n{word((i + 20) % 80)} [3] of the."
+    turns = [(i // 4, i % 4, "user", text(i // 2 if i % 5 == 0 else i)) for i in range(120)] + [(40, 0, "user", None), (40, 1, "user", ""), (None, 0, "user", "Wo Wo no."), (41, None, "user", word(3) + " " + word(3).title())]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    found = registry.queries()[name](spark, str(tmp_path))
+    asked = con.execute(f"SELECT {', '.join(found.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    plain = lambda rows: sorted((tuple(round(x, 6) + 0.0 if isinstance(x, float) else x for x in map(lambda v: float(v) if type(v).__name__ == "Decimal" else v, r)) for r in rows), key=repr)
+    assert plain(map(tuple, found.collect())) == plain(asked)
+    if name == "contextual_routing":
+        assert {r["low_information"] for r in found.select("low_information").distinct().collect()} == {False, True}
