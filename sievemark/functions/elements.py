@@ -95,8 +95,10 @@ def element(token: Column) -> Column:
         F.when(low.isin(*CODE), "CODE").when(token.rlike(r"^[^\p{L}\p{N}_]+$"), "BOUNDARY").when(token.rlike(r"^(?:\[[0-9]+\]|https?://\S+)$"), "CITATION")
         .when(token.rlike("^(?:19|20)[0-9]{2}$"), "DATE").when(token.rlike(r"^[+-]?[0-9]+(?:\.[0-9]+)?$"), "NUMBER").when(base.isin(*UNITS), "UNIT").when(token.rlike(FORMULA), "FORMULA")
     )
-    for label, words in ELEMENT_WORDS.items():
-        found = found.when(base.isin(*words.split()), label)
+    # One look into a map: a chain of two dozen lists makes code too long to be compiled.
+    first = {word: label for label, words in reversed(ELEMENT_WORDS.items()) for word in words.split()}
+    listed = F.try_element_at(F.create_map(*(F.lit(x) for pair in first.items() for x in pair)), base)
+    found = found.when(listed.isNotNull(), listed)
     found = found.when(token.rlike(r"^\p{Lu}") & token.rlike("[A-Za-z]"), "ENTITY").when(base.rlike("(?:ing|ed|ate|ise|ize|ifies|ify)$") & (F.length(base) > 4), "ACTION")
     return found.when(token.rlike("[A-Za-z]"), "CONCEPT").otherwise("UNKNOWN")
 

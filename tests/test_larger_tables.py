@@ -118,3 +118,16 @@ def test_rare_words_up_to_the_cutoff_are_low(name, spark, tmp_path):
     assert plain(map(tuple, found.collect())) == plain(asked)
     if name == "contextual_routing":
         assert {r["low_information"] for r in found.select("low_information").distinct().collect()} == {False, True}
+
+
+def test_elements_of_listed_words_come_from_one_map(spark):
+    """The first element that lists a word, without a chain of two dozen lists."""
+    from pyspark.sql import functions as F
+
+    from sievemark.functions import elements as E
+
+    words = sorted({w for ws in E.ELEMENT_WORDS.values() for w in ws.split()} - set(E.CODE) - set(E.UNITS))
+    found = spark.createDataFrame([(w,) for w in words], "k string").select("k", E.element(F.col("k")).alias("e"))
+    assert {r[0]: r[1] for r in found.collect()} == {w: next(label for label, ws in E.ELEMENT_WORDS.items() if w in ws.split()) for w in words}
+    plan = plan_of(spark.range(1).select(E.element(F.col("id").cast("string"))))
+    assert plan.count(" INSET ") + plan.count(" IN (") <= 4
