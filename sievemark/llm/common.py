@@ -49,6 +49,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that is never a broadcast: Spark takes rows made by explode, and few columns of a wide file, for far smaller than they are."""
+    return df.hint("merge")
+
+
 def semi_join(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     """Rows of df whose key is among ids (unique values, n_ids of them): broadcast while small, shuffled beyond."""
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, key, "left_semi")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ragged
-from .common import materialize, semi_join
+from .common import materialize, semi_join, shuffled
 
 SHINGLE_WORDS = 5
 SYMBOLS, CHUNKS, DISTANCE = 30, 6, 17
@@ -161,7 +161,7 @@ def shared_shingles(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     sets = materialize(sets_of(docs, nodes, nodes.count()).withColumn("size", F.size("shingles").cast("long")))
     rows = sets.select("doc_id", "whole", "size", F.explode("shingles").alias("shingle"))
     held = rows.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
-    return materialize(rows.join(held, "shingle"))
+    return materialize(rows.join(shuffled(held), "shingle"))
 
 
 def prefix_pairs(common: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -180,7 +180,7 @@ def prefix_pairs(common: DataFrame, labels: DataFrame, threshold: float) -> Data
     a, b = prefix.alias("a"), prefix.alias("b")
     # Similar sets share 100 c >= percent (n + m - c) shingles; of either at most those ahead.
     close = (100 + _percent(threshold)) * F.least("a.ahead", "b.ahead") >= _percent(threshold) * (F.col("a.size") + F.col("b.size"))
-    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & close)
+    met = a.join(shuffled(b), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & close)
     return met.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
 
 
@@ -238,8 +238,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     keys = [F.xxhash64(F.lit(k), *(F.element_at("signature", i + 1) for i in places)) for k, places in enumerate(KEYS)]
     indexed = reps.select("rep", F.explode(F.array(*keys)).alias("key"))
     shared = indexed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head < tail").select("key", "head")
-    members = materialize(indexed.join(shared, "key"))
-    sketches = materialize(reps.select("rep", "sketch").join(members.select("rep").distinct(), "rep"))  # several rows of an id with several sets
+    members = materialize(indexed.join(shuffled(shared), "key"))
+    sketches = materialize(reps.select("rep", "sketch").join(shuffled(members.select("rep").distinct()), "rep"))  # several rows of an id with several sets
     labels = members.select(F.col("rep").alias("doc_id"), F.col("rep").alias("component")).distinct()
     screened = lambda pairs: pairs.join(_as(sketches, "b"), "b").join(_as(sketches, "a"), "a").filter(_may_reach("sketch_a", "sketch_b", threshold)).select("a", "b").distinct()
     edges = _of_one_id(full, reps, same)
@@ -282,8 +282,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     elif turn == 0 and edges is not None:  # only ids of several texts are linked
         labels = components(edges)
 
-    placed = reps.select("rep", *same).join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    found = full.select("doc_id", *same).join(placed, same).select("doc_id", "n_shingles", "component_id")
+    placed = reps.select("rep", *same).join(shuffled(labels.withColumnRenamed("doc_id", "rep")), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+    found = full.select("doc_id", *same).join(shuffled(placed), same).select("doc_id", "n_shingles", "component_id")
     alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
