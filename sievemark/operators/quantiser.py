@@ -193,6 +193,33 @@ def nearest(held: DataFrame, asked: DataFrame, k: int, bands: bool = False) -> D
     return pick(found, "query", F.desc(F.round("score", 9)), F.asc("key"), n=k)
 
 
+def within(held: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """query, key, distance: the rows of held (key, code) whose codes, arrays of 64-bit numbers, differ from a query's (query, code) in most bits at most, never the query itself.
+
+    Blocks meet blocks, so that a task holds two of them whatever the tables' sizes; all pairs are compared. Null keys and codes are left out.
+    """
+    filled = lambda df, c: df.filter(F.col(c).isNotNull() & F.col("code").isNotNull()).withColumn("group", F.lit(0).cast("long"))
+    key_type, query_type = held.schema["key"].dataType.simpleString(), asked.schema["query"].dataType.simpleString()
+    met = met_blocks(filled(held, "key"), ["key", "code"], filled(asked, "query").withColumnRenamed("code", "asked_code"), ["query", "asked_code"])
+
+    def words(lists: pa.Array) -> np.ndarray:
+        return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(lists), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                keys, queries = b.column("key")[i].values, b.column("query")[i].values
+                codes, own, ids, wanted = words(b.column("code")[i].values), words(b.column("asked_code")[i].values), keys.to_numpy(zero_copy_only=False), queries.to_numpy(zero_copy_only=False)
+                for lo in range(0, len(wanted), QUERY_ROWS):
+                    far = np.zeros((len(own[lo : lo + QUERY_ROWS]), len(ids)), np.int64)
+                    for w in range(codes.shape[1]):
+                        far += np.bitwise_count(own[lo : lo + QUERY_ROWS, w, None] ^ codes[:, w])
+                    q, k = np.nonzero((far <= most) & (wanted[lo : lo + QUERY_ROWS, None] != ids))
+                    yield pa.RecordBatch.from_arrays([queries.take(pa.array(q + lo)), keys.take(pa.array(k)), pa.array(far[q, k])], ["query", "key", "distance"])
+
+    return met.mapInArrow(run, f"query {query_type}, key {key_type}, distance long")
+
+
 def shortlists(codes: DataFrame, asked: DataFrame, key: str, books: np.ndarray, limit: int, spread: int = SPREAD) -> DataFrame:
     """query, key, distance: the limit nearest keys of each query by its distance tables; ties go to the smaller key.
 

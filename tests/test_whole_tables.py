@@ -25,3 +25,15 @@ def test_items_without_a_candidate_count_as_not_found(spark, tmp_path):
     spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "beta gamma"), (2, ""), (3, None), (4, "unheard words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert tuple(registry.queries()["retrieval_scores_of_all"](spark, str(tmp_path)).first()) == (4, 0.25, 0.25, 0.25)
+
+
+def test_every_vector_is_asked_for_its_neighbours(spark, tmp_path, monkeypatch):
+    """Also where tasks hold few queries at once; null ids and null vectors are nobody's neighbours."""
+    from sievemark.operators import quantiser
+
+    monkeypatch.setattr(quantiser, "QUERY_ROWS", 3)
+    a, b = [1.0] * 64, [1.0] * 32 + [-1.0] * 32
+    rows = [(i, a if i % 2 else b) for i in range(1, 9)] + [(None, a), (11, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = registry.queries()["projected_simhash_neighbours"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(i, j, 0) for i in range(1, 9) for j in range(1, 9) if i != j and i % 2 == j % 2]
