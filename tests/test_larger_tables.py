@@ -131,3 +131,29 @@ def test_elements_of_listed_words_come_from_one_map(spark):
     assert {r[0]: r[1] for r in found.collect()} == {w: next(label for label, ws in E.ELEMENT_WORDS.items() if w in ws.split()) for w in words}
     plan = plan_of(spark.range(1).select(E.element(F.col("id").cast("string"))))
     assert plan.count(" INSET ") + plan.count(" IN (") <= 4
+
+
+def test_terms_of_documents_meet_questions_where_they_lie(spark, tmp_path, monkeypatch):
+    """Whatever goes to the texts at once; rows that repeat an id, or have none, and empty texts are as in the SQL."""
+    import random
+
+    import duckdb
+
+    from sievemark.operators import retrieval
+
+    for name, value in (("HOT_TERMS", 7), ("ASKED_ROWS", 30), ("ASKED_KEYS", 3), ("CELLS", 1), ("TEXT_ROWS", 4)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{int(40 * rng.random() ** 3)}" for _ in range(n))
+    docs = [(rng.choice([None, 1, 2, 3, *range(10, 90)]), text(rng.randrange(20))) for _ in range(120)] + [(200, None), (201, ""), (202, "x y z"), (203, "w1 w2"), (204, "W1, w2")]
+    items = [(i, text(6)) for i in range(10)] + [(None, "w1"), (20, ""), (21, None), (3, "w1 w5 w5"), (22, "unheard")]
+    run("tfidf_top_k", spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    found = registry.queries()["tfidf_top_k"](spark, str(tmp_path))
+    asked = con.execute(f"SELECT {', '.join(found.columns)} FROM ({registry.oracle_sql()['tfidf_top_k']})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(asked)
+    # Pairs of documents and questions are no rows that an exchange deals out: only the last ranking is dealt by questions.
+    plan = plan_of(found)
+    assert "Aggregate" not in plan and "Generate" not in plan
